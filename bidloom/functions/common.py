@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,11 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def one_row(df: DataFrame) -> Column:
+    """A one-row summary as a single struct value: read its fields from a column holding it."""
+    return df.select(F.struct("*").alias("row")).scalar()
+
+
 def lookup(key: Column, table: dict, default: Column | None = None) -> Column:
     """CASE over a fixed table; unlike a map it folds into codegen."""
     first, *rest = table.items()

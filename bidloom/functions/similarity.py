@@ -8,12 +8,13 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from bidloom import vocabulary as V
 from bidloom.functions.common import round_half_up
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _matching_blocks_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(
         [difflib.SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right)], dtype="float64"

@@ -89,18 +89,24 @@ def title_case(raw: Column) -> Column:
 
 def supplier_name(raw: Column | str, fallback: Column | str) -> Column:
     """A name fit for a column header: address -> company word, shouting -> title case."""
+    def company(domain: Column) -> Column:
+        labels = F.filter(
+            F.split(domain, "\\."),
+            lambda p: ~F.lower(p).isin("com", "co", "in", "net", "org", "example", "www"),
+        )
+        return title_case(F.replace(F.coalesce(F.get(labels, F.lit(0)), domain), F.lit("-"), F.lit(" ")))
+
+    def readable(name: Column) -> Column:
+        domain = F.regexp_extract(name, r"^[^@\s]+@([^@\s]+)$", 1)
+        return F.when(domain != "", company(domain)).otherwise(name)
+
+    def quiet(name: Column) -> Column:
+        letters = F.regexp_replace(name, r"[^\p{L}]", "")
+        return F.when((F.length(letters) > 4) & (letters == F.upper(letters)), title_case(name)).otherwise(name)
+
     name = F.trim(F.regexp_replace(F.trim(as_col(raw)), "^[\"']+|[\"']+$", ""))
-    domain = F.regexp_extract(name, r"^[^@\s]+@([^@\s]+)$", 1)
-    labels = F.filter(
-        F.split(domain, "\\."),
-        lambda p: ~F.lower(p).isin("com", "co", "in", "net", "org", "example", "www"),
-    )
-    from_address = title_case(F.replace(F.coalesce(F.try_element_at(labels, F.lit(1)), domain), F.lit("-"), F.lit(" ")))
-    readable = F.when(domain != "", from_address).otherwise(name)
-    letters = F.regexp_replace(readable, r"[^\p{L}]", "")
-    shouted = (F.length(letters) > 4) & (letters == F.upper(letters))
-    cleaned = F.when(shouted, title_case(readable)).otherwise(readable)
-    return F.coalesce(F.when(cleaned != "", cleaned), as_col(fallback))
+    cleaned = let(let(name, readable), quiet)
+    return F.coalesce(F.when(F.trim(as_col(raw)) != "", F.nullif(cleaned, F.lit(""))), as_col(fallback))
 
 
 def file_extension(path: Column | str) -> Column:

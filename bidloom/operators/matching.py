@@ -33,7 +33,10 @@ def line_text() -> Column:
 def match_by_code(lines: DataFrame, items: DataFrame, how: str = "inner") -> DataFrame:
     """Rungs 1 and 2: equality on the item code, verbatim (1.0) or after reading it (0.97)."""
     known = items.select(F.col("sku").alias("rfx_sku"), *[c for c in items.columns if c not in (*lines.columns, "sku")])
-    coded = lines.withColumn("code", line_code())
+    # A line without a code gets a key of its own kind that no item has, so such
+    # lines spread evenly and the key needs no null test on every scan.
+    keyless = F.concat(F.lit("?"), F.pmod(F.xxhash64("line_id"), F.lit(4096)).cast("string"))
+    coded = lines.withColumn("code", F.coalesce(line_code(), keyless, F.lit("?")))
     joined = coded.join(known, coded.code == known.rfx_sku, how)
     verbatim = F.coalesce(F.upper(F.trim("vendor_sku")) == F.col("code"), F.lit(False))
     found = F.col("rfx_sku").isNotNull()
@@ -222,7 +225,7 @@ def scored_pairs(texts: DataFrame, catalogue: DataFrame, mode: str = "exact") ->
     )
 
 
-def _rivals_elsewhere(catalogue: DataFrame) -> Column:
+def _with_rivals_elsewhere(judged: DataFrame, catalogue: DataFrame) -> DataFrame:
     """How many items a text could still permissibly be read as without sharing a word with them.
 
     That depends only on which kinds of evidence the two sides have (figures,
@@ -240,13 +243,15 @@ def _rivals_elsewhere(catalogue: DataFrame) -> Column:
         ).alias("counts")
     ).scalar()
     own, best = F.col("best.copies"), F.col("best")
+    held, counts = counts, F.col("counts")
     t_bare, t_unmarked = F.col("t_bare"), F.col("t_unmarked")
-    return (
+    elsewhere = (
         F.when(t_bare & t_unmarked, counts["any"] - own)
         .when(t_bare, counts["unmarked"] - F.when(best["c_unmarked"], own).otherwise(0))
         .when(t_unmarked, counts["bare"] - F.when(best["c_bare"], own).otherwise(0))
         .otherwise(counts["neither"] - F.when(best["c_bare"] & best["c_unmarked"], own).otherwise(0))
     )
+    return judged.withColumn("counts", held).withColumn("elsewhere", elsewhere)
 
 
 def match_by_description(texts: DataFrame, catalogue: DataFrame, mode: str = "exact") -> DataFrame:
@@ -267,12 +272,12 @@ def match_by_description(texts: DataFrame, catalogue: DataFrame, mode: str = "ex
             F.max(F.when(F.col("place") == 2, F.col("score"))).alias("second"),
         )
     )
-    judged = best_two.join(kinds, "text").select(
+    judged = _with_rivals_elsewhere(best_two.join(kinds, "text"), catalogue).select(
         "text",
         F.col("best.sku").alias("rfx_sku"),
         F.col("best.score").alias("score"),
         F.when(F.col("best.copies") > 1, F.col("best.score")).otherwise(F.col("second")).alias("second"),
-        _rivals_elsewhere(catalogue).alias("elsewhere"),
+        "elsewhere",
     )
     lead = F.col("score") - F.coalesce("second", F.lit(0.0))
     floor = F.col("score") >= V.DESCRIPTION_FLOOR
@@ -340,19 +345,12 @@ def match_lines(lines: DataFrame, items: DataFrame, overrides: DataFrame | None
 def place_lines(matched: DataFrame) -> DataFrame:
     """Keep, per (vendor, item), the surest line and the earliest on a tie.
 
-    An aggregate rather than a window: repeats of one item collapse before the
-    shuffle, so a vendor that holds most of the data costs no more per task.
+    The rank filter runs before the shuffle as well as after it: each task sends
+    one row per vendor and item, however often that item was quoted again.
     """
+    order = Window.partitionBy("vendor", "rfx_sku").orderBy(F.desc("match_confidence"), "line_ord", "line_id")
     hit = matched.where(F.col("rfx_sku").isNotNull())
-    rest = [c for c in hit.columns if c not in ("vendor", "rfx_sku", "match_confidence", "line_ord", "line_id")]
-    ranked = F.struct(
-        (-F.col("match_confidence")).alias("doubt"), F.col("line_ord"), F.col("line_id"), F.struct(*rest).alias("line")
-    )
-    return (
-        hit.groupBy("vendor", "rfx_sku")
-        .agg(F.min(ranked).alias("kept"), F.count("*").alias("offers"))
-        .select("vendor", "rfx_sku", (-F.col("kept.doubt")).alias("match_confidence"), "kept.line_ord", "kept.line_id", "offers", "kept.line.*")
-    )
+    return hit.withColumn("place", F.row_number().over(order)).where(F.col("place") == 1).drop("place")
 
 
 def repeated_lines(matched: DataFrame, placed: DataFrame) -> DataFrame:

@@ -39,39 +39,41 @@ def normalise_quotes(
     fixed, so its join never shuffles the lines. Refusals keep whatever rules
     and flags had been established before the refusal.
     """
-    stated = matched.select(
-        "*",
-        units.unit_spec("unit_text").alias("spec"),
-        units.condition_flags(F.col("conditions"), F.col("notes")).alias("raised"),
+    stated = units.with_unit(matched, "unit_text").withColumn(
+        "raised", units.condition_flags(F.col("conditions"), F.col("notes"))
     )
     currency = F.coalesce(
-        units.currency_code("currency"), F.col("spec.currency"), units.currency_code("document_currency")
+        units.currency_code("currency"), F.col("unit_currency"), units.currency_code("document_currency")
     )
     priced = stated.withColumn("stated_currency", currency).withColumn(
         "price_currency", F.coalesce("stated_currency", F.lit(base_currency))
     )
-    priced = priced.join(F.broadcast(rates), priced.price_currency == rates.fx_currency, "left")
+    priced = priced.join(F.broadcast(rates), F.col("price_currency") == F.col("fx_currency"), "left")
 
-    value, spec = F.col("quoted_value"), F.col("spec")
-    no_price = value.isNull()
-    unreadable = ~no_price & (F.isnan(value) | (F.abs(value) == F.lit(float("inf"))))
-    off_basis = (
-        spec["family"].isin("weight", "length") & (spec["family"] != F.col("unit_family")) & ~no_price & ~unreadable
-    )
-    refused = no_price | unreadable | off_basis
-    family_silent = spec["family"].isNull()
-    cross = ~family_silent & (spec["family"] != F.col("unit_family"))
-    packed = spec["pack"] > 1
-    currency_silent = F.col("stated_currency").isNull()
-    foreign = F.col("price_currency") != base_currency
-    no_rate = foreign & F.col("fx_rate").isNull()
-
-    converted = F.col("quoted_value") / F.when(packed, spec["pack"]).otherwise(F.lit(1.0))
-    converted = converted * F.when(foreign, F.col("fx_rate")).otherwise(F.lit(1.0))
-    canonical = F.when(~refused & ~no_rate, round_half_up(converted, 4))
+    # Each step names what the next ones test, so no condition is spelled twice.
+    value, family = F.col("quoted_value"), F.col("quoted_family")
+    tested = priced.withColumns(
+        {
+            "no_price": value.isNull(),
+            "unreadable": F.coalesce(F.isnan(value) | (F.abs(value) == F.lit(float("inf"))), F.lit(False)),
+            "family_silent": family.isNull(),
+            "cross": F.coalesce(family != F.col("unit_family"), F.lit(False)),
+            "packed": F.col("unit_pack") > 1,
+            "currency_silent": F.col("stated_currency").isNull(),
+            "foreign": F.col("price_currency") != base_currency,
+        }
+    ).withColumns(
+        {
+            "off_basis": F.col("cross") & family.isin("weight", "length") & ~F.col("no_price") & ~F.col("unreadable"),
+            "no_rate": F.col("foreign") & F.col("fx_rate").isNull(),
+        }
+    ).withColumn("refused", F.col("no_price") | F.col("unreadable") | F.col("off_basis"))
 
-    rules = F.when(no_price | unreadable, F.array().cast("array<string>")).when(
-        off_basis, F.array(F.concat(spec["family"], F.lit("_basis_unconvertible")))
+    refused, packed, foreign = F.col("refused"), F.col("packed"), F.col("foreign")
+    family_silent, cross, currency_silent = F.col("family_silent"), F.col("cross"), F.col("currency_silent")
+    converted = value / F.when(packed, F.col("unit_pack")).otherwise(F.lit(1.0)) * F.when(foreign, F.col("fx_rate")).otherwise(F.lit(1.0))
+    rules = F.when(F.col("no_price") | F.col("unreadable"), F.array().cast("array<string>")).when(
+        F.col("off_basis"), F.array(F.concat(family, F.lit("_basis_unconvertible")))
     ).otherwise(
         compact(
             F.when(family_silent, F.lit("family_assumed_from_rfx"))
@@ -79,7 +81,7 @@ def normalise_quotes(
             .otherwise(F.lit("unit_alias")),
             F.when(packed, F.lit("pack_multiple")),
             F.when(currency_silent, F.lit("currency_assumed_from_rfx")),
-            F.when(no_rate, F.lit("unknown_currency")).when(foreign, F.lit("fx_conversion")),
+            F.when(F.col("no_rate"), F.lit("unknown_currency")).when(foreign, F.lit("fx_conversion")),
         )
     )
     flags = F.concat(
@@ -91,26 +93,23 @@ def normalise_quotes(
             F.when(~refused & currency_silent, F.lit("currency_assumed")),
         ),
     )
-    conditional = F.arrays_overlap(flags, F.array(*[F.lit(f) for f in V.DOWNGRADING_FLAGS]))
+    derived = tested.withColumns(
+        {
+            "canonical_value": F.when(~refused & ~F.col("no_rate"), round_half_up(converted, 4)),
+            "rules": rules,
+            "flags": flags,
+        }
+    )
+    conditional = F.arrays_overlap("flags", F.array(*[F.lit(f) for f in V.DOWNGRADING_FLAGS]))
     status = (
         F.when(refused, F.lit(V.UNRESOLVED))
-        .when(no_rate | conditional, F.lit(V.NEEDS_REVIEW))
+        .when(F.col("no_rate") | conditional, F.lit(V.NEEDS_REVIEW))
         .when(packed | foreign | family_silent | currency_silent, F.lit(V.NORMALIZED))
         .otherwise(F.lit(V.CONFIRMED))
     )
-    factor = F.when(
-        canonical.isNotNull(),
-        blank_to_null(
-            F.concat_ws(
-                "  ",
-                F.when(packed, F.concat(F.lit("÷ "), plain_number(spec["pack"]), F.lit(" ("), spec["raw"], F.lit(" → "), F.col("canonical_unit"), F.lit(")"))),
-                F.when(
-                    foreign,
-                    F.concat(F.lit("× "), plain_number(F.col("fx_rate")), F.lit(f" {base_currency}/"), F.col("price_currency"), F.lit(" @ "), F.col("fx_as_of")),
-                ),
-            )
-        ),
-    )
+    division = F.concat(F.lit("÷ "), plain_number(F.col("unit_pack")), F.lit(" ("), F.col("unit_raw"), F.lit(" → "), F.col("canonical_unit"), F.lit(")"))
+    exchange = F.concat(F.lit("× "), plain_number(F.col("fx_rate")), F.lit(f" {base_currency}/"), F.col("price_currency"), F.lit(" @ "), F.col("fx_as_of"))
+    factor = F.concat_ws("  ", F.when(packed, division), F.when(foreign, exchange))
     score = confidence.reading_confidence(
         stated=F.col("confidence"),
         snippet=F.col("source_snippet"),
@@ -122,25 +121,18 @@ def normalise_quotes(
         match_confidence=F.col("match_confidence"),
         rerendered=F.col("rerendered") if "rerendered" in matched.columns else None,
     )
-    facts = priced.select(
-        *keep,
-        "rfx_sku", "vendor", "conditions", "notes", "canonical_unit", "unit_family", "spec", "price_currency",
-        "match_basis", "match_confidence", "source_file", "source_locator", "source_snippet",
-        F.coalesce(blank_to_null("source_snippet"), blank_to_null("notes")).alias("original_text"),
-        F.col("quoted_value").alias("original_value"),
-        F.col("unit_text").alias("original_unit"),
-        F.when(~no_price, F.col("stated_currency")).alias("original_currency"),
-        canonical.alias("canonical_value"),
-        F.lit(base_currency).alias("canonical_currency"),
-        factor.alias("factor"),
-        rules.alias("rules"),
-        status.alias("status"),
-        flags.alias("flags"),
-        score.alias("score"),
-        units.unrecognised_conditions(F.col("conditions")).alias("unrecognised_conditions"),
-        no_price.alias("no_price"), unreadable.alias("unreadable"), off_basis.alias("off_basis"),
-        no_rate.alias("no_rate"), cross.alias("cross"), packed.alias("packed"), foreign.alias("foreign"),
-        family_silent.alias("family_silent"), currency_silent.alias("currency_silent"),
+    facts = derived.withColumns(
+        {
+            "original_text": F.coalesce(blank_to_null("source_snippet"), blank_to_null("notes")),
+            "original_value": value,
+            "original_unit": F.col("unit_text"),
+            "original_currency": F.when(~F.col("no_price"), F.col("stated_currency")),
+            "canonical_currency": F.lit(base_currency),
+            "factor": F.when(F.col("canonical_value").isNotNull() & (packed | foreign), factor),
+            "status": status,
+            "score": score,
+            "unrecognised_conditions": units.unrecognised_conditions(F.col("conditions")),
+        }
     )
     texts = _reasons(base_currency)
     finished = facts.select(
@@ -158,8 +150,8 @@ def normalise_quotes(
 def _reasons(base_currency: str) -> dict[str, Column]:
     """The sentence behind each status, and the one datum that would resolve it."""
     said = blank_to_null(F.array_join("conditions", "; "))
-    raw = F.col("spec.raw")
-    family = F.col("spec.family")
+    raw = F.col("unit_raw")
+    family = F.col("quoted_family")
     refused_weight = F.col("off_basis") & (family == "weight")
     refused_length = F.col("off_basis") & (family == "length")
     assumed = F.concat_ws(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def spark_session(app: str = "bidloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -35,3 +36,25 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint that outlives any executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate for a plan, without running it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def broadcast_if_small(df: DataFrame, sized_by: DataFrame, limit: int = 16 << 20) -> DataFrame:
+    """Broadcast a lookup side only when the table it grows with is provably small; else leave the join to the planner."""
+    return broadcast(df) if planned_bytes(sized_by) <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan enough tasks to use the cores there are.
+
+    A table that arrives in many splits is left alone; only one that fits in a
+    few splits (a small file) is redistributed, so nothing large is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if planned_bytes(df) > 256 << 20:
+        return df
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
