@@ -23,9 +23,9 @@ TODAY = "2026-03-01"
 HOUSES = ["House AFRICA", "House AMERICA", "House ASIA", "House EUROPE", "House MIDDLE EAST"]
 
 
-def _comparison(spark: SparkSession, d: str, level: str) -> comparison.Comparison:
+def _comparison(spark: SparkSession, d: str, level: str, scored: bool = False) -> comparison.Comparison:
     extra = {}
-    if level == "supplier":
+    if scored:
         extra = {"answers": _answers(spark, d), "criteria": inputs.criteria(spark), "terms": inputs.terms(spark, d)}
     return comparison.build(
         inputs.quote_lines(spark, d, level), inputs.request_lines(spark, d), inputs.responses(spark, d, level),
@@ -159,12 +159,12 @@ def full_grid(spark, d):
 
 
 def vendor_summary(spark, d):
-    v = _comparison(spark, d, "supplier").vendors
+    v = _comparison(spark, d, "supplier", scored=True).vendors
     return _joined(v.drop("vendor_ord"))
 
 
 def comparison_view(spark, d):
-    c = _comparison(spark, d, "supplier")
+    c = _comparison(spark, d, "supplier", scored=True)
     view = grid.comparison_view(c.cells, c.items, c.vendors)
     return view.select("rfx_sku", "rfx_description", "rfx_quantity", "vendor", "canonical_value", "extended_value", "status", "quality_score", "coverage_quoted")
 
@@ -291,7 +291,7 @@ def award_caveats(spark, d):
 
 
 def shortlist_by_quality(spark, d):
-    v = award.shortlist(_comparison(spark, d, "supplier").vendors, 0.6)
+    v = award.shortlist(_comparison(spark, d, "supplier", scored=True).vendors, 0.6)
     return v.select("vendor", "quality_score", "meets_requirements", "eligible")
 
 
@@ -575,7 +575,7 @@ def asked_questions(spark, d):
 # --- warnings, reports, analyses, SQL ----------------------------------------------
 
 def warnings(spark, d):
-    return _comparison(spark, d, "supplier").warnings()
+    return _comparison(spark, d, "supplier", scored=True).warnings()
 
 
 def warning_counts(spark, d):
@@ -591,7 +591,7 @@ def terms_report(spark, d):
 
 
 def cheapest_cleared(spark, d):
-    c = _comparison(spark, d, "supplier")
+    c = _comparison(spark, d, "supplier", scored=True)
     return analyses.cheapest_among_cleared(c.cells, c.vendors, 0.6)
 
 
@@ -609,7 +609,7 @@ def what_to_ask(spark, d):
 
 
 def effect_of_quality(spark, d):
-    c = _comparison(spark, d, "supplier")
+    c = _comparison(spark, d, "supplier", scored=True)
     return analyses.effect_of_quality(c.cells, c.items, c.vendors, 0.6)
 
 

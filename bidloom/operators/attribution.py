@@ -72,10 +72,12 @@ def _snippets(replies: DataFrame, lengths: list[int]) -> DataFrame:
     """Every distinct substring of the given lengths, over the whole text."""
     text = F.lower("text")
     empty = F.array().cast("array<string>")
-    parts = [
-        F.when(F.length("text") >= n, F.transform(F.sequence(F.lit(1), F.length("text") - (n - 1)), lambda i, n=n: F.substr(text, i, F.lit(n)))).otherwise(empty)
-        for n in lengths
-    ]
+
+    def of_length(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))).otherwise(empty)
+
+    parts = [of_length(n) for n in lengths]
     every = F.array_distinct(F.concat(*parts)) if parts else empty
     return replies.select("reply_id", F.explode(every).alias("snippet"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from bidloom.operators import criteria as C
 from bidloom.operators import grid, matching
 from bidloom.operators.derive import basket_per_month, derive_items, group_lines
+from bidloom.operators.ordering import numbered
 from bidloom.operators.normalise import fx_rates, normalise_quotes
 from bidloom.operators.reports import comparability_warnings
 from bidloom.sources.replies import Replies, demote_blanket
@@ -18,19 +20,42 @@ from bidloom.sources.sinks import empty_award
 
 @dataclass
 class Comparison:
-    """The comparison as DataFrames; nothing runs until one of them is used."""
+    """The comparison as DataFrames. Each part is planned when first asked for, and run when used."""
 
     items: DataFrame
+    responses: DataFrame
     matched: DataFrame
-    placed: DataFrame
-    cells: DataFrame
-    unplaced: DataFrame
-    gaps: DataFrame
-    vendors: DataFrame
+    rates: DataFrame
+    base_currency: str = "INR"
+    answers: DataFrame | None = None
     criteria: DataFrame | None = None
-    scored: DataFrame | None = None
     terms: DataFrame | None = None
 
+    @cached_property
+    def placed(self) -> DataFrame:
+        return matching.place_lines(self.matched)
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        return normalise_quotes(self.placed, self.rates, self.base_currency)
+
+    @cached_property
+    def unplaced(self) -> DataFrame:
+        return matching.unplaced_lines(self.matched, self.placed)
+
+    @cached_property
+    def gaps(self) -> DataFrame:
+        return grid.coverage_gaps(self.placed, self.responses, self.items)
+
+    @cached_property
+    def scored(self) -> DataFrame | None:
+        return None if self.criteria is None else C.score_answers(self.answers, self.criteria)
+
+    @cached_property
+    def vendors(self) -> DataFrame:
+        cards = None if self.scored is None else C.scorecards(self.scored, self.criteria, self.responses)
+        return grid.vendor_summary(self.responses, self.matched, self.cells, self.items, cards)
+
     def tables(self) -> dict[str, DataFrame]:
         """The seven names users query."""
         spark = self.items.sparkSession
@@ -72,32 +97,13 @@ def build(
     edited criteria are another call with other `criteria`.
     """
     matched = matching.match_by_code(lines, items, "left") if by_code_only else matching.match_lines(lines, items, overrides, mode)
-    placed = matching.place_lines(matched)
-    cells = normalise_quotes(placed, rates, base_currency)
-    scored = cards = None
-    if answers is not None and criteria is not None:
-        scored = C.score_answers(answers, criteria)
-        cards = C.scorecards(scored, criteria, responses)
-    return Comparison(
-        items=items,
-        matched=matched,
-        placed=placed,
-        cells=cells,
-        unplaced=matching.unplaced_lines(matched, placed),
-        gaps=grid.coverage_gaps(placed, responses, items),
-        vendors=grid.vendor_summary(responses, matched, cells, items, cards),
-        criteria=criteria,
-        scored=scored,
-        terms=terms,
-    )
+    return Comparison(items, responses, matched, rates, base_currency, answers, criteria, terms)
 
 
 def build_from_replies(replies: Replies, rates: DataFrame | None = None, base_currency: str = "INR", items: DataFrame | None = None, mode: str = "exact") -> Comparison:
     """Replies alone are enough: without a request the item list and the criteria come from them."""
     quoting = replies.responses.where(F.col("lines_found") > 0)
     order = quoting.select("file", "vendor", F.col("file").alias("_by"))
-    from bidloom.operators.ordering import numbered
-
     places = numbered(order, "vendor_ord", "_by").select("file", F.col("vendor_ord").cast("bigint").alias("vendor_ord"))
     responses = quoting.join(places, "file").withColumnRenamed("file", "source_file")
     lines, terms = demote_blanket(replies.lines, replies.terms)
