@@ -40,16 +40,16 @@ def invitations(requests: DataFrame, invited: DataFrame) -> DataFrame:
 def attribute_replies(replies: DataFrame, invited: DataFrame) -> DataFrame:
     """Which invitation each reply answers, and on what basis: token, name or none.
 
-    `replies` has reply_id and text; `invited` has vendor and token. A quoted
+    `replies` has reply_id and text; `invited` has vendor, vendor_ord and token. A quoted
     reference that matches nothing identifies nobody. A name counts only when
     it is long enough and the only one found. Names are looked up by equality
     of fixed-length snippets against a table with one row per name prefix, so
     a reply never meets every name.
     """
     read = replies.select("reply_id", "text", quoted_token("text").alias("token"))
-    by_token = read.where(F.col("token").isNotNull()).select("reply_id", "token").join(
-        invited.select(F.upper("token").alias("token"), "vendor"), "token", "left"
-    ).select("reply_id", "vendor", F.when(F.col("vendor").isNotNull(), F.col("token")).alias("token"),
+    # One row per reference: should two requests ever share one, the earlier invitation holds it.
+    issued = invited.groupBy(F.upper("token").alias("token")).agg(F.min_by("vendor", "vendor_ord").alias("vendor"))
+    by_token = read.where(F.col("token").isNotNull()).select("reply_id", "token").join(issued, "token", "left").select("reply_id", "vendor", F.when(F.col("vendor").isNotNull(), F.col("token")).alias("token"),
              F.when(F.col("vendor").isNotNull(), F.lit("token")).otherwise(F.lit("none")).alias("basis"))
 
     name = F.lower(F.trim("vendor"))

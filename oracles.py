@@ -210,8 +210,8 @@ FIRM = I.FIRM.format(k="c_custkey")
 INVITED = f"""inv0 AS (SELECT {I.REQUEST_OF} AS request_id, {FIRM} AS vendor, c_custkey AS vendor_ord, count(*) OVER (PARTITION BY {I.REQUEST_OF}) AS n FROM customer),
 inv AS (SELECT request_id, vendor, vendor_ord, concat('RFX-', substring(regexp_replace(upper(request_id), '[^A-Z0-9]', '', 'g'), 1, 10), '-', substring(regexp_replace(upper(vendor), '[^A-Z0-9]', '', 'g'), 1, 6), '-',
     substring(sha1(concat(substring(regexp_replace(upper(request_id), '[^A-Z0-9]', '', 'g'), 1, 10), '|', lower(vendor), '|', CAST(n AS VARCHAR))), 1, 4)) AS token FROM inv0)"""
-REPLIES = f"""{INVITED}, rep AS (SELECT o_orderkey AS reply_id, o_orderkey % 5 AS kind, vendor, token, (o_custkey + 1) IN (SELECT c_custkey FROM customer) AS other_known FROM orders JOIN inv ON o_custkey = vendor_ord),
-att AS (SELECT reply_id, CASE WHEN kind IN (0, 1) OR (kind = 4 AND NOT other_known) THEN vendor END AS vendor, CASE WHEN kind = 0 THEN upper(token) END AS token,
+REPLIES = f"""{INVITED}, held AS (SELECT token, min(vendor) AS holder FROM inv GROUP BY 1), rep AS (SELECT o_orderkey AS reply_id, o_orderkey % 5 AS kind, vendor, token, holder, (o_custkey + 1) IN (SELECT c_custkey FROM customer) AS other_known FROM orders JOIN inv ON o_custkey = vendor_ord JOIN held USING (token)),
+att AS (SELECT reply_id, CASE WHEN kind = 0 THEN holder WHEN kind = 1 OR (kind = 4 AND NOT other_known) THEN vendor END AS vendor, CASE WHEN kind = 0 THEN upper(token) END AS token,
     CASE WHEN kind = 0 THEN 'token' WHEN kind = 1 OR (kind = 4 AND NOT other_known) THEN 'name' ELSE 'none' END AS basis FROM rep)"""
 REQ = f"req AS (SELECT {cols(I.REQUEST_COLUMNS)} FROM orders), moment AS (SELECT *, TRY_CAST(nullif(starts_at, '') AS TIMESTAMP) AS s, TRY_CAST(ends_at AS TIMESTAMP) AS e FROM req), win AS (SELECT *, CAST(floor((epoch(e) - epoch(s)) / 86400) AS BIGINT) AS days FROM moment)"
 DIRECTORY = f"""dir0 AS (SELECT concat(c_mktsegment, '-', CAST(c_nationkey AS VARCHAR)) AS category, {FIRM} AS vendor, c_custkey % 10 = 0 AS incumbent, {cols(I.DIRECTORY_SCORES)} FROM customer),
