@@ -277,12 +277,18 @@ def award_headline(spark, d):
 
 
 def consolidated_award(spark, d):
-    plan, _ = _plan(spark, d, min_lines=_SMALL_AWARD)
+    """Consolidation over the items every house priced, where nothing can be stranded."""
+    c = _comparison(spark, d, "house")
+    vendors = _listed(c.vendors)
+    shared = award.common_basket(grid.offers(c.cells), vendors)
+    cells = c.cells.join(shared, "rfx_sku", "left_semi")
+    items = c.items.join(shared, c.items.sku == shared.rfx_sku, "left_semi")
+    plan = award.recommend(cells, items, vendors, min_lines=_WORTH_AWARDING)
     return plan.lines.select("rfx_sku", "winner", "price", "contenders", "status", "reassigned_from")
 
 
-# High enough that some house falls below it at every scale of the test data.
-_SMALL_AWARD = 1_000_000
+# Above what any house wins on the shared items, so houses drop one by one.
+_WORTH_AWARDING = 1 << 40
 
 
 def award_caveats(spark, d):

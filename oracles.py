@@ -243,6 +243,18 @@ TERMROWS = """tr AS (SELECT request_id, 1::BIGINT AS position, 'payment' AS kind
 LINES_OF = "string_split_regex(regexp_replace({0}, '(\\r\\n|\\n|\\r)$', ''), '\\r\\n|\\n|\\r')"
 
 
+def consolidated(rounds: int) -> str:
+    """The drop-the-smallest loop written out, one set of tables per round."""
+    parts = [BASKET.strip().split(",\nqty")[0], "o AS (SELECT offers.* FROM offers JOIN basket USING (rfx_sku))", "a0 AS (SELECT * FROM o)"]
+    win = "SELECT rfx_sku, arg_min(vendor, (price, vendor)) AS winner, arg_min(price, (price, vendor)) AS price, count(*) AS k FROM {0} GROUP BY 1"
+    for r in range(rounds):
+        parts.append(f"w{r} AS ({win.format(f'a{r}')})")
+        parts.append(f"d{r} AS (SELECT winner AS vendor FROM w{r} JOIN resp ON resp.vendor = winner GROUP BY winner, vendor_ord ORDER BY count(*), vendor_ord LIMIT 1)")
+        parts.append(f"a{r + 1} AS (SELECT * FROM a{r} WHERE vendor NOT IN (SELECT vendor FROM d{r}))")
+    parts.append(f"wz AS ({win.format(f'a{rounds}')})")
+    return ", ".join(parts)
+
+
 def statements() -> dict[str, str]:
     s, h = base("supplier"), base("house")
     snap = [I.SNAPSHOT.format(t="lineitem", w=w) for w in (I.BEFORE_ROWS, I.AFTER_ROWS)]
@@ -321,6 +333,7 @@ def statements() -> dict[str, str]:
         "split_analysis": f"{h}, {AWARD}, {BASKET.strip()}, {PLAN.strip()} SELECT total_extended, common_basket, split_on_common, best_single_vendor, best_single_total, saving_vs_single, saving_share FROM plan",
         "award_stats": f"{h}, {AWARD}, {BASKET.strip()}, {PLAN.strip()} SELECT supplier_count AS suppliers_recommended, concat(CAST(awarded_lines AS VARCHAR), '/', CAST(items AS VARCHAR)) AS items_recommended, {amount('total_extended')} AS estimated_spend, concat('₹', format('{{:,.0f}}', saving_vs_single), ' · ', printf('%.1f', saving_share * 100), '%') AS saving, concat('less than ', split_part(best_single_vendor, ' ', 1), ' alone, on the ', CAST(common_basket AS VARCHAR), ' items all of them priced') AS saving_caption FROM plan",
         "award_headline": f"{h}, {AWARD} SELECT winner AS vendor, count(*) AS line_count, concat('**', winner, '** for ', CAST(count(*) AS VARCHAR), CASE WHEN count(*) = 1 THEN ' item' ELSE ' items' END) AS part FROM award WHERE winner IS NOT NULL GROUP BY 1",
+        "consolidated_award": f"{h}, {OFFERS}, {consolidated(4)} SELECT wz.rfx_sku, wz.winner, wz.price, wz.k AS contenders, CASE WHEN wz.k = 1 THEN 'single_source' ELSE 'awarded' END AS status, CASE WHEN w0.winner <> wz.winner THEN w0.winner END AS reassigned_from FROM wz JOIN w0 USING (rfx_sku)",
         "award_caveats": f"{h}, {AWARD}, k AS (SELECT 2 AS position, 'uncontested' AS kind, count(*) FILTER (status = 'single_source') AS n FROM award UNION ALL SELECT 3, 'unawardable', count(*) FILTER (status = 'no_comparable') FROM award UNION ALL SELECT 5, 'freight_mixed', count(DISTINCT freight_included) + max(CASE WHEN freight_included IS NULL THEN 1 ELSE 0 END) FROM resp UNION ALL SELECT 7, 'quantities_missing', CASE WHEN count(extended) < count(winner) THEN count(winner) ELSE 0 END FROM award) SELECT position, kind, CAST(n AS BIGINT) AS n FROM k WHERE n > 0",
         "shortlist_by_quality": f"{scard()} SELECT vendor, quality_score, meets_requirements, meets_requirements AND quality_score >= 0.6 AS eligible FROM cards",
         "scored_answers": f"{scard()} SELECT vendor, key, verdict, stated_text, value, meets, evidence, CASE WHEN meets THEN 1.0 ELSE 0.0 END::DOUBLE AS score, CASE WHEN verdict = 'Unanswered' THEN 'Did not address this question at all.' WHEN measured THEN concat('Stated ', stated_text, ', which ', CASE WHEN meets THEN 'meets' ELSE 'does not meet' END, ' the target of ', CASE WHEN direction = 'lower_better' THEN 'less than ' ELSE 'greater than ' END, format('{{:,}}', CAST(target AS BIGINT)), CASE WHEN unit = '%' THEN '%' ELSE concat(' ', trim(unit)) END, '.') WHEN verdict = 'Yes' THEN 'Answered Yes.' WHEN verdict = 'Partial' THEN 'Answered only in part.' WHEN note IS NULL THEN 'Answered No.' ELSE concat('Answered No — ', note) END AS explanation FROM scored",
@@ -350,6 +363,13 @@ def statements() -> dict[str, str]:
         "quoting_windows": f"WITH {REQ} SELECT request_id, days, CASE WHEN days < 0 THEN 'closes before it opens' WHEN days < 5 THEN 'short window' WHEN days IS NOT NULL THEN 'ok' END AS check, CASE WHEN s IS NOT NULL THEN strftime(s, '%-d %b %Y, %H:%M') ELSE starts_at END AS opens FROM win",
         "rate_staleness": "SELECT CASE WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-06-01') > 30 THEN 'stale' WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-06-01') < 0 THEN 'forward' ELSE 'current' END AS check, count(*) AS n FROM orders GROUP BY 1",
         "vendor_shortlist": f"WITH {DIRECTORY}, r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY rating DESC, incumbent DESC, vendor) AS rn, count(*) OVER (PARTITION BY category) AS approved, count(*) FILTER (rating >= 7) OVER (PARTITION BY category) AS clearing FROM dir) SELECT category, vendor, rating, approved, clearing FROM r WHERE CASE WHEN clearing >= 2 THEN rating >= 7 ELSE rn <= 2 END",
+        "vendor_ratings": f"""WITH {DIRECTORY}, sc AS (SELECT *, list_filter([quality, delivery, commercial, responsiveness], lambda x: x IS NOT NULL) AS have FROM dir),
+            ex AS (SELECT *, list_max(have) AS hi, list_min(have) AS lo FROM sc)
+            SELECT vendor, rating, concat(CASE WHEN incumbent THEN 'Incumbent. ' ELSE '' END, CASE WHEN hi - lo < 1 THEN concat('even across the board at ', printf('%.1f', rating)) ELSE concat('strongest on ',
+            CASE WHEN quality = hi THEN 'quality' WHEN delivery = hi THEN 'delivery' WHEN commercial = hi THEN 'commercial' ELSE 'responsiveness' END, ' (', regexp_replace(CAST(hi AS VARCHAR), '\\.0$', ''), '), weakest on ',
+            CASE WHEN quality = lo THEN 'quality' WHEN delivery = lo THEN 'delivery' WHEN commercial = lo THEN 'commercial' ELSE 'responsiveness' END, ' (', regexp_replace(CAST(lo AS VARCHAR), '\\.0$', ''), ')') END, '.') AS why FROM ex""",
+        "demoted_conditions": f"WITH {lines('supplier')}, k AS (SELECT vendor, CAST(sum(CASE WHEN condition_1 IS NULL THEN 0 ELSE 1 END + CASE WHEN condition_2 IS NULL THEN 0 ELSE 1 END + CASE WHEN condition_3 IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS n, count(condition_3) AS c3, count(*) AS lines FROM lines GROUP BY 1) SELECT vendor, CASE WHEN c3 >= 0.6 * lines THEN n - c3 ELSE n END AS conditions_left, CASE WHEN c3 >= 0.6 * lines THEN 4 ELSE 3 END::BIGINT AS terms FROM k",
+        "responses_flat": f"WITH {lines('supplier')} SELECT vendor, unit_text, currency, count(*) AS lines, count(quoted_value) AS priced, CAST(sum(CASE WHEN condition_1 IS NULL THEN 0 ELSE 1 END + CASE WHEN condition_2 IS NULL THEN 0 ELSE 1 END + CASE WHEN condition_3 IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS conditions FROM lines GROUP BY 1, 2, 3",
         "replenishment_draw": f"WITH {ITEMS}, {CATALOGUE}, r AS (SELECT *, row_number() OVER (PARTITION BY catalogue ORDER BY {lot('day-1', 'catalogue')}, sku) AS rn FROM catl) SELECT catalogue, sku, line_no, 'suggested' AS origin FROM r WHERE rn <= {size_of('day-1', 'catalogue', '10', '6')}",
         "annual_list": f"WITH {ITEMS}, {CATALOGUE}, core AS (SELECT catalogue, sku FROM catl WHERE line_no % 50 <= 28), k AS (SELECT catalogue, count(*) AS core FROM core GROUP BY 1), r AS (SELECT c.*, k.core, row_number() OVER (PARTITION BY c.catalogue ORDER BY {lot('2026', 'c.catalogue')}, sku) AS rn FROM catl c JOIN k ON k.catalogue = c.catalogue WHERE line_no % 50 > 28) SELECT catalogue, sku, 'buyer' AS origin FROM core UNION ALL SELECT catalogue, sku, 'buyer' FROM r WHERE rn <= {size_of('2026', 'catalogue', 'greatest(30, core)', 'greatest(35, core) - greatest(30, core) + 1')} - core",
         "edit_log_fold": f"WITH {FOLD} SELECT * FROM fold",
