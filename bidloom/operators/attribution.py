@@ -30,7 +30,8 @@ def invitations(requests: DataFrame, invited: DataFrame) -> DataFrame:
     clash = F.row_number().over(Window.partitionBy("request_id", "token").orderBy("salt", "vendor_ord", "vendor")) > 1
     marked = checkpoint(issued.withColumn("clash", clash))
     while not marked.where("clash").isEmpty():
-        again = tokens(marked.drop("token", "clash").withColumn("salt", F.when(marked["clash"], F.col("salt") + 1).otherwise(F.col("salt"))))
+        salted = marked.withColumn("salt", F.when(F.col("clash"), F.col("salt") + 1).otherwise(F.col("salt")))
+        again = tokens(salted.drop("token", "clash"))
         marked = checkpoint(again.withColumn("clash", clash))
     subject = F.concat(F.lit("Request for quotation — "), F.coalesce("title", F.lit("items attached")), F.lit(" ["), F.col("token"), F.lit("]"))
     attachment = F.concat(F.replace(F.coalesce("reference", F.lit("request")), F.lit("/"), F.lit("_")), F.lit(".pdf"))

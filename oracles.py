@@ -208,8 +208,10 @@ OK_PAIR = f"(len(list_intersect(t.figs, c.figs)) = least(len(t.figs), len(c.figs
 
 FIRM = I.FIRM.format(k="c_custkey")
 INVITED = f"""inv0 AS (SELECT {I.REQUEST_OF} AS request_id, {FIRM} AS vendor, c_custkey AS vendor_ord, count(*) OVER (PARTITION BY {I.REQUEST_OF}) AS n FROM customer),
-inv AS (SELECT request_id, vendor, vendor_ord, concat('RFX-', substring(regexp_replace(upper(request_id), '[^A-Z0-9]', '', 'g'), 1, 10), '-', substring(regexp_replace(upper(vendor), '[^A-Z0-9]', '', 'g'), 1, 6), '-',
-    substring(sha1(concat(substring(regexp_replace(upper(request_id), '[^A-Z0-9]', '', 'g'), 1, 10), '|', lower(vendor), '|', CAST(n AS VARCHAR))), 1, 4)) AS token FROM inv0)"""
+slug AS (SELECT *, substring(regexp_replace(upper(request_id), '[^A-Z0-9]', '', 'g'), 1, 10) AS rs, substring(regexp_replace(upper(vendor), '[^A-Z0-9]', '', 'g'), 1, 6) AS vs FROM inv0),
+tok AS (SELECT *, concat('RFX-', rs, '-', vs, '-', substring(sha1(concat(rs, '|', lower(vendor), '|', CAST(n AS VARCHAR))), 1, 4)) AS token0,
+    concat('RFX-', rs, '-', vs, '-', substring(sha1(concat(rs, '|', lower(vendor), '#1|', CAST(n AS VARCHAR))), 1, 4)) AS token1 FROM slug),
+inv AS (SELECT request_id, vendor, vendor_ord, CASE WHEN row_number() OVER (PARTITION BY request_id, token0 ORDER BY vendor_ord) > 1 THEN token1 ELSE token0 END AS token FROM tok)"""
 REPLIES = f"""{INVITED}, held AS (SELECT token, min(vendor) AS holder FROM inv GROUP BY 1), rep AS (SELECT o_orderkey AS reply_id, o_orderkey % 5 AS kind, vendor, token, holder, (o_custkey + 1) IN (SELECT c_custkey FROM customer) AS other_known FROM orders JOIN inv ON o_custkey = vendor_ord JOIN held USING (token)),
 att AS (SELECT reply_id, CASE WHEN kind = 0 THEN holder WHEN kind = 1 OR (kind = 4 AND NOT other_known) THEN vendor END AS vendor, CASE WHEN kind = 0 THEN upper(token) END AS token,
     CASE WHEN kind = 0 THEN 'token' WHEN kind = 1 OR (kind = 4 AND NOT other_known) THEN 'name' ELSE 'none' END AS basis FROM rep)"""
