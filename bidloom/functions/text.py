@@ -82,7 +82,7 @@ def tolerant_integer(raw: Column | str) -> Column:
 
 
 def title_case(raw: Column) -> Column:
-    """Capitalise every run of letters, so `SHAKTI-PACK` reads `Shakti-Pack`."""
+    """Capitalise every run of letters, so `NORTH-PACK` reads `North-Pack`."""
     runs = F.regexp_extract_all(raw, F.lit(r"[\p{L}]+|[^\p{L}]+"), F.lit(0))
     return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 20)))), "")
 
