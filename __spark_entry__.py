@@ -18,6 +18,11 @@ from bidloom.operators import criteria as quality
 from bidloom.plans import analyses, comparison, inputs, sqlview
 from bidloom.sources import documents, replies
 
+try:
+    from bidloom.llm import registry as llm
+except ImportError:  # the subpackage is optional
+    llm = None
+
 RATES_AS_OF = "2026-01-01"
 TODAY = "2026-03-01"
 HOUSES = ["House AFRICA", "House AMERICA", "House ASIA", "House EUROPE", "House MIDDLE EAST"]
@@ -655,10 +660,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in _QUERIES}
+    return {q.__name__: q for q in _QUERIES} | (llm.queries() if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
     import oracles
 
-    return oracles.statements()
+    return oracles.statements() | (llm.oracle_sql() if llm else {})

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import broadcast
@@ -16,6 +18,7 @@ def spark_session(app: str = "bidloom", master: str | None = None, shuffle_parti
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -24,12 +27,27 @@ def spark_session(app: str = "bidloom", master: str | None = None, shuffle_parti
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
+
+    Where none is named, a purely local session (tests, one machine) gets a
+    temporary one; a cluster is refused, since its machines would each write to
+    a disk of their own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="bidloom-shared-")
+    spark.sparkContext.setCheckpointDir(made)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back only where none is set (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="bidloom-ckpt-"))
+        context.setCheckpointDir(shared_folder(spark))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -38,6 +56,35 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Intermediate tables of one job, written to the shared folder and read back."""
+
+    def __init__(self, spark: SparkSession, job: str):
+        self.spark = spark
+        self.root = f"{shared_folder(spark).rstrip('/')}/{job}-{uuid.uuid4().hex[:12]}"
+        self.count = 0
+
+    def path(self, name: str) -> str:
+        self.count += 1
+        return f"{self.root}/{self.count:03d}-{name}"
+
+    def save(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+        """The table as written: later readers recompute nothing and need no executor of the writer."""
+        where = self.path(name)
+        df.write.partitionBy(*partition_by).parquet(where)
+        return self.spark.read.schema(df.schema).parquet(where)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables of this job that nothing reads any more."""
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for table in tables:
+            for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+                if "/" + self.root.rsplit("/", 1)[1] + "/" in folder:
+                    where = jvm.org.apache.hadoop.fs.Path(folder)
+                    where.getFileSystem(conf).delete(where, True)
+
+
 def planned_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate for a plan, without running it."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
