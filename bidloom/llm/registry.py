@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from bidloom.llm import quality_rules
+from bidloom.llm import ngram_join, quality_rules
 
-_MODULES = (quality_rules,)
+_MODULES = (quality_rules, ngram_join)
 
 
 def queries() -> dict:
