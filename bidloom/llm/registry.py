@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from bidloom.llm import ngram_join, quality_rules
+from bidloom.llm import ngram_join, quality_rules, suffix_dedup
 
-_MODULES = (quality_rules, ngram_join)
+_MODULES = (quality_rules, ngram_join, suffix_dedup)
 
 
 def queries() -> dict:
