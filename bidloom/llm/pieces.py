@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bidloom.llm.spans import U64, mix
 from bidloom.llm.tables import table
@@ -295,13 +296,13 @@ def _decode(path: str):
 def encoded(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", model: str = MODEL) -> DataFrame:
     """`doc` (the kept columns), `ids` and whether decoding them gives the text back."""
     rows = docs.select(F.struct(*keep).alias("doc"), F.col(text).alias("text"))
-    return rows.mapInArrow(_encode(model), rows.select("doc").schema.add("ids", "array<int>").add("round_trip", "boolean"))
+    return rows.mapInArrow(_encode(model), rows.select("doc").schema.add("ids", T.ArrayType(T.IntegerType())).add("round_trip", T.BooleanType()))
 
 
 def decoded(tokens: DataFrame, model: str = MODEL) -> DataFrame:
     """`doc` and the `text` of its `ids`."""
     rows = tokens.select("doc", "ids")
-    return rows.mapInArrow(_decode(model), rows.select("doc").schema.add("text", "string"))
+    return rows.mapInArrow(_decode(model), rows.select("doc").schema.add("text", T.StringType()))
 
 
 def op8_sentencepiece(spark, sf_dir):
