@@ -1,13 +1,13 @@
 r"""Quality rules as weak supervision.
 
 Every rule votes good (1), bad (-1) or abstains (0) on a document. The rules'
-class-conditional vote rates and the share of good documents are estimated by
+class-conditional accuracies and the share of good documents are estimated by
 expectation-maximisation over the *counts of vote patterns*, so the iterations
 cost the same at any corpus size: one pass makes the votes, one grouped count
 makes at most 3**rules patterns, and each round is an aggregate of those. A
 document's verdict is its posterior probability of being good, not a list of
 tests it must all pass; only the two base conditions of the contract reject
-outright.
+outright. An abstention says nothing of either class.
 
 Columns and SQL expressions only: no Python runs on the executors.
 
@@ -39,9 +39,9 @@ RULES = (
     ("symbols", "5 * n_symbols > n_words", "100 * n_symbols <= n_words"),
     ("shouting", "2 * n_upper > word_chars", "4 * n_upper <= word_chars"),
     ("exclaiming", "2 * n_exclaims > n_words", "20 * n_exclaims <= n_words"),
-    ("repeated_windows", "10 * n_repeat_words > n_words", "n_repeat_words = 0"),
+    ("repeated_windows", "4 * n_repeat_words > n_words", "n_repeat_words = 0"),
     ("vocabulary", "n_words >= 50 AND 4 * n_distinct < n_words", "5 * n_distinct >= 2 * n_words"),
-    ("repeated_lines", "10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0"),
+    ("repeated_lines", "2 * n_dup_lines > n_lines", "n_dup_lines = 0"),
     ("word_length", "2 * word_chars < 5 * n_words OR word_chars > 12 * n_words", "word_chars >= 4 * n_words AND word_chars <= 9 * n_words"),
 )
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_exclaims")
@@ -100,7 +100,7 @@ def _m_step() -> list[str]:
     """SQL of the weighted vote counts in both classes; `n` rows share a pattern, `q` is its chance of being good."""
     sums = ["sum(n * q) AS g", "sum(n * (1 - q)) AS b"]
     for j in range(len(RULES)):
-        for v in (-1, 0, 1):
+        for v in (-1, 1):
             sums += [f"sum(CASE WHEN v{j} = {v} THEN n * q ELSE 0 END) AS g{j}_{v + 1}", f"sum(CASE WHEN v{j} = {v} THEN n * (1 - q) ELSE 0 END) AS b{j}_{v + 1}"]
     return sums
 
@@ -109,18 +109,19 @@ def _e_step(value) -> str:
     """SQL of a pattern's posterior; `value` renders a sum of the M-step as SQL."""
     terms = [f"ln({value('b')} + {SMOOTHING}) - ln({value('g')} + {SMOOTHING})"]
     for j in range(len(RULES)):
-        rate = lambda c, v: f"(ln({value(f'{c}{j}_{v + 1}')} + {SMOOTHING}) - ln({value(c)} + 3 * {SMOOTHING}))"  # noqa: E731, B023
-        cases = " ".join(f"WHEN {v} THEN {rate('b', v)} - {rate('g', v)}" for v in (-1, 0, 1))
-        terms.append(f"CASE v{j} {cases} END")
+        votes = lambda c: f"{value(f'{c}{j}_0')} + {value(f'{c}{j}_2')} + 2 * {SMOOTHING}"  # noqa: E731, B023
+        rate = lambda c, v: f"(ln({value(f'{c}{j}_{v + 1}')} + {SMOOTHING}) - ln({votes(c)}))"  # noqa: E731, B023
+        cases = " ".join(f"WHEN {v} THEN {rate('b', v)} - {rate('g', v)}" for v in (-1, 1))
+        terms.append(f"CASE v{j} {cases} ELSE 0 END")
     return f"1 / (1 + exp(greatest(-600.0, least(600.0, {' + '.join(terms)}))))"
 
 
-START = f"CASE WHEN {' OR '.join(f'v{j} < 0' for j in range(len(RULES)))} THEN 0.2 ELSE 0.9 END"
+START = f"CASE WHEN {' OR '.join(f'v{j} < 0' for j in range(len(RULES)))} THEN 0.01 ELSE 0.99 END"
 
 
 @dataclass(frozen=True)
 class RuleModel:
-    """The fitted sums: class totals and, per rule, how often each class votes bad, nothing, good."""
+    """The fitted sums: class totals and, per rule, how often each class is voted bad and good."""
 
     sums: dict[str, float]
 
