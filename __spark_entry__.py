@@ -626,9 +626,8 @@ def effect_of_quality(spark, d):
 
 def guarded_sql(spark, d):
     c = _comparison(spark, d, "house")
-    sqlview.register({"quotes": c.cells, "rfx_lines": c.items, "vendors": c.vendors})
-    return sqlview.query(
-        spark,
+    surface = sqlview.SqlSurface(spark, {"quotes": c.cells, "rfx_lines": c.items, "vendors": c.vendors})
+    return surface.query(
         "SELECT q.vendor, r.canonical_unit, COUNT(*) AS n, MIN(q.canonical_value) AS lowest FROM quotes q "
         "JOIN rfx_lines r ON r.sku = q.rfx_sku WHERE q.comparable = 1 AND q.canonical_value > :floor GROUP BY q.vendor, r.canonical_unit",
         {"floor": 1.0},

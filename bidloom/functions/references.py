@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bidloom.functions.common import as_col, blank_to_null
 
-TOKEN_PATTERN = r"(?i)\bRFX-[A-Z0-9]{2,10}-[A-Z0-9]{2,8}-[0-9a-f]{4}\b"
+TOKEN_PATTERN = r"(?i)\bRFX-[A-Z0-9]{2,10}-[A-Z0-9]{2,8}-[0-9a-f]{4,16}\b"
 
 
 def reference_slug(text: Column, length: int) -> Column:
@@ -15,11 +17,16 @@ def reference_slug(text: Column, length: int) -> Column:
     return F.when(cleaned != "", cleaned).otherwise(F.lit("X"))
 
 
-def reply_token(reference: Column, title: Column, supplier: Column, line_count: Column) -> Column:
+def checksum_digits(invitations: int) -> int:
+    """Digits that keep the expected number of chance collisions among so many invitations below one; four up to 256."""
+    return 4 + max(0, math.ceil(2 * math.log(max(invitations, 1) / 256.0) / math.log(16)))
+
+
+def reply_token(reference: Column, title: Column, supplier: Column, line_count: Column, digits: int = 4) -> Column:
     """RFX-<request>-<supplier>-<checksum over the supplier's full name>."""
     request = reference_slug(F.coalesce(blank_to_null(reference), blank_to_null(title), F.lit("REQ")), 10)
     basis = F.concat_ws("|", request, F.lower(F.trim(F.coalesce(supplier, F.lit("")))), line_count.cast("string"))
-    digest = F.substring(F.sha1(F.encode(basis, "UTF-8")), 1, 4)
+    digest = F.substring(F.sha1(F.encode(basis, "UTF-8")), 1, digits)
     return F.concat_ws("-", F.lit("RFX"), request, reference_slug(supplier, 6), digest)
 
 

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidloom.functions.common import as_col
-from bidloom.functions.references import quoted_token, reply_token
+from bidloom.functions.references import checksum_digits, quoted_token, reply_token
 from bidloom.session import checkpoint
 
-NAME_PREFIX = 14
+#: A name is found by this many characters; names that begin alike are then compared whole.
+SNIPPET = 14
 SHORTEST_NAME = 4
+SALT_ROUNDS = 16
 
 
 def invitations(requests: DataFrame, invited: DataFrame) -> DataFrame:
@@ -18,18 +20,26 @@ def invitations(requests: DataFrame, invited: DataFrame) -> DataFrame:
 
     `requests` has request_id, reference, title and line_count; `invited` has
     request_id, vendor and vendor_ord. References that coincide inside a request
-    are salted and recomputed until all differ, keeping their shape.
+    are salted and recomputed until all differ, keeping their shape. The checksum
+    widens with the number of invitations, so fewer than one in a request is
+    expected to coincide and every round settles all but a vanishing share of
+    those: SALT_ROUNDS is far beyond what any input needs.
     """
     rows = invited.join(requests, "request_id").withColumn("salt", F.lit(0))
+    digits = checksum_digits(invited.count())
 
     def tokens(df: DataFrame) -> DataFrame:
         salted = F.when(F.col("salt") == 0, F.col("vendor")).otherwise(F.concat_ws("#", "vendor", F.col("salt").cast("string")))
-        return df.withColumn("token", reply_token(F.col("reference"), F.col("title"), salted, F.col("line_count")))
+        return df.withColumn("token", reply_token(F.col("reference"), F.col("title"), salted, F.col("line_count"), digits))
 
     issued = tokens(rows)
     clash = F.row_number().over(Window.partitionBy("request_id", "token").orderBy("salt", "vendor_ord", "vendor")) > 1
     marked = checkpoint(issued.withColumn("clash", clash))
+    rounds = 0
     while not marked.where("clash").isEmpty():
+        rounds += 1
+        if rounds > SALT_ROUNDS:
+            raise ValueError("the same supplier is invited more than once to one request")
         salted = marked.withColumn("salt", F.when(F.col("clash"), F.col("salt") + 1).otherwise(F.col("salt")))
         again = tokens(salted.drop("token", "clash"))
         marked = checkpoint(again.withColumn("clash", clash))
@@ -42,26 +52,31 @@ def attribute_replies(replies: DataFrame, invited: DataFrame) -> DataFrame:
     """Which invitation each reply answers, and on what basis: token, name or none.
 
     `replies` has reply_id and text; `invited` has vendor, vendor_ord and token. A quoted
-    reference that matches nothing identifies nobody. A name counts only when
-    it is long enough and the only one found. Names are looked up by equality
-    of fixed-length snippets against a table with one row per name prefix, so
-    a reply never meets every name.
+    reference that matches nothing, or that several invitations carry, identifies
+    nobody. A name counts only when it is long enough and the only one found. It
+    is found by its first SNIPPET characters; of names that begin alike, those
+    count that stand in the text whole, if any do, the longest of them before the
+    ones it contains. The lookup is an equality, so a reply never meets every name.
     """
     read = replies.select("reply_id", "text", quoted_token("text").alias("token"))
-    # One row per reference: should two requests ever share one, the earlier invitation holds it.
-    issued = invited.groupBy(F.upper("token").alias("token")).agg(F.min_by("vendor", "vendor_ord").alias("vendor"))
-    by_token = read.where(F.col("token").isNotNull()).select("reply_id", "token").join(issued, "token", "left").select("reply_id", "vendor", F.when(F.col("vendor").isNotNull(), F.col("token")).alias("token"),
-             F.when(F.col("vendor").isNotNull(), F.lit("token")).otherwise(F.lit("none")).alias("basis"))
+    issued = invited.groupBy(F.upper("token").alias("token")).agg(F.count("*").alias("holders"), F.min("vendor").alias("vendor")).where("holders = 1").drop("holders")
+    by_token = read.where(F.col("token").isNotNull()).select("reply_id", "token").join(issued, "token", "left").select(
+        "reply_id", "vendor", F.when(F.col("vendor").isNotNull(), F.col("token")).alias("token"),
+        F.when(F.col("vendor").isNotNull(), F.lit("token")).otherwise(F.lit("none")).alias("basis"),
+    )
 
     name = F.lower(F.trim("vendor"))
-    names = invited.where(F.length(F.trim("vendor")) >= SHORTEST_NAME).groupBy(F.substring(name, 1, NAME_PREFIX).alias("snippet")).agg(
-        F.count("*").alias("n"), F.min("vendor").alias("vendor")
-    )
+    names = invited.where(F.length(F.trim("vendor")) >= SHORTEST_NAME).groupBy(name.alias("name")).agg(F.count("*").alias("n"), F.min("vendor").alias("vendor"))
+    names = names.withColumn("snippet", F.substring("name", 1, SNIPPET))
     lengths = [r[0] for r in names.select(F.length("snippet")).distinct().collect()]  # at most 11 values
     plain = read.where(F.col("token").isNull())
-    found = _snippets(plain, lengths).join(names, "snippet").groupBy("reply_id").agg(
-        F.sum("n").alias("n"), F.min("vendor").alias("vendor")
-    ).where(F.col("n") == 1)
+    hits = _snippets(plain, lengths).join(names, "snippet").join(plain.select("reply_id", "text"), "reply_id")
+    hits = hits.withColumn("whole", F.lower("text").contains(F.col("name")))
+    some_whole = F.max("whole").over(Window.partitionBy("reply_id", "snippet"))
+    hits = hits.withColumn("some_whole", some_whole).where("whole OR NOT some_whole").select("reply_id", "name", "n", "vendor").distinct()
+    longest = hits.groupBy("reply_id").agg(F.sum("n").alias("n"), F.max_by("vendor", F.length("name")).alias("vendor"), F.max_by("name", F.length("name")).alias("longest"), F.collect_set("name").alias("all"))
+    only = F.forall("all", lambda x: F.col("longest").contains(x)) & (F.col("n") == F.size("all"))
+    found = longest.where(only).select("reply_id", "vendor")
     by_name = plain.select("reply_id").join(found, "reply_id", "left").select(
         "reply_id", "vendor", F.lit(None).cast("string").alias("token"),
         F.when(F.col("vendor").isNotNull(), F.lit("name")).otherwise(F.lit("none")).alias("basis"),

@@ -28,27 +28,23 @@ def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
 def unique_codes(df: DataFrame, code: str, order: str, *scope: str) -> DataFrame:
     """Repeated codes within a scope made distinct: `BX-001`, `BX-001-2`, ...
 
-    A suffixed code that lands on a code somebody really uses moves past it, so
-    the loop runs until nothing collides (one pass in practice).
+    Repeats of a code take its suffix numbers in order, leaving out those that
+    somebody's own code really uses. A list is made only of such numbers, per
+    code that is itself repeated.
     """
     keys = [*scope]
     turn = F.row_number().over(Window.partitionBy(*keys, code).orderBy(order))
-    ranked = df.withColumn("_turn", turn).withColumn("_bump", F.lit(0))
-    taken = df.select(*keys, F.col(code).alias("_taken")).distinct()
-    while True:
-        proposed = F.when(F.col("_turn") == 1, F.col(code)).otherwise(
-            F.concat(F.col(code), F.lit("-"), (F.col("_turn") + F.col("_bump")).cast("string"))
-        )
-        ranked = ranked.withColumn("_proposed", proposed)
-        on = [ranked[k].eqNullSafe(taken[k]) for k in keys] + [ranked["_proposed"] == taken["_taken"], ranked["_turn"] > 1]
-        clash = ranked.join(taken, on, "left_semi").select(*keys, code).distinct()
-        if clash.isEmpty():
-            return ranked.drop(code, "_turn", "_bump").withColumnRenamed("_proposed", code)
-        moved = clash.withColumn("_moved", F.lit(1))
-        ranked = checkpoint(
-            ranked.drop("_proposed").join(moved, [*keys, code], "left")
-            .withColumn("_bump", F.col("_bump") + F.coalesce("_moved", F.lit(0))).drop("_moved")
-        )
+    ranked = df.withColumn("_turn", turn)
+    suffixed = df.select(*keys, F.regexp_extract(code, "^(.*)-([1-9][0-9]{0,8})$", 1).alias("_base"), F.regexp_extract(code, "^(.*)-([1-9][0-9]{0,8})$", 2).alias("_n"))
+    suffixed = suffixed.where("_n <> '' AND _n <> '1'").select(*keys, "_base", F.col("_n").cast("int").alias("_n")).distinct()
+    repeated = ranked.where("_turn = 2").select(*keys, F.col(code).alias("_base"))
+    on = lambda left, right, a, b: [left[k].eqNullSafe(right[k]) for k in keys] + [left[a] == right[b]]
+    used = suffixed.join(repeated, on(suffixed, repeated, "_base", "_base"), "left_semi").groupBy(*keys, "_base").agg(F.array_sort(F.collect_list("_n")).alias("_used"))
+    placed = ranked.join(used, on(ranked, used, code, "_base"), "left").select(ranked["*"], F.coalesce("_used", F.array().cast("array<int>")).alias("_used"))
+    # The i-th number in use lies below the wanted one when it is at most i above the turn.
+    number = F.col("_turn") + F.size(F.filter("_used", lambda n, i: n - i <= F.col("_turn")))
+    named = F.when(F.col("_turn") == 1, F.col(code)).otherwise(F.concat(F.col(code), F.lit("-"), number.cast("string")))
+    return placed.withColumn("_named", named).drop(code, "_turn", "_used").withColumnRenamed("_named", code)
 
 
 def earliest_cluster(nodes: DataFrame, edges: DataFrame, key: str, rank: str) -> DataFrame:
@@ -74,8 +70,3 @@ def earliest_cluster(nodes: DataFrame, edges: DataFrame, key: str, rank: str) ->
         labels = fresh.drop("changed")
         if fresh.where("changed").isEmpty():
             return labels.select(F.col("node").alias(key), F.col("label.root").alias("root"))
-
-
-def first_seen_max(count: str, order: str, value: str) -> Column:
-    """Aggregate: the most frequent value, earliest seen on a tie."""
-    return F.max(F.struct(F.col(count), (-F.col(order)).alias("recency"), F.col(value)))[value]

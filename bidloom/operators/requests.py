@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,41 +28,85 @@ def latest(value: str, order: str = "event_ord") -> Column:
     return F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(order))).alias(value)
 
 
+_LINE_EVENTS = ("add_line", "revise_line", "remove_line")
+_FOLDED = ("sku", "added_at", "description", "quantity", "canonical_unit", "unit_family", "origin", "note")
+
+
 def fold_line_events(events: DataFrame) -> DataFrame:
     """The lines a log of add / revise / remove events leaves behind.
 
     Events have request_id, event_ord, op, sku, description, quantity, unit,
-    note, origin. A removal wipes what came before it; a revision counts only
-    after an addition and never changes who a line came from; adding a code that
-    is still present opens `code-2`.
+    note, origin. An addition takes its code, or `code-2`, `code-3` and so on
+    while those are present at that moment. A revision or removal names a line by
+    the code it was given, in either case of letters; blank descriptions, zero
+    quantities and blank units revise nothing; an origin never changes.
+
+    Which codes are present depends on the order of events, so every family of
+    codes (a code and its suffixed forms) of a request is played through in
+    order. Rows stream through in that order and only the lines present are held.
     """
-    e = events.where(F.col("op").isin("add_line", "revise_line", "remove_line")).withColumn("code", clean_code(F.col("sku")))
-    life = e.groupBy("request_id", "code").agg(F.coalesce(F.max(F.when(F.col("op") == "remove_line", F.col("event_ord"))), F.lit(-1)).alias("removed_at"))
-    alive = e.join(life, ["request_id", "code"]).where(F.col("event_ord") > F.col("removed_at"))
-    adds = alive.where(F.col("op") == "add_line")
-    first = adds.groupBy("request_id", "code").agg(F.min("event_ord").alias("added_at"))
-    # The first addition and its revisions fold together; later additions of a
-    # code still present are lines of their own.
-    main = alive.join(first, ["request_id", "code"]).where(
-        (F.col("event_ord") == F.col("added_at")) | ((F.col("op") == "revise_line") & (F.col("event_ord") > F.col("added_at")))
-    )
-    folded = main.groupBy("request_id", "code", "added_at").agg(
-        latest("description"), latest("quantity"), latest("unit"), latest("note"), F.min_by("origin", "event_ord").alias("origin")
-    )
-    again = adds.join(first, ["request_id", "code"]).where(F.col("event_ord") > F.col("added_at"))
-    turn = F.row_number().over(Window.partitionBy("request_id", "code").orderBy("event_ord")) + 1
-    repeats = again.select(
-        "request_id", F.concat_ws("-", "code", turn.cast("string")).alias("code"), F.col("event_ord").alias("added_at"),
-        "description", "quantity", "unit", "note", "origin",
-    )
-    unit = request_unit(F.coalesce("unit", F.lit("unit")))
+    e = events.where(F.col("op").isin(*_LINE_EVENTS)).withColumn("code", F.when(F.col("op") == "add_line", clean_code(F.col("sku"))).otherwise(F.upper(F.trim("sku"))))
     suggested = F.coalesce(F.lower("origin").startswith("sugg"), F.lit(False))
-    return folded.unionByName(repeats).withColumn("u", unit).select(
-        "request_id", F.col("code").alias("sku"), "added_at", F.trim("description").alias("description"),
-        F.when(F.col("quantity") != 0, F.col("quantity").cast("bigint")).alias("quantity"),
-        F.col("u.label").alias("canonical_unit"), F.col("u.family").alias("unit_family"),
-        F.when(suggested, F.lit("suggested")).otherwise(F.lit("buyer")).alias("origin"), F.coalesce("note", F.lit("")).alias("note"),
+    read = e.withColumn("u", request_unit(F.coalesce("unit", F.lit("unit")))).select(
+        "request_id", F.regexp_replace(F.upper("code"), "(-[0-9]+)+$", "").alias("family"), "event_ord", "op", "code",
+        F.trim("description").alias("description"), F.col("quantity").cast("bigint").alias("quantity"), F.col("u.label").alias("canonical_unit"),
+        F.col("u.family").alias("unit_family"), (F.coalesce(F.trim("unit"), F.lit("")) != "").alias("has_unit"), "note",
+        F.when(suggested, F.lit("suggested")).otherwise(F.lit("buyer")).alias("origin"),
     )
+    ordered = read.repartition("request_id", "family").sortWithinPartitions("request_id", "family", "event_ord")
+    kind = events.schema["request_id"].dataType.simpleString()
+    return ordered.mapInArrow(_fold, f"request_id {kind}, sku string, added_at bigint, description string, quantity bigint, canonical_unit string, unit_family string, origin string, note string")
+
+
+def _fold(batches):
+    """Play sorted events family by family; the lines still present at the end of each."""
+    kind, at, present, out = None, None, {}, []
+
+    def hand():
+        columns = list(zip(*out)) if out else [()] * (1 + len(_FOLDED))
+        types = [kind, pa.string(), pa.int64(), pa.string(), pa.int64(), *[pa.string()] * 4]
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], ["request_id", *_FOLDED])
+
+    def close():
+        out.extend((at[0], *(line[f] for f in _FOLDED)) for line in present.values())
+        present.clear()
+
+    for batch in batches:
+        kind = batch.schema.field("request_id").type
+        for event in batch.to_pylist():
+            key = (event["request_id"], event["family"])
+            if key != at:
+                close()
+                at = key
+            _play(present, event)
+        if out:
+            yield hand()
+    if at is not None:
+        close()
+    if out:
+        yield hand()
+
+
+def _play(present: dict, e: dict) -> None:
+    """Apply one event to the lines present, kept by their codes in upper case."""
+    code = e["code"]
+    if e["op"] == "add_line":
+        given, suffix = code, 2
+        while given.upper() in present:
+            given, suffix = f"{code}-{suffix}", suffix + 1
+        line = {f: e[f] for f in ("description", "canonical_unit", "unit_family", "origin")}
+        present[given.upper()] = line | {"sku": given, "added_at": e["event_ord"], "quantity": e["quantity"] or None, "note": e["note"] or ""}
+    elif e["op"] == "remove_line":
+        present.pop(code, None)
+    elif code in present:
+        line = present[code]
+        line["description"] = e["description"] or line["description"]
+        line["quantity"] = e["quantity"] or line["quantity"]
+        if e["has_unit"]:
+            line |= {f: e[f] for f in ("canonical_unit", "unit_family")}
+        if e["note"] is not None:
+            line["note"] = e["note"]
 
 
 def fold_scope_events(events: DataFrame, fields: tuple[str, ...] = ("title", "reference", "scope", "currency", "delivery_location", "starts_at", "ends_at")) -> DataFrame:

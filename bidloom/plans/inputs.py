@@ -317,9 +317,9 @@ EVENT_COLUMNS = {
     "request_id": "l_orderkey",
     "event_ord": "cast(row_number() over (partition by l_orderkey order by l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as bigint)",
     "op": "case when l_returnflag = 'R' and l_linestatus = 'F' then 'remove_line' when l_returnflag = 'N' then 'revise_line' else 'add_line' end",
-    "sku": "concat('LN-', lpad(cast(l_partkey % 3 as string), 3, '0'))",
-    "description": "case when l_tax > 0.04 then concat('item ', cast(l_partkey as string)) end",
-    "quantity": "case when l_discount > 0.03 then cast(l_quantity as bigint) end",
+    "sku": "concat(case when l_returnflag = 'N' then 'ln-' else 'LN-' end, lpad(cast(l_partkey % 3 as string), 3, '0'), case when (l_returnflag = 'N' or (l_returnflag = 'R' and l_linestatus = 'F')) and l_suppkey % 3 = 0 then '-2' else '' end)",
+    "description": "case when l_tax > 0.04 then concat('item ', cast(l_partkey as string)) when l_tax < 0.02 then ' ' end",
+    "quantity": "case when l_discount > 0.03 then cast(l_quantity as bigint) when l_discount > 0.01 then cast(0 as bigint) end",
     "unit": "case l_linenumber % 3 when 0 then 'per box' when 1 then 'per 100 sheets' end",
     "note": "case when l_tax < 0.02 then 'rush' end",
     "origin": "case when l_suppkey % 2 = 0 then 'suggested' else 'buyer' end",

@@ -72,6 +72,8 @@ class Scratch:
         """The table as written: later readers recompute nothing and need no executor of the writer."""
         where = self.path(name)
         df.write.partitionBy(*partition_by).parquet(where)
+        # Shuffle files of a finished step go when the driver's garbage does; a long job must not wait for that to happen by itself.
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, *tables: DataFrame) -> None:

@@ -207,14 +207,15 @@ JAC = "(len(list_intersect(t.marks, c.marks)) / CAST(len(list_distinct(list_conc
 OK_PAIR = f"(len(list_intersect(t.figs, c.figs)) = least(len(t.figs), len(c.figs)) AND (len(t.marks) = 0 OR len(c.marks) = 0 OR {JAC} >= 0.34))"
 
 FIRM = I.FIRM.format(k="c_custkey")
-INVITED = f"""inv0 AS (SELECT {I.REQUEST_OF} AS request_id, {FIRM} AS vendor, c_custkey AS vendor_ord, count(*) OVER (PARTITION BY {I.REQUEST_OF}) AS n FROM customer),
+INVITED = f"""inv0 AS (SELECT {I.REQUEST_OF} AS request_id, {FIRM} AS vendor, c_custkey AS vendor_ord, count(*) OVER (PARTITION BY {I.REQUEST_OF}) AS n,
+    4 + CAST(greatest(0, ceil(2 * ln(count(*) OVER () / 256.0) / ln(16))) AS INT) AS digits FROM customer),
 slug AS (SELECT *, substring(regexp_replace(upper(request_id), '[^A-Z0-9]', '', 'g'), 1, 10) AS rs, substring(regexp_replace(upper(vendor), '[^A-Z0-9]', '', 'g'), 1, 6) AS vs FROM inv0),
-tok AS (SELECT *, concat('RFX-', rs, '-', vs, '-', substring(sha1(concat(rs, '|', lower(vendor), '|', CAST(n AS VARCHAR))), 1, 4)) AS token0,
-    concat('RFX-', rs, '-', vs, '-', substring(sha1(concat(rs, '|', lower(vendor), '#1|', CAST(n AS VARCHAR))), 1, 4)) AS token1 FROM slug),
+tok AS (SELECT *, concat('RFX-', rs, '-', vs, '-', substring(sha1(concat(rs, '|', lower(vendor), '|', CAST(n AS VARCHAR))), 1, digits)) AS token0,
+    concat('RFX-', rs, '-', vs, '-', substring(sha1(concat(rs, '|', lower(vendor), '#1|', CAST(n AS VARCHAR))), 1, digits)) AS token1 FROM slug),
 inv AS (SELECT request_id, vendor, vendor_ord, CASE WHEN row_number() OVER (PARTITION BY request_id, token0 ORDER BY vendor_ord) > 1 THEN token1 ELSE token0 END AS token FROM tok)"""
-REPLIES = f"""{INVITED}, held AS (SELECT token, min(vendor) AS holder FROM inv GROUP BY 1), rep AS (SELECT o_orderkey AS reply_id, o_orderkey % 5 AS kind, vendor, token, holder, (o_custkey + 1) IN (SELECT c_custkey FROM customer) AS other_known FROM orders JOIN inv ON o_custkey = vendor_ord JOIN held USING (token)),
-att AS (SELECT reply_id, CASE WHEN kind = 0 THEN holder WHEN kind = 1 OR (kind = 4 AND NOT other_known) THEN vendor END AS vendor, CASE WHEN kind = 0 THEN upper(token) END AS token,
-    CASE WHEN kind = 0 THEN 'token' WHEN kind = 1 OR (kind = 4 AND NOT other_known) THEN 'name' ELSE 'none' END AS basis FROM rep)"""
+REPLIES = f"""{INVITED}, held AS (SELECT token, CASE WHEN count(*) = 1 THEN min(vendor) END AS holder FROM inv GROUP BY 1), rep AS (SELECT o_orderkey AS reply_id, o_orderkey % 5 AS kind, vendor, token, holder, (o_custkey + 1) IN (SELECT c_custkey FROM customer) AS other_known FROM orders JOIN inv ON o_custkey = vendor_ord JOIN held USING (token)),
+att AS (SELECT reply_id, CASE WHEN kind = 0 THEN holder WHEN kind = 1 OR (kind = 4 AND NOT other_known) THEN vendor END AS vendor, CASE WHEN kind = 0 AND holder IS NOT NULL THEN upper(token) END AS token,
+    CASE WHEN kind = 0 AND holder IS NOT NULL THEN 'token' WHEN kind = 1 OR (kind = 4 AND NOT other_known) THEN 'name' ELSE 'none' END AS basis FROM rep)"""
 REQ = f"req AS (SELECT {cols(I.REQUEST_COLUMNS)} FROM orders), moment AS (SELECT *, TRY_CAST(nullif(starts_at, '') AS TIMESTAMP) AS s, TRY_CAST(ends_at AS TIMESTAMP) AS e FROM req), win AS (SELECT *, CAST(floor((epoch(e) - epoch(s)) / 86400) AS BIGINT) AS days FROM moment)"
 DIRECTORY = f"""dir0 AS (SELECT concat(c_mktsegment, '-', CAST(c_nationkey AS VARCHAR)) AS category, {FIRM} AS vendor, c_custkey % 10 = 0 AS incumbent, {cols(I.DIRECTORY_SCORES)} FROM customer),
 dir AS (SELECT *, floor((quality + COALESCE(delivery, 0) + commercial + responsiveness) / (3 + CASE WHEN delivery IS NULL THEN 0 ELSE 1 END) * 10 + 0.5) / 10.0 AS rating FROM dir0)"""
@@ -231,15 +232,23 @@ def size_of(seed: str, scope: str, low: str, span: str) -> str:
 
 
 EVENTS = f"ev0 AS (SELECT {cols(I.EVENT_COLUMNS)} FROM lineitem)"
+# Played event by event: a list of the lines present, as the drafting tool holds it.
+LINE = "struct_pack(code := {0}, description := {1}, quantity := {2}, unit := {3}, note := {4}, origin := {5})"
 FOLD = f"""{EVENTS},
-life AS (SELECT *, COALESCE(max(event_ord) FILTER (op = 'remove_line') OVER (PARTITION BY request_id, sku), -1) AS gone FROM ev0),
-live AS (SELECT *, min(event_ord) FILTER (op = 'add_line') OVER (PARTITION BY request_id, sku) AS first_add FROM life WHERE event_ord > gone),
-main AS (SELECT request_id, sku, arg_max(description, event_ord) FILTER (description IS NOT NULL) AS description, arg_max(quantity, event_ord) FILTER (quantity IS NOT NULL) AS quantity,
-    arg_max(unit, event_ord) FILTER (unit IS NOT NULL) AS unit, arg_max(note, event_ord) FILTER (note IS NOT NULL) AS note, arg_min(origin, event_ord) AS origin
-    FROM live WHERE first_add IS NOT NULL AND (event_ord = first_add OR (op = 'revise_line' AND event_ord > first_add)) GROUP BY 1, 2),
-more AS (SELECT request_id, concat(sku, '-', CAST(1 + row_number() OVER (PARTITION BY request_id, sku ORDER BY event_ord) AS VARCHAR)) AS sku, description, quantity, unit, note, origin FROM live WHERE op = 'add_line' AND event_ord > first_add),
-fold AS (SELECT request_id, sku, description, nullif(quantity, 0) AS quantity, CASE unit WHEN 'per box' THEN 'per box' WHEN 'per 100 sheets' THEN 'per 100 sheets' ELSE 'per unit' END AS canonical_unit,
-    CASE unit WHEN 'per 100 sheets' THEN 'sheet' ELSE 'discrete' END AS unit_family, origin, COALESCE(note, '') AS note FROM (SELECT * FROM main UNION ALL SELECT * FROM more))"""
+ev AS MATERIALIZED (SELECT request_id, event_ord, op, upper(sku) AS code, trim(description) AS description, quantity, unit, note, CASE WHEN origin LIKE 'sugg%' THEN 'suggested' ELSE 'buyer' END AS origin FROM ev0),
+play AS (SELECT request_id, CAST(0 AS BIGINT) AS step, [{LINE.format("''", "''", "CAST(0 AS BIGINT)", "''", "''", "''")}][2:1] AS lines FROM ev GROUP BY request_id
+    UNION ALL SELECT p.request_id, e.event_ord, CASE e.op
+        WHEN 'add_line' THEN list_append(lines, {LINE.format(
+            "list_filter([CASE WHEN k = 1 THEN e.code ELSE concat(e.code, '-', k) END FOR k IN range(1, len(lines) + 2)], lambda c: NOT list_contains([x.code FOR x IN lines], c))[1]",
+            "e.description", "nullif(e.quantity, 0)", "e.unit", "COALESCE(e.note, '')", "e.origin")})
+        WHEN 'remove_line' THEN list_filter(lines, lambda x: x.code <> e.code)
+        ELSE list_transform(lines, lambda x: CASE WHEN x.code = e.code THEN {LINE.format(
+            "x.code", "COALESCE(nullif(e.description, ''), x.description)", "COALESCE(nullif(e.quantity, 0), x.quantity)",
+            "COALESCE(nullif(trim(e.unit), ''), x.unit)", "COALESCE(e.note, x.note)", "x.origin")} ELSE x END) END
+    FROM play p JOIN ev e ON e.request_id = p.request_id AND e.event_ord = p.step + 1),
+ended AS (SELECT request_id, unnest(arg_max(lines, step)) AS x FROM play GROUP BY request_id),
+fold AS (SELECT request_id, x.code AS sku, x.description AS description, x.quantity AS quantity, CASE x.unit WHEN 'per box' THEN 'per box' WHEN 'per 100 sheets' THEN 'per 100 sheets' ELSE 'per unit' END AS canonical_unit,
+    CASE x.unit WHEN 'per 100 sheets' THEN 'sheet' ELSE 'discrete' END AS unit_family, x.origin AS origin, x.note AS note FROM ended)"""
 TERMTEXT = "tt AS (SELECT o_orderkey AS request_id, o_orderpriority AS p, o_orderstatus AS s, CAST(o_custkey AS VARCHAR) AS c FROM orders)"
 TERMROWS = """tr AS (SELECT request_id, 1::BIGINT AS position, 'payment' AS kind, concat(p, chr(10), 'net of tax') AS text FROM tt UNION ALL SELECT request_id, 2, 'note 1', s FROM tt UNION ALL SELECT request_id, 3, 'payment (2)', c FROM tt)"""
 LINES_OF = "string_split_regex(regexp_replace({0}, '(\\r\\n|\\n|\\r)$', ''), '\\r\\n|\\n|\\r')"
@@ -374,8 +383,8 @@ def statements() -> dict[str, str]:
         "responses_flat": f"WITH {lines('supplier')} SELECT vendor, unit_text, currency, count(*) AS lines, count(quoted_value) AS priced, CAST(sum(CASE WHEN condition_1 IS NULL THEN 0 ELSE 1 END + CASE WHEN condition_2 IS NULL THEN 0 ELSE 1 END + CASE WHEN condition_3 IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS conditions FROM lines GROUP BY 1, 2, 3",
         "replenishment_draw": f"WITH {ITEMS}, {CATALOGUE}, r AS (SELECT *, row_number() OVER (PARTITION BY catalogue ORDER BY {lot('day-1', 'catalogue')}, sku) AS rn FROM catl) SELECT catalogue, sku, line_no, 'suggested' AS origin FROM r WHERE rn <= {size_of('day-1', 'catalogue', '10', '6')}",
         "annual_list": f"WITH {ITEMS}, {CATALOGUE}, core AS (SELECT catalogue, sku FROM catl WHERE line_no % 50 <= 28), k AS (SELECT catalogue, count(*) AS core FROM core GROUP BY 1), r AS (SELECT c.*, k.core, row_number() OVER (PARTITION BY c.catalogue ORDER BY {lot('2026', 'c.catalogue')}, sku) AS rn FROM catl c JOIN k ON k.catalogue = c.catalogue WHERE line_no % 50 > 28) SELECT catalogue, sku, 'buyer' AS origin FROM core UNION ALL SELECT catalogue, sku, 'buyer' FROM r WHERE rn <= {size_of('2026', 'catalogue', 'greatest(30, core)', 'greatest(35, core) - greatest(30, core) + 1')} - core",
-        "edit_log_fold": f"WITH {FOLD} SELECT * FROM fold",
-        "sendable_lines": f"WITH {FOLD} SELECT request_id, count(*) AS lines FROM fold WHERE origin <> 'suggested' GROUP BY 1",
+        "edit_log_fold": f"WITH RECURSIVE {FOLD} SELECT * FROM fold",
+        "sendable_lines": f"WITH RECURSIVE {FOLD} SELECT request_id, count(*) AS lines FROM fold WHERE origin <> 'suggested' GROUP BY 1",
         "table_diff": f"WITH b AS ({snap[0]}), a AS ({snap[1]}) SELECT COALESCE(b.request_id, a.request_id) AS request_id, COALESCE(b.line_no, a.line_no) AS line_no, CASE WHEN b.request_id IS NULL THEN 'added' WHEN a.request_id IS NULL THEN 'removed' WHEN b.item = a.item AND b.quantity = a.quantity THEN 'unchanged' ELSE 'changed' END AS change FROM b FULL JOIN a ON a.request_id = b.request_id AND a.line_no = b.line_no",
         "merged_edits": f"WITH b AS ({snap[0]}), a AS ({snap[1]}) SELECT a.request_id, concat('L-', CAST(a.line_no AS VARCHAR)) AS sku, concat('item ', CAST(a.item AS VARCHAR)) AS description, a.quantity, CASE WHEN b.request_id IS NULL THEN 'buyer' WHEN b.item % 2 <> 0 THEN 'document' WHEN a.item = b.item AND a.quantity = b.quantity THEN 'suggested' ELSE 'buyer' END AS origin FROM a LEFT JOIN b ON a.request_id = b.request_id AND a.line_no = b.line_no",
         "terms_parse": f"WITH {TERMTEXT}, {TERMROWS} SELECT * FROM tr",
