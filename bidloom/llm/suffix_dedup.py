@@ -17,9 +17,11 @@ n batches leave at most log2(n) + 1 levels and every entry is rewritten at most
 log2(n) times.
 
 What is decided. Windows whose deep fingerprint matched are all repeated. Where
-only the shallow one matched, they lie at the edge of a repeat, and they are
-compared one by one with the windows of all entries of that shallow fingerprint.
-No other window is repeated. So the result is exact up to 64-bit collisions.
+only the shallow one matched, they lie at the edge of a repeat. There the windows
+are taken in parts of PART, by their distance from the chosen suffix, and parts
+are judged likewise by the bytes that all of a part's windows contain and those
+that they span; what is open after that is compared window by window. No other
+window is repeated. So the result is exact up to 64-bit collisions.
 
 Defined results: a null text is empty and keeps the digest of nothing; texts
 shorter than LENGTH lose nothing by themselves; copies of a text (repeated rows
@@ -45,6 +47,7 @@ LENGTH = 400
 SPREAD = 200
 GRAM = 32
 BATCHES = 4
+PART = 16
 _LOW = U64(0xFFFFFFFF)
 
 
@@ -60,7 +63,7 @@ class Windows:
         valid = np.arange(n) + LENGTH <= ends
         starts = np.flatnonzero(valid)
         self.first = self.last = np.zeros(0, np.int64)
-        self.owner = self.shallow = self.deep = self.first
+        self.owner = self.sample = self.shallow = self.deep = self.first
         if not len(starts):
             return
         grams = self.hash_at(np.arange(n - GRAM + 1), GRAM)
@@ -78,13 +81,26 @@ class Windows:
         self.first = starts[at]
         self.last = starts[np.concatenate([at[1:], [len(starts)]]) - 1]
         self.owner = doc[at]
+        self.sample = chosen[at]
         self.shallow = mix(self.hash_at(chosen[at], LENGTH - SPREAD) + U64(1)).view(np.int64)
-        a, b = self.hash_at(self.first, LENGTH), self.hash_at(self.last, LENGTH)
-        self.deep = mix(a + mix(b + (self.last - self.first).astype(U64) * U64(0xD6E8FEB86659FD93)) + U64(2)).view(np.int64)
+        self.deep = self.span(self.first, self.last, 2)
 
     def hash_at(self, place: np.ndarray, length: int) -> np.ndarray:
         return mix((self._total[place + length] - self._total[place]) * self._inverse[place])
 
+    def span(self, first: np.ndarray, last: np.ndarray, salt: int) -> np.ndarray:
+        """Fingerprints of the bytes from the windows first through the windows last, at most LENGTH on."""
+        a, b = self.hash_at(first, LENGTH), self.hash_at(last, LENGTH)
+        return mix(a + mix(b + (last - first).astype(U64) * U64(0xD6E8FEB86659FD93)) + U64(salt)).view(np.int64)
+
+    def parts(self, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """An entry's parts: first and last window, what all windows at these distances contain, what these windows span."""
+        first, last, sample = int(self.first[j]), int(self.last[j]), int(self.sample[j])
+        near = sample - PART * np.arange((sample - last) // PART, (sample - first) // PART + 1)
+        a, b = np.maximum(first, near - PART + 1), np.minimum(last, near)
+        core = mix(self.hash_at(near, LENGTH - PART + 1) + U64(5)).view(np.int64)
+        return a, b, core, self.span(a, b, 4)
+
     def single(self, first: int, last: int) -> np.ndarray:
         """Fingerprints of the windows first..last, one by one."""
         return mix(self.hash_at(np.arange(first, last + 1), LENGTH) + U64(3)).view(np.int64)
@@ -127,27 +143,51 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("tid").slice(start, len(deep)), _lists(shallow), _lists(deep)], ["tid", "shallow", "deep"])
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The single windows of all entries under an open shallow fingerprint; of entries with a matched span, once a batch."""
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of all entries under an open shallow fingerprint; of entries with a matched span, once a batch."""
     for batch in batches:
         whole, open_, told = batch.column("whole").to_pylist(), batch.column("open").to_pylist(), set()
+        for start, data, bounds in slices(batch.column("text")):
+            w, cores, spans = Windows(data, bounds), [], []
+            for doc in range(len(bounds) - 1):
+                r = w.runs_of(doc)
+                used = _untold(_holds(_numbers(open_[start + doc]), w.shallow[r]), _holds(_numbers(whole[start + doc]), w.deep[r]), w.deep[r], told)
+                found = [w.parts(r.start + j) for j in used]
+                cores.append(np.concatenate([f[2] for f in found]) if found else np.zeros(0, np.int64))
+                spans.append(np.concatenate([f[3] for f in found]) if found else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("tid").slice(start, len(spans)), _lists(cores), _lists(spans)], ["tid", "shallow", "deep"])
+
+
+def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The single windows of parts that are still open; of parts with a matched span, once a batch."""
+    for batch in batches:
+        known, told = [batch.column(c).to_pylist() for c in ("open", "whole_parts", "open_parts")], set()
         for start, data, bounds in slices(batch.column("text")):
             w, parts = Windows(data, bounds), []
             for doc in range(len(bounds) - 1):
                 r, own = w.runs_of(doc), []
-                used = np.flatnonzero(_holds(_numbers(open_[start + doc]), w.shallow[r]))
-                matched = _holds(_numbers(whole[start + doc]), w.deep[r])
-                for j in used.tolist():
-                    key = int(w.deep[r][j])
-                    if matched[j] and key in told:
-                        continue
-                    if matched[j]:
-                        told.add(key)
-                    own.append(w.single(w.first[r][j], w.last[r][j]))
+                open_, whole_parts, open_parts = (_numbers(k[start + doc]) for k in known)
+                for j in np.flatnonzero(_holds(open_, w.shallow[r])).tolist():
+                    a, b, core, span = w.parts(r.start + j)
+                    for k in _untold(_holds(open_parts, core), _holds(whole_parts, span), span, told):
+                        own.append(w.single(int(a[k]), int(b[k])))
                 parts.append(_counted(np.concatenate(own)) if own else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("tid").slice(start, len(parts)), _lists(parts)], ["tid", "keys"])
 
 
+def _untold(used: np.ndarray, matched: np.ndarray, keys: np.ndarray, told: set[int]) -> list[int]:
+    """Which are used, of matched ones only those whose key was not told before."""
+    out = []
+    for j in np.flatnonzero(used).tolist():
+        key = int(keys[j])
+        if matched[j] and key in told:
+            continue
+        if matched[j]:
+            told.add(key)
+        out.append(j)
+    return out
+
+
 def spans_of(windows: np.ndarray) -> list[tuple[int, int]]:
     """Maximal covered runs of the windows that start at these places, in order."""
     if not len(windows):
@@ -175,16 +215,22 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> str:
 def _cut(with_text: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = [batch.column(c).to_pylist() for c in ("whole", "open", "single")]
+            known = [batch.column(c).to_pylist() for c in ("whole", "open", "whole_parts", "open_parts", "single")]
             for start, data, bounds in slices(batch.column("text")):
                 w, rows = Windows(data, bounds), []
                 for doc in range(len(bounds) - 1):
                     r, base = w.runs_of(doc), int(bounds[doc])
-                    whole, open_, ones = (_numbers(k[start + doc]) for k in known)
+                    whole, open_, whole_parts, open_parts, ones = (_numbers(k[start + doc]) for k in known)
                     places, matched, edge = [], _holds(whole, w.deep[r]), _holds(open_, w.shallow[r])
-                    for j in np.flatnonzero(matched | (edge & (len(ones) > 0))).tolist():
-                        a, b = int(w.first[r][j]), int(w.last[r][j])
-                        places.append(np.arange(a, b + 1) if matched[j] else a + np.flatnonzero(_holds(ones, w.single(a, b))))
+                    for j in np.flatnonzero(matched | edge).tolist():
+                        if matched[j]:
+                            places.append(np.arange(w.first[r][j], w.last[r][j] + 1))
+                            continue
+                        first, last, core, span = w.parts(r.start + j)
+                        sure, part = _holds(whole_parts, span), _holds(open_parts, core)
+                        for k in np.flatnonzero(sure | part)[::-1].tolist():
+                            a, b = int(first[k]), int(last[k])
+                            places.append(np.arange(a, b + 1) if sure[k] else a + np.flatnonzero(_holds(ones, w.single(a, b))))
                     spans = spans_of(np.concatenate(places) - base) if places else []
                     raw = data[base:int(bounds[doc + 1])].tobytes()
                     left = b"".join(raw[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(raw)]))
@@ -198,6 +244,10 @@ def _cut(with_text: bool):
     return cut
 
 
+def text_id(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 class SuffixIndex:
     """The family of levels: sorted runs of `(shallow, deep, n)` whose sizes are different powers of two of a batch."""
 
@@ -231,15 +281,35 @@ class SuffixIndex:
             self.scratch.drop(a, b)
 
 
+def _judged(entries: DataFrame, shallow: DataFrame, deep: DataFrame, names: tuple[str, str], scratch: Scratch) -> DataFrame:
+    """Per text, its deep fingerprints that matched and its shallow ones under which some entry is open.
+
+    `entries(tid, shallow, deep)`; `shallow` and `deep` are the fingerprints that occur twice.
+    """
+    met = entries.select("tid", "shallow", "deep").distinct().join(shallow, "shallow")
+    met = scratch.save(met.join(deep.withColumn("whole", F.lit(True)), "deep", "left"), "met")
+    edge = scratch.save(met.where("whole IS NULL").select("shallow").distinct().withColumn("edge", F.lit(True)), "edge")
+    own = met.join(edge, "shallow", "left").groupBy("tid").agg(
+        F.collect_set(F.when(F.col("whole"), F.col("deep"))).alias(names[0]), F.collect_set(F.when(F.col("edge"), F.col("shallow"))).alias(names[1])
+    )
+    return scratch.save(own, "own")
+
+
+def _zipped(entries: DataFrame, *keep: str) -> DataFrame:
+    return entries.select(*keep, "tid", F.explode(F.arrays_zip("shallow", "deep")).alias("e")).select(*keep, "tid", "e.shallow", "e.deep")
+
+
+def _twice(rows: DataFrame, name: str, scratch: Scratch) -> DataFrame:
+    return scratch.save(rows.groupBy(name).count().where("count > 1").select(name), "twice")
+
+
 def repeated_spans(docs: DataFrame, text: str = "text", batches: int = BATCHES, with_text: bool = False) -> DataFrame:
-    """`(tid, n_removed, spans, kept_sha256, kept_text)` of every distinct text that loses bytes; `tid` is the text's MD5."""
+    """`(tid, n_removed, spans, kept_sha256, kept_text)` of every distinct text that loses bytes; `tid` is the text's 64-bit hash."""
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
-    texts = docs.select(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("tid"), F.col(text).alias("text"))
-    entries = texts.mapInArrow(_entries, "tid string, shallow array<bigint>, deep array<bigint>").where(F.size("deep") > 0)
-    batch = F.pmod(F.xxhash64("tid"), F.lit(batches)).cast("int")
-    entries = scratch.save(entries.withColumn("batch", batch), "entries", ("batch",))
-    pairs = F.explode(F.arrays_zip("shallow", "deep")).alias("e")
-    entries = entries.select("batch", "tid", pairs).select("batch", "tid", "e.shallow", "e.deep")
+    texts = docs.select(text_id(text).alias("tid"), F.col(text).alias("text"))
+    schema = "tid bigint, shallow array<bigint>, deep array<bigint>"
+    entries = texts.mapInArrow(_entries, schema).where(F.size("deep") > 0)
+    entries = _zipped(scratch.save(entries.withColumn("batch", F.pmod("tid", F.lit(batches)).cast("int")), "entries", ("batch",)), "batch")
 
     index, hits = SuffixIndex(scratch), None
     for j in range(batches):
@@ -247,29 +317,26 @@ def repeated_spans(docs: DataFrame, text: str = "text", batches: int = BATCHES,
         hits = new if hits is None else hits.unionAll(new)
     hits = scratch.save(hits.distinct(), "all-hits")
     side = lambda kind: hits.where(F.col("kind") == kind).select(F.col("key").alias(kind))
-    met = entries.select("tid", "shallow", "deep").distinct().join(side("shallow"), "shallow")
-    met = scratch.save(met.join(side("deep").withColumn("whole", F.lit(True)), "deep", "left"), "met")
-    edge = scratch.save(met.where("whole IS NULL").select("shallow").distinct().withColumn("edge", F.lit(True)), "edge")
-    own = met.join(edge, "shallow", "left").groupBy("tid").agg(
-        F.collect_set(F.when(F.col("whole"), F.col("deep"))).alias("whole"), F.collect_set(F.when(F.col("edge"), F.col("shallow"))).alias("open")
-    )
-    near = texts.join(scratch.save(own, "own"), "tid").groupBy("tid").agg(*[F.first(c).alias(c) for c in ("text", "whole", "open")])
+    own = _judged(entries, side("shallow"), side("deep"), ("whole", "open"), scratch)
+    near = texts.join(own, "tid").groupBy("tid").agg(*[F.first(c).alias(c) for c in ("text", "whole", "open")])
     near = scratch.save(near, "near")
 
-    singles = scratch.save(near.where(F.size("open") > 0).mapInArrow(_edges, "tid string, keys array<bigint>").where(F.size("keys") > 0), "singles")
+    parts = _zipped(scratch.save(near.where(F.size("open") > 0).mapInArrow(_parts, schema).where(F.size("deep") > 0), "parts"))
+    own = _judged(parts, _twice(parts, "shallow", scratch), _twice(parts, "deep", scratch), ("whole_parts", "open_parts"), scratch)
+    left = near.select("tid", "text", "open").join(own.where(F.size("open_parts") > 0), "tid")
+    singles = scratch.save(left.mapInArrow(_singles, "tid bigint, keys array<bigint>").where(F.size("keys") > 0), "singles")
     singles = singles.select("tid", F.explode("keys").alias("key"))
-    twice = scratch.save(singles.groupBy("key").count().where("count > 1").select("key"), "twice")
-    single = scratch.save(singles.distinct().join(twice, "key").groupBy("tid").agg(F.collect_set("key").alias("single")), "single")
-    schema = "tid string, n_removed bigint, spans array<struct<start bigint, end bigint>>, kept_sha256 string, kept_text string"
-    cut = near.join(single, "tid", "left").mapInArrow(_cut(with_text), schema).where("n_removed > 0")
+    single = singles.distinct().join(_twice(singles, "key", scratch), "key").groupBy("tid").agg(F.collect_set("key").alias("single"))
+    near = near.join(scratch.save(own.join(single, "tid", "left"), "known"), "tid", "left")
+    schema = "tid bigint, n_removed bigint, spans array<struct<start bigint, end bigint>>, kept_sha256 string, kept_text string"
+    cut = near.mapInArrow(_cut(with_text), schema).where("n_removed > 0")
     return scratch.save(cut, "cut")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: str | None = None) -> DataFrame:
     """Every row with its text cut; `length` names a column of the text's characters to keep in step."""
     cut = repeated_spans(docs, text, with_text=True).select("tid", "kept_text")
-    tid = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    rows = docs.select(F.struct("*").alias("doc"), tid.alias("tid")).join(cut, "tid", "left")
+    rows = docs.select(F.struct("*").alias("doc"), text_id(text).alias("tid")).join(cut, "tid", "left")
     new = {text: F.coalesce("kept_text", F.col(f"doc.{text}"))}
     if length:
         new[length] = F.when(F.col("kept_text").isNull(), F.col(f"doc.{length}")).otherwise(F.length("kept_text")).cast(docs.schema[length].dataType)
@@ -279,7 +346,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: str | None = Non
 def op4_suffix_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     raw = F.coalesce("text", F.lit("")).cast("binary")
-    base = docs.select("doc_id", F.md5(raw).alias("tid"), F.octet_length(raw).cast("bigint").alias("n_bytes"), F.sha2(raw, 256).alias("sha"))
+    base = docs.select("doc_id", text_id("text").alias("tid"), F.octet_length(raw).cast("bigint").alias("n_bytes"), F.sha2(raw, 256).alias("sha"))
     cut = repeated_spans(docs).select("tid", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
     return base.join(cut, "tid", "left").select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
