@@ -46,6 +46,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Blocks that stand in a section rather than make one.
+LEAVES = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 pre blockquote figcaption caption hr legend summary td th tr".split())
 #: Elements whose content is not text of the page.
 HIDDEN = frozenset("applet audio canvas embed head iframe math noembed noframes noscript object script select style svg template textarea title video button datalist".split())
 RAW = frozenset("script style textarea title noembed noframes iframe".split())
@@ -146,7 +148,7 @@ def blocks(page: str) -> list[Block]:
                         del stack[k:]
                         hidden = sum(s[0] in HIDDEN for s in stack)
                         break
-                links, section = (0, section + 1) if name in BLOCKS and name not in ("p", "li") else (links, section)
+                links, section = (0, section + 1) if name in BLOCKS and name not in LEAVES else (links, section)
             continue
         if name == "br":
             breaks += 1
@@ -178,7 +180,7 @@ def blocks(page: str) -> list[Block]:
                 outside, inside = stack[-1][1:] if stack else (False, False)
                 inside = inside or name in ("article", "main")
                 stack.append((name, outside or _outside(name, attributes, inside), inside))
-            if name != "p":
+            if name not in LEAVES:
                 section += 1
     say(page[at:])
     end()
