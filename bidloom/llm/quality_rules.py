@@ -7,7 +7,8 @@ cost the same at any corpus size: one pass makes the votes, one grouped count
 makes at most 3**rules patterns, and each round is an aggregate of those. A
 document's verdict is its posterior probability of being good, not a list of
 tests it must all pass; only the two base conditions of the contract reject
-outright. An abstention says nothing of either class.
+outright. An abstention says nothing of either class. Every kind of fault is seen
+by two rules or more: what a single rule says alone cannot be told from chance.
 
 Columns and SQL expressions only: no Python runs on the executors.
 
@@ -37,6 +38,7 @@ SMOOTHING = 1.0
 #: name, bad when, good when (SQL over the counts below, valid in Spark and DuckDB); neither: the rule abstains.
 RULES = (
     ("symbols", "5 * n_symbols > n_words", "100 * n_symbols <= n_words"),
+    ("symbol_share", "20 * n_symbols > word_chars", "200 * n_symbols <= word_chars"),
     ("shouting", "2 * n_upper > word_chars", "4 * n_upper <= word_chars"),
     ("exclaiming", "2 * n_exclaims > n_words", "20 * n_exclaims <= n_words"),
     ("repeated_windows", "4 * n_repeat_words > n_words", "n_repeat_words = 0"),

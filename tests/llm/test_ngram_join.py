@@ -72,7 +72,7 @@ def test_odd_rows(spark):
 def test_blocks_of_similar_sets_meet():
     """Any pair at the bound shares an announced block key."""
     r = np.random.default_rng(3)
-    low, blocks = ngram_join.size_classes(90)
+    low, blocks, slack = ngram_join.size_classes(90)
     for n in (9, 10, 13, 19, 20, 40, 95, 200):
         for _ in range(30):
             common = r.integers(0, 2**63, n).astype(np.uint64)
@@ -87,6 +87,6 @@ def test_blocks_of_similar_sets_meet():
                 up = np.where(100 * len(x) >= 90 * low[kind + 1], kind + 1, -1)
                 keys = set()
                 for c in (kind, up):
-                    keys |= set(ngram_join.block_keys(x, np.array([0, len(x)]), c, blocks)[0].tolist())
+                    keys |= set(ngram_join.block_keys(x, np.array([0, len(x)]), c, blocks, slack)[0].tolist())
                 both.append(keys)
             assert both[0] & both[1]
