@@ -25,7 +25,6 @@ except ImportError:  # the subpackage is optional
 
 RATES_AS_OF = "2026-01-01"
 TODAY = "2026-03-01"
-HOUSES = ["House AFRICA", "House AMERICA", "House ASIA", "House EUROPE", "House MIDDLE EAST"]
 
 
 def _comparison(spark: SparkSession, d: str, level: str, scored: bool = False) -> comparison.Comparison:
@@ -47,6 +46,11 @@ def _joined(df: DataFrame) -> DataFrame:
     return df.select(*[F.array_join(c, ",").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes])
 
 
+def _houses(spark: SparkSession, d: str) -> list[str]:
+    """The pooled vendors, one for each region there is."""
+    return sorted(f"House {r.r_name}" for r in inputs.read(spark, d, "region").select("r_name").collect())
+
+
 def _listed(vendors: DataFrame) -> DataFrame:
     return vendors.withColumns({"quality_score": F.lit(1.0), "meets_requirements": F.lit(True)})
 
@@ -179,7 +183,7 @@ def cheapest_by_line(spark, d):
 
 
 def cheapest_hiding_vendors(spark, d):
-    return grid.cheapest_by_line(_comparison(spark, d, "house").cells, HOUSES[1:])
+    return grid.cheapest_by_line(_comparison(spark, d, "house").cells, _houses(spark, d)[1:])
 
 
 def win_counts(spark, d):
@@ -194,17 +198,17 @@ def winner_margin(spark, d):
 
 def price_matrix(spark, d):
     c = _comparison(spark, d, "house")
-    return grid.price_matrix(c.cells, c.items, HOUSES)
+    return grid.price_matrix(c.cells, c.items, _houses(spark, d))
 
 
 def status_grid(spark, d):
     c = _comparison(spark, d, "house")
-    return grid.display_grid(c.cells, c.items, HOUSES)[1]
+    return grid.display_grid(c.cells, c.items, _houses(spark, d))[1]
 
 
 def label_grid(spark, d):
     c = _comparison(spark, d, "house")
-    return grid.display_grid(c.cells, c.items, HOUSES)[0]
+    return grid.display_grid(c.cells, c.items, _houses(spark, d))[0]
 
 
 def headline_stats(spark, d):
@@ -415,8 +419,9 @@ def text_triage(spark, d):
 
 
 def document_limits(spark, d):
-    docs = inputs.read(spark, d, "documents").select("doc_id", documents.within_limit("text").alias("t"))
-    return docs.select("doc_id", "t.truncated", F.length("t.text").alias("chars"))
+    docs = inputs.read(spark, d, "documents").select("doc_id", documents.in_parts("text", 20_000).alias("t"))
+    chars = F.aggregate("t.parts", F.lit(0).cast("bigint"), lambda n, x: n + F.length(x["text"]))
+    return docs.select("doc_id", "t.over_limit", F.size("t.parts").alias("parts"), chars.alias("chars"))
 
 
 def decoded_text(spark, d):

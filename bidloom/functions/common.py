@@ -60,10 +60,6 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)
 
 
-def plural(count: Column, singular: str, many: str) -> Column:
-    return F.when(count == 1, F.lit(singular)).otherwise(F.lit(many))
-
-
 def percent(value: Column, places: int = 0) -> Column:
     return F.concat(F.format_string(f"%.{places}f", value * 100), F.lit("%"))
 

@@ -121,7 +121,3 @@ def rating_reason(scores: Column, incumbent: Column, note: Column) -> Column:
 
 def _trim(value: Column) -> Column:
     return F.regexp_replace(F.format_string("%.2f", value), r"\.?0+$", "")
-
-
-def any_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

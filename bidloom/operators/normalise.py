@@ -48,7 +48,7 @@ def normalise_quotes(
     priced = stated.withColumn("stated_currency", currency).withColumn(
         "price_currency", F.coalesce("stated_currency", F.lit(base_currency))
     )
-    priced = priced.join(F.broadcast(rates), F.col("price_currency") == F.col("fx_currency"), "left")
+    priced = priced.join(rates, F.col("price_currency") == F.col("fx_currency"), "left")
 
     # Each step names what the next ones test, so no condition is spelled twice.
     value, family = F.col("quoted_value"), F.col("quoted_family")

@@ -86,10 +86,9 @@ def triage(text: Column | str) -> Column:
     return F.struct(reason.isNotNull().alias("rejected"), F.coalesce(reason, F.lit("")).alias("reason"))
 
 
-def within_limit(text: Column | str, limit: int = V.MAX_DOC_CHARS) -> Column:
-    """STRUCT(text, truncated): a document cut where a reader's limit lies, and marked as cut."""
-    t = as_col(text)
-    over = F.length(t) > limit
-    return F.struct(
-        F.when(over, F.concat(F.substring(t, 1, limit), F.lit("\n\n[TRUNCATED -- document exceeded the size limit]"))).otherwise(t).alias("text"), over.alias("truncated")
-    )
+def in_parts(text: Column | str, limit: int = V.MAX_DOC_CHARS) -> Column:
+    """STRUCT(parts, over_limit): the whole text in parts that a reader with a size limit takes one by one, each with its offset."""
+    t = F.coalesce(as_col(text), F.lit(""))
+    starts = F.sequence(F.lit(0), F.greatest(F.length(t) - 1, F.lit(0)), F.lit(limit))
+    parts = F.transform(starts, lambda i: F.struct(i.alias("offset"), F.substr(t, i + 1, F.lit(limit)).alias("text")))
+    return F.struct(parts.alias("parts"), (F.length(t) > limit).alias("over_limit"))

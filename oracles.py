@@ -362,7 +362,7 @@ def statements() -> dict[str, str]:
         "located_rows": f"WITH l AS (SELECT conv_id, unnest({LINES_OF.format('text')}) AS line, generate_subscripts({LINES_OF.format('text')}, 1) AS line_no FROM conversations WHERE length(text) > 0) SELECT conv_id, count(*) AS rows, max(line_no) AS last_row FROM l WHERE trim(line) <> '' GROUP BY 1",
         "html_text": "WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '<br\\s*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS text FROM pages), l AS (SELECT page_id, unnest(" + LINES_OF.format("text") + ") AS line, generate_subscripts(" + LINES_OF.format("text") + ", 1) AS line_no FROM b WHERE length(text) > 0) SELECT page_id, line_no, concat('[line ', CAST(line_no AS VARCHAR), '] ', line) AS located FROM l",
         "text_triage": "WITH m AS (SELECT doc_id, text, 2 * (length(text) - length(replace(text, '�', ''))) + length(text) - length(replace(text, '■', '')) + length(text) - length(replace(text, '□', '')) AS marks FROM documents), r AS (SELECT doc_id, CASE WHEN regexp_full_match(text, '\\s*') THEN 'no extractable text layer (likely a scan)' WHEN marks >= 3 THEN concat(CAST(marks AS VARCHAR), ' unmapped glyphs in the text layer (currency symbols are probably being lost)') WHEN marks > 0 AND regexp_matches(text, '[0-9]') AND NOT regexp_matches(text, '(?i)[₹$€£]|INR|USD|EUR|GBP') THEN 'prices present but no currency marker survived extraction' END AS reason FROM m) SELECT doc_id, reason IS NOT NULL AS rejected, COALESCE(reason, '') AS reason FROM r",
-        "document_limits": "SELECT doc_id, length(text) > 180000 AS truncated, CAST(CASE WHEN length(text) > 180000 THEN 180000 + length('\n\n[TRUNCATED -- document exceeded the size limit]') ELSE length(text) END AS INTEGER) AS chars FROM documents",
+        "document_limits": "SELECT doc_id, length(coalesce(text, '')) > 20000 AS over_limit, CAST(greatest(1, ceil(length(coalesce(text, '')) / 20000.0)) AS INTEGER) AS parts, CAST(length(coalesce(text, '')) AS BIGINT) AS chars FROM documents",
         "decoded_text": "SELECT doc_id, md5(text) AS digest FROM documents",
         "file_formats": f"WITH {vendors('supplier')}, x AS (SELECT split_part(source_file, '.', 2) AS extension FROM resp) SELECT extension, CASE extension WHEN 'xlsx' THEN 'spreadsheet' WHEN 'pdf' THEN 'pdf' WHEN 'eml' THEN 'email' WHEN 'csv' THEN 'text' WHEN 'jpg' THEN 'image' ELSE 'word' END AS reader, CASE extension WHEN 'xlsx' THEN 'Spreadsheet' WHEN 'pdf' THEN 'PDF document' WHEN 'eml' THEN 'Email' WHEN 'csv' THEN 'Spreadsheet' WHEN 'jpg' THEN 'Photograph' ELSE 'Word document' END AS format, count(*) AS files FROM x GROUP BY 1",
         "file_outcomes": "WITH q AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY 1), d AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS file, c_custkey % 17 <> 0 AS has, c_custkey % 23 = 0 AS bad, n FROM customer LEFT JOIN q ON k = c_custkey) SELECT file, 'text' AS reader, has AND NOT bad AS ok, CASE WHEN has AND NOT bad THEN COALESCE(n, 0) ELSE 0 END AS lines_found, has AND NOT bad AND n IS NULL AS supporting, CASE WHEN NOT has THEN 'No readable content could be extracted from this file.' WHEN bad THEN 'unreadable' ELSE '' END AS error FROM d",
