@@ -2,19 +2,22 @@
 
 from pathlib import Path
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from compare import TABLES, compare
 
 DATA = Path("/root/testdata/sf0.001")
-CHECKED = ["award_lines", "normalized_quotes", "coverage_gaps", "scorecards", "dimension_match", "reply_attribution", "edit_log_fold", "consolidated_award"]
+CHECKED = [
+    "award_lines", "normalized_quotes", "coverage_gaps", "scorecards", "dimension_match", "reply_attribution", "edit_log_fold", "consolidated_award", "invite_tokens",
+    "unique_item_codes", "document_limits", "guarded_sql", "price_matrix",
+]
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="test tables not present")
 @pytest.mark.parametrize("name", CHECKED)
 def test_matches_sql(spark, name):
-    duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
