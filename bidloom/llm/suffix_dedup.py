@@ -93,32 +93,40 @@ class Windows:
         a, b = self.hash_at(first, LENGTH), self.hash_at(last, LENGTH)
         return mix(a + mix(b + (last - first).astype(U64) * U64(0xD6E8FEB86659FD93)) + U64(salt)).view(np.int64)
 
-    def parts(self, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """An entry's parts: first and last window, what all windows at these distances contain, what these windows span."""
-        first, last, sample = int(self.first[j]), int(self.last[j]), int(self.sample[j])
-        near = sample - PART * np.arange((sample - last) // PART, (sample - first) // PART + 1)
-        a, b = np.maximum(first, near - PART + 1), np.minimum(last, near)
+    def parts(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Parts of the given entries: entry, first and last window, what all windows at these distances contain, what these windows span."""
+        first, last, sample = self.first[runs], self.last[runs], self.sample[runs]
+        low, high = (sample - last) // PART, (sample - first) // PART
+        run, turn = _expand(high - low + 1)
+        near = sample[run] - PART * (low[run] + turn)
+        a, b = np.maximum(first[run], near - PART + 1), np.minimum(last[run], near)
         core = mix(self.hash_at(near, LENGTH - PART + 1) + U64(5)).view(np.int64)
-        return a, b, core, self.span(a, b, 4)
+        return runs[run], a, b, core, self.span(a, b, 4)
 
-    def single(self, first: int, last: int) -> np.ndarray:
-        """Fingerprints of the windows first..last, one by one."""
-        return mix(self.hash_at(np.arange(first, last + 1), LENGTH) + U64(3)).view(np.int64)
+    def single(self, windows: np.ndarray) -> np.ndarray:
+        return mix(self.hash_at(windows, LENGTH) + U64(3)).view(np.int64)
 
-    def runs_of(self, doc: int) -> slice:
-        return slice(*np.searchsorted(self.owner, [doc, doc + 1]))
 
+def _expand(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every index as often as its count says, and the turn of each."""
+    index = np.repeat(np.arange(len(counts)), counts)
+    return index, np.arange(len(index)) - np.repeat(np.cumsum(counts) - counts, counts)
 
-def _counted(keys: np.ndarray) -> np.ndarray:
-    """The distinct keys, those that occur again a second time as well."""
-    distinct, n = np.unique(keys, return_counts=True)
-    return np.concatenate([distinct, distinct[n > 1]])
 
+def _between(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges first..last, and the range of each."""
+    index, turn = _expand(last - first + 1)
+    return first[index] + turn, index
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-    marks = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(marks, pa.int32()), pa.array(flat, pa.int64()))
+
+def _lists(values: np.ndarray, owner: np.ndarray, count: int) -> pa.ListArray:
+    """A list per text of the values that it owns; owners rise."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(count + 1)), pa.int32()), pa.array(values, pa.int64()))
+
+
+def _known(batch: pa.RecordBatch, start: int, count: int, *names: str) -> list[np.ndarray]:
+    """Fingerprints told to any of the texts. What holds for a fingerprint holds for it in every text."""
+    return [np.unique(batch.column(n).slice(start, count).flatten().to_numpy(zero_copy_only=False)) for n in names]
 
 
 def _holds(found: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -128,76 +136,60 @@ def _holds(found: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return found[at] == keys
 
 
-def _numbers(cell) -> np.ndarray:
-    return np.sort(np.array(cell or [], np.int64))
+def _once(used: np.ndarray, matched: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which are used, of matched ones with the same key only the first: one occurrence is all that a match with it needs."""
+    again = used & matched
+    again[np.flatnonzero(again)[np.unique(keys[again], return_index=True)[1]]] = False
+    return np.flatnonzero(used & ~again)
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, data, bounds in slices(batch.column("text")):
-            w, shallow, deep = Windows(data, bounds), [], []
-            for doc in range(len(bounds) - 1):
-                r = w.runs_of(doc)
-                shallow.append(w.shallow[r])
-                deep.append(w.deep[r])
-            yield pa.RecordBatch.from_arrays([batch.column("tid").slice(start, len(deep)), _lists(shallow), _lists(deep)], ["tid", "shallow", "deep"])
+            w, n = Windows(data, bounds), len(bounds) - 1
+            yield pa.RecordBatch.from_arrays([batch.column("tid").slice(start, n), _lists(w.shallow, w.owner, n), _lists(w.deep, w.owner, n)], ["tid", "shallow", "deep"])
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of all entries under an open shallow fingerprint; of entries with a matched span, once a batch."""
+    """Parts of all entries under an open shallow fingerprint."""
     for batch in batches:
-        whole, open_, told = batch.column("whole").to_pylist(), batch.column("open").to_pylist(), set()
         for start, data, bounds in slices(batch.column("text")):
-            w, cores, spans = Windows(data, bounds), [], []
-            for doc in range(len(bounds) - 1):
-                r = w.runs_of(doc)
-                used = _untold(_holds(_numbers(open_[start + doc]), w.shallow[r]), _holds(_numbers(whole[start + doc]), w.deep[r]), w.deep[r], told)
-                found = [w.parts(r.start + j) for j in used]
-                cores.append(np.concatenate([f[2] for f in found]) if found else np.zeros(0, np.int64))
-                spans.append(np.concatenate([f[3] for f in found]) if found else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("tid").slice(start, len(spans)), _lists(cores), _lists(spans)], ["tid", "shallow", "deep"])
+            w, n = Windows(data, bounds), len(bounds) - 1
+            whole, open_ = _known(batch, start, n, "whole", "open")
+            run, _, _, core, span = w.parts(_once(_holds(open_, w.shallow), _holds(whole, w.deep), w.deep))
+            yield pa.RecordBatch.from_arrays([batch.column("tid").slice(start, n), _lists(core, w.owner[run], n), _lists(span, w.owner[run], n)], ["tid", "shallow", "deep"])
 
 
 def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The single windows of parts that are still open; of parts with a matched span, once a batch."""
+    """The single windows of parts that are still open."""
     for batch in batches:
-        known, told = [batch.column(c).to_pylist() for c in ("open", "whole_parts", "open_parts")], set()
         for start, data, bounds in slices(batch.column("text")):
-            w, parts = Windows(data, bounds), []
-            for doc in range(len(bounds) - 1):
-                r, own = w.runs_of(doc), []
-                open_, whole_parts, open_parts = (_numbers(k[start + doc]) for k in known)
-                for j in np.flatnonzero(_holds(open_, w.shallow[r])).tolist():
-                    a, b, core, span = w.parts(r.start + j)
-                    for k in _untold(_holds(open_parts, core), _holds(whole_parts, span), span, told):
-                        own.append(w.single(int(a[k]), int(b[k])))
-                parts.append(_counted(np.concatenate(own)) if own else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("tid").slice(start, len(parts)), _lists(parts)], ["tid", "keys"])
-
-
-def _untold(used: np.ndarray, matched: np.ndarray, keys: np.ndarray, told: set[int]) -> list[int]:
-    """Which are used, of matched ones only those whose key was not told before."""
-    out = []
-    for j in np.flatnonzero(used).tolist():
-        key = int(keys[j])
-        if matched[j] and key in told:
-            continue
-        if matched[j]:
-            told.add(key)
-        out.append(j)
+            w, n = Windows(data, bounds), len(bounds) - 1
+            open_, whole_parts, open_parts = _known(batch, start, n, "open", "whole_parts", "open_parts")
+            run, a, b, core, span = w.parts(np.flatnonzero(_holds(open_, w.shallow)))
+            used = _once(_holds(open_parts, core), _holds(whole_parts, span), span)
+            place, part = _between(a[used], b[used])
+            order = np.argsort(w.owner[run[used]][part], kind="stable")
+            yield pa.RecordBatch.from_arrays([batch.column("tid").slice(start, n), _lists(w.single(place)[order], w.owner[run[used]][part][order], n)], ["tid", "keys"])
+
+
+def repeated_windows(w: Windows, size: int, whole, open_, whole_parts, open_parts, single) -> np.ndarray:
+    """Which places of the bytes begin a repeated window."""
+    steps = np.zeros(size + 1, np.int64)
+    sure = _holds(whole, w.deep)
+    run, a, b, core, span = w.parts(np.flatnonzero(_holds(open_, w.shallow) & ~sure))
+    sure_part = _holds(whole_parts, span)
+    for first, last in ((w.first[sure], w.last[sure]), (a[sure_part], b[sure_part])):
+        np.add.at(steps, first, 1)
+        np.add.at(steps, last + 1, -1)
+    out = np.cumsum(steps[:-1]) > 0
+    rest = np.flatnonzero(_holds(open_parts, core) & ~sure_part)
+    place, _ = _between(a[rest], b[rest])
+    out[place[_holds(single, w.single(place))]] = True
     return out
 
 
-def spans_of(windows: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal covered runs of the windows that start at these places, in order."""
-    if not len(windows):
-        return []
-    cut = np.flatnonzero(np.diff(windows) > LENGTH) + 1
-    first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(windows)]]) - 1
-    return list(zip(windows[first].tolist(), (windows[last] + LENGTH).tolist()))
-
-
-def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> str:
+def whole_characters(text: bytes, spans: list[list[int]]) -> str:
     """The text without the spans, of which a character at a span's edge that is only partly inside is kept."""
     out, at = [], 0
     inside = lambda i: i < len(text) and text[i] & 0xC0 == 0x80
@@ -213,33 +205,32 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> str:
 
 
 def _cut(with_text: bool):
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = [batch.column(c).to_pylist() for c in ("whole", "open", "whole_parts", "open_parts", "single")]
             for start, data, bounds in slices(batch.column("text")):
-                w, rows = Windows(data, bounds), []
-                for doc in range(len(bounds) - 1):
-                    r, base = w.runs_of(doc), int(bounds[doc])
-                    whole, open_, whole_parts, open_parts, ones = (_numbers(k[start + doc]) for k in known)
-                    places, matched, edge = [], _holds(whole, w.deep[r]), _holds(open_, w.shallow[r])
-                    for j in np.flatnonzero(matched | edge).tolist():
-                        if matched[j]:
-                            places.append(np.arange(w.first[r][j], w.last[r][j] + 1))
-                            continue
-                        first, last, core, span = w.parts(r.start + j)
-                        sure, part = _holds(whole_parts, span), _holds(open_parts, core)
-                        for k in np.flatnonzero(sure | part)[::-1].tolist():
-                            a, b = int(first[k]), int(last[k])
-                            places.append(np.arange(a, b + 1) if sure[k] else a + np.flatnonzero(_holds(ones, w.single(a, b))))
-                    spans = spans_of(np.concatenate(places) - base) if places else []
-                    raw = data[base:int(bounds[doc + 1])].tobytes()
-                    left = b"".join(raw[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(raw)]))
-                    rows.append((len(raw) - len(left), spans, hashlib.sha256(left).hexdigest(), whole_characters(raw, spans) if with_text else None))
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("tid").slice(start, len(rows)), pa.array([x[0] for x in rows], pa.int64()),
-                    pa.array([[{"start": a, "end": b} for a, b in x[1]] for x in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array([x[2] for x in rows], pa.string()), pa.array([x[3] for x in rows], pa.string()),
-                ], ["tid", "n_removed", "spans", "kept_sha256", "kept_text"])
+                w, n, size = Windows(data, bounds), len(bounds) - 1, len(data)
+                repeated = repeated_windows(w, size, *_known(batch, start, n, "whole", "open", "whole_parts", "open_parts", "single"))
+                steps = np.zeros(size + LENGTH + 1, np.int64)
+                at = np.flatnonzero(repeated)
+                steps[at] += 1
+                steps[at + LENGTH] -= 1
+                gone = np.concatenate([np.cumsum(steps)[:size] > 0, [False]])
+                lost = np.concatenate([[0], np.cumsum(gone[:-1])])
+                rows = []
+                for doc in np.flatnonzero(np.diff(lost[bounds])).tolist():
+                    a, b = int(bounds[doc]), int(bounds[doc + 1])
+                    edge = np.flatnonzero(np.diff(gone[a:b].astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+                    left = data[a:b][~gone[a:b]].tobytes()
+                    text = whole_characters(data[a:b].tobytes(), edge.tolist()) if with_text else None
+                    rows.append((start + doc, b - a - len(left), [{"start": x, "end": y} for x, y in edge.tolist()], hashlib.sha256(left).hexdigest(), text))
+                doc, *columns = map(list, zip(*rows)) if rows else ([],) * 5
+                kinds = [pa.int64(), spans_type, pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("tid").take(pa.array(doc, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+                    ["tid", "n_removed", "spans", "kept_sha256", "kept_text"],
+                )
 
     return cut
 
