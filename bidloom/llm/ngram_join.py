@@ -4,20 +4,21 @@ Rows of the incidence matrix are documents' sets of distinct word shingles,
 columns are shingle hashes. The columns are cut into blocks by hash; how many
 blocks depends on the size class, and follows from the size-derived bound: two
 sets of a and b shingles with similarity s share at least s(a+b)/(1+s), so they
-differ in at most d = (1-s)(a+b)/(1+s) columns. With d + 2 blocks, a pair whose
-every block differs is below the bound and is discarded without being formed;
-a pair above it agrees in some block. Documents are therefore brought together
-by the fingerprint of a whole block of about (1+s)/2(1-s) shingles, never by a
-single frequent shingle. For the pairs left, the product's entries (overlap
-counts) are accumulated block of columns by block of columns, and a pair goes as
-soon as what is left cannot reach its bound.
-
-Large groups of near copies are not expanded into all pairs. Equal sets are one
-node. In each round a few leaders of every block group are compared with the
-group's members in *other* components; then components are joined, and groups
-that have become one component are done. Leaders grow geometrically up to the
-whole group, so in the end every pair of different components that shares a
-block has been compared: no link is lost.
+differ in at most d = (1-s)(a+b)/(1+s) columns. With d + 1 + slack blocks, a pair
+above the bound agrees in more than slack blocks, so it meets under the
+fingerprint of a whole block, and a set of which no more blocks than that recur
+elsewhere (empty ones counted) has no partner at all and is discarded before any
+pair is formed. Sets that share a passage or a few frequent shingles agree in a
+block or two and go here.
+
+Near copies come in groups of thousands. The least set of a block group is its
+leader; every member is multiplied with the leader only, and where all of them are
+linked with it the group is done. In other groups of three or more, the members
+are cut into blocks of rows of bounded size, and every two blocks of a group are
+multiplied in one task: overlap counts are accumulated over blocks of the columns
+that recur, pairs below their bound are dropped there, and what leaves the task is
+a spanning set of the links. So a pair of a group never is a row of a table, no
+task holds more than two blocks, and no link between components is lost.
 
 Defined results: null or blank texts, and texts without words, have no shingles
 and are linked with nothing; a text of fewer words than a shingle is one shingle;
@@ -34,6 +35,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,30 +46,30 @@ from bidloom.session import Scratch
 
 SHINGLE = 5
 PERCENT = 80
-#: Blocks that may be empty in both sets without a document having to announce its empty blocks.
-SLACK = 1
+#: Slack as a part of the columns that may differ.
+SLACK_PART = 4
 GROWTH = 1.5
-#: Columns of the product that one step accumulates, as parts of the hash space.
-COLUMN_BLOCKS = 4
-LEADER_GROWTH = 16
+#: Rows of a block, about, and columns of one step of a product.
+BLOCK_ROWS, BLOCK_COLUMNS = 200, 4096
 
 
 @cache
-def size_classes(percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least size of every class, and its number of blocks. Below the first class only equal sets can link."""
+def size_classes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least size of every class, its number of blocks and its slack. Below the first class only equal sets can link."""
     least = -(-percent // (100 - percent))
     bounds = [least]
     while bounds[-1] < 1 << 40:
         bounds.append(int(np.ceil(bounds[-1] * GROWTH)))
     low = np.array(bounds[:-1])
-    high = np.array(bounds[1:]) - 1
-    return low, 2 * high * (100 - percent) // (100 + percent) + 1 + SLACK
+    differ = 2 * (np.array(bounds[1:]) - 1) * (100 - percent) // (100 + percent)
+    slack = differ // SLACK_PART + 1
+    return low, differ + 1 + slack, slack
 
 
-def block_keys(shingles: np.ndarray, marks: np.ndarray, classes: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of the blocks of every set under its given class (-1: none), and each set's range in them.
+def block_keys(shingles: np.ndarray, marks: np.ndarray, classes: np.ndarray, blocks: np.ndarray, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints of the blocks of every set under its given class (-1: none), each set's range in them, and how many must recur.
 
-    An empty block is only announced by a set with more than SLACK of them.
+    Empty blocks are left out unless a set has more of them than the slack; then one block that recurs is enough.
     """
     count = np.where(classes >= 0, blocks[np.maximum(classes, 0)], 0)
     offset = np.concatenate([[0], np.cumsum(count)])
@@ -79,14 +81,13 @@ def block_keys(shingles: np.ndarray, marks: np.ndarray, classes: np.ndarray, blo
     at = offset[owner] + ((h >> U64(33)) % count[owner].astype(U64)).astype(np.int64) if len(s) else np.zeros(0, np.int64)
     sums = np.zeros(offset[-1], U64)
     np.add.at(sums, at, mix(s))
-    filled = np.zeros(offset[-1], bool)
-    filled[at] = True
+    empty = np.bincount(at, minlength=offset[-1]) == 0
     doc = np.repeat(np.arange(len(size)), count)
     place = np.arange(offset[-1]) - offset[doc] if len(doc) else np.zeros(0, np.int64)
-    empty = np.bincount(doc, ~filled, len(size)) if len(doc) else np.zeros(len(size))
-    keep = filled | (empty > SLACK)[doc] if len(doc) else filled
+    spare = slack[np.maximum(classes, 0)] - np.bincount(doc, empty, len(size)).astype(np.int64)
+    keep = ~empty | (spare < 0)[doc]
     key = mix(sums + mix((classes[doc].astype(U64) << U64(40)) + place.astype(U64)))
-    return key[keep], np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=len(size)))]).astype(np.int64)
+    return key[keep], np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=len(size)))]).astype(np.int64), np.maximum(spare, 0) + 1
 
 
 def set_ids(shingles: np.ndarray, marks: np.ndarray) -> np.ndarray:
@@ -95,7 +96,7 @@ def set_ids(shingles: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 
 def _sets(size: int, percent: int):
-    low, blocks = size_classes(percent)
+    low, blocks, slack = size_classes(percent)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,17 +108,14 @@ def _sets(size: int, percent: int):
                 nxt = np.minimum(kind + 1, len(low) - 1)
                 upper = np.where((kind >= 0) & (100 * n >= percent * low[nxt]) & (nxt > kind), nxt, -1)
                 first = np.where((kind < 0) & (100 * n >= percent * low[0]), 0, -1)
-                keys, ends = [], np.zeros(len(n) + 1, np.int64)
-                parts = [block_keys(s, marks, c, blocks) for c in (kind, np.maximum(upper, first))]
-                for j in range(len(n)):
-                    keys += [k[m[j]:m[j + 1]] for k, m in parts]
-                ends = sum(m for _, m in parts)
-                flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+                columns = []
+                for c in (kind, np.maximum(upper, first)):
+                    keys, ends, need = block_keys(s, marks, c, blocks, slack)
+                    columns += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.view(np.int64))), pa.array(need, pa.int64())]
                 identity = set_ids(s, marks)
                 ids = batch.column("id").slice(start, len(n))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(n, pa.int64()), pa.array(identity, mask=n == 0), lists], ["id", "n", "set_id", "keys"]
+                    [ids, pa.array(n, pa.int64()), pa.array(identity, mask=n == 0), *columns], ["id", "n", "set_id", "keys", "need", "upper_keys", "upper_need"]
                 )
 
     return read
@@ -135,77 +133,105 @@ def _incidence(size: int):
     return read
 
 
-def overlaps(left: list[bytes], right: list[bytes], percent: int) -> np.ndarray:
-    """Which pairs of incidence rows reach the similarity: overlap counts summed over column blocks, hopeless pairs dropped between them."""
-    rows = [[np.frombuffer(x, U64) for x in side] for side in (left, right)]
-    size = [np.array([len(x) for x in side], np.int64) for side in rows]
-    need = -(-percent * (size[0] + size[1]) // (100 + percent))
-    alive = np.arange(len(left))
-    found = np.zeros(len(left), np.int64)
-    edges = np.array([j * ((1 << 64) // COLUMN_BLOCKS) for j in range(1, COLUMN_BLOCKS)], U64)
-    cuts = [np.array([[0, *np.searchsorted(x, edges), len(x)] for x in side], np.int64).reshape(len(side), COLUMN_BLOCKS + 1) for side in rows]
-    for j in range(COLUMN_BLOCKS):
-        left_over = np.minimum(*[c[alive, -1] - c[alive, j] for c in cuts])
-        alive = alive[found[alive] + left_over >= need[alive]]
-        if not len(alive):
-            break
-        cells, owner = [], []
-        for side, c in zip(rows, cuts):
-            part = [side[i][c[i, j]:c[i, j + 1]] for i in alive.tolist()]
-            cells += part
-            owner.append(np.repeat(alive, [len(p) for p in part]))
-        owner = np.concatenate(owner)
-        tagged = np.concatenate(cells) ^ mix(owner.astype(U64) + U64(1))
-        order = np.argsort(tagged, kind="stable")
-        met = np.flatnonzero(tagged[order][1:] == tagged[order][:-1])
-        found += np.bincount(owner[order][met], minlength=len(left))
-    return found >= need
-
-
-def _product(percent: int):
+def differences(left: list[bytes], right: list[bytes]) -> list[np.ndarray]:
+    """Of every pair of incidence rows, the columns that only one of them has."""
+    out = []
+    for a, b in zip(left, right):
+        x = np.sort(np.frombuffer(a + b, U64))
+        same = np.zeros(len(x) + 1, bool)
+        same[1:-1] = x[1:] == x[:-1]
+        out.append(x[~(same[1:] | same[:-1])].view(np.int64))
+    return out
+
+
+def _with_leader(percent: int):
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                part = batch.slice(start, 128)
-                good = overlaps(part.column("row_a").to_pylist(), part.column("row_b").to_pylist(), percent)
-                yield part.select(["a", "b"]).filter(pa.array(good))
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                left, right = part.column("leader_row").to_pylist(), part.column("row").to_pylist()
+                size = np.array([(len(a) + len(b)) // 8 for a, b in zip(left, right)])
+                near = np.array(differences(left, right)) * (100 + percent) <= (100 - percent) * size
+                yield pa.RecordBatch.from_arrays([part.column("leader"), part.column("node"), pa.array(near)], ["leader", "node", "near"])
+
+    return multiply
+
+
+def differences(left: list[bytes], right: list[bytes]) -> list[int]:
+    """Of every pair of incidence rows, how many columns only one of them has."""
+    out = []
+    for a, b in zip(left, right):
+        x = np.sort(np.frombuffer(a + b, U64))
+        out.append(len(x) - 2 * int(np.count_nonzero(x[1:] == x[:-1])))
+    return out
+
+
+def product(rows: list[np.ndarray]) -> np.ndarray:
+    """Overlap counts of every two incidence rows, summed over blocks of the columns that recur."""
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    order = np.argsort(np.concatenate(rows), kind="stable")
+    column, owner = np.concatenate(rows)[order], owner[order]
+    first = np.concatenate([[True], column[1:] != column[:-1]])
+    number = np.cumsum(first) - 1
+    again = np.bincount(number)[number] > 1
+    number, owner = (np.cumsum(first[again]) - 1), owner[again]
+    overlap = np.zeros((len(rows), len(rows)), np.float32)
+    for at in range(0, int(number[-1]) + 1 if len(number) else 0, BLOCK_COLUMNS):
+        a, b = np.searchsorted(number, [at, at + BLOCK_COLUMNS])
+        cells = np.zeros((len(rows), BLOCK_COLUMNS), np.float32)
+        cells[owner[a:b], number[a:b] - at] = 1
+        overlap += cells @ cells.T
+    return overlap
+
+
+def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect all that is linked: each row with the first row of its component."""
+    out, fresh = [], np.ones(len(linked), bool)
+    for i in range(len(linked)):
+        if fresh[i]:
+            fresh[i], front = False, np.array([i])
+            while len(front):
+                front = np.flatnonzero(linked[front].any(0) & fresh)
+                fresh[front] = False
+                out += [(i, int(j)) for j in front]
+    return out
+
+
+def _of_two_blocks(percent: int):
+    def multiply(table_: pa.Table) -> pa.Table:
+        node = table_.column("node").to_pylist()
+        rows = [np.frombuffer(r, U64) for r in table_.column("row").to_pylist()]
+        edges = []
+        if any(table_.column("far").to_pylist()):
+            n = np.array([len(r) for r in rows])
+            edges = spanning(product(rows) * (100 + percent) >= percent * (n[:, None] + n[None, :]))
+        return pa.table({"a": pa.array([node[i] for i, _ in edges], pa.int64()), "b": pa.array([node[j] for _, j in edges], pa.int64())})
 
     return multiply
 
 
 def _links(members: DataFrame, rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Verified links between sets, round by round, as one table of edges `(a, b)`.
+    """Links `(a, b)` between sets that connect all that is linked.
 
     `members(key, set_id)`: the block groups with more than one set; `rows(set_id, row)`: their incidence rows.
     """
-    a, b = (rows.withColumnsRenamed({"set_id": c, "row": f"row_{c}"}) for c in "ab")
-    largest = members.groupBy("key").count().agg(F.max("count")).first()[0] or 0
-    edges, tried, open_groups, leaders = None, None, members.withColumn("root", F.col("set_id")), 1
-    while True:
-        sizes = open_groups.groupBy("key").agg(F.count("*").alias("size"), F.min("set_id").alias("least"))
-        lead = open_groups.join(scratch.save(sizes, "sizes"), "key")
-        turn = F.pmod(F.xxhash64("key", "set_id", F.lit(leaders)), F.greatest(F.lit(1), F.floor(F.col("size") / leaders))) == 0
-        lead = lead.where(turn | (F.col("set_id") == F.col("least"))).select("key", F.col("set_id").alias("lead"), F.col("root").alias("lead_root"))
-        met = scratch.save(lead, "leaders").join(open_groups, "key").where("root <> lead_root")
-        pairs = met.select(F.least("lead", "set_id").alias("a"), F.greatest("lead", "set_id").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        good = pairs.join(a, "a").join(b, "b").mapInArrow(_product(percent), "a bigint, b bigint")
-        good = scratch.save(good, "links")
-        edges = good if edges is None else edges.unionAll(good)
-        if leaders >= largest:
-            return edges
-        labels = components(edges, scratch)
-        rooted = members.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root"))
-        rooted = scratch.save(rooted, "rooted")
-        split = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        open_groups = scratch.save(rooted.join(scratch.save(split, "split"), "key", "left_semi"), "open")
-        scratch.drop(rooted)
-        if open_groups.isEmpty():
-            return edges
-        leaders *= LEADER_GROWTH
+    heads = members.groupBy("key").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("last")).where("leader <> last").drop("last")
+    stars = members.join(scratch.save(heads, "heads"), "key").select("leader", F.col("set_id").alias("node")).where("leader <> node").distinct()
+    led = scratch.save(stars, "stars").join(rows.select(F.col("set_id").alias("leader"), F.col("row").alias("leader_row")), "leader")
+    led = led.join(rows.withColumnRenamed("set_id", "node"), "node").mapInArrow(_with_leader(percent), "leader bigint, node bigint, near boolean")
+    led = scratch.save(led, "led")
+    plain = led.where("near").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+
+    # A group of two has no other pair; one whose members all link with the leader is connected.
+    undone = led.groupBy("leader").agg(F.count("*").alias("others"), F.count_if(~F.col("near")).alias("far")).where("others > 1 AND far > 0")
+    undone = scratch.save(undone.select("leader", F.ceil((F.col("others") + 1) / BLOCK_ROWS).cast("int").alias("blocks")), "undone")
+    left = led.join(undone, "leader").select("leader", "node", "blocks", (~F.col("near")).alias("far"))
+    left = left.unionAll(undone.select("leader", F.col("leader").alias("node"), "blocks", F.lit(False)))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    left = left.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = scratch.save(left.select("leader", "node", "far", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")), "blocks")
+    more = left.join(rows.withColumnRenamed("set_id", "node"), "node").groupBy("leader", "x", "y").applyInArrow(_of_two_blocks(percent), "a bigint, b bigint")
+    return scratch.save(plain.unionAll(more), "links")
 
 
 def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -213,12 +239,15 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     scratch = Scratch(docs.sparkSession, "ngram-join")
     docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     kind = docs.schema["id"].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("set_id", T.LongType()), *[T.StructField(p + c, k) for p in ("", "upper_") for c, k in (("keys", T.ArrayType(T.LongType())), ("need", T.LongType()))]])
     sets = scratch.save(docs.mapInArrow(_sets(size, percent), schema), "sets")
 
-    keys = sets.select("set_id", F.explode("keys").alias("key"))
+    own, upper = (sets.select("set_id", F.lit(p).alias("side"), F.col(f"{p}need").alias("need"), F.explode(f"{p}keys").alias("key")) for p in ("", "upper_"))
+    keys = own.unionAll(upper)
     shared = keys.groupBy("key").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x <> y").select("key")
-    members = scratch.save(keys.join(scratch.save(shared, "shared"), "key").select("key", "set_id").distinct(), "members")
+    met = keys.join(scratch.save(shared, "shared"), "key").distinct()
+    enough = F.count("*").over(Window.partitionBy("set_id", "side")) >= F.col("need")
+    members = scratch.save(met.withColumn("enough", enough).where("enough").select("key", "set_id"), "members")
 
     nodes = members.select("set_id").distinct()
     chosen = sets.join(scratch.save(nodes, "nodes"), "set_id", "left_semi").groupBy("set_id").agg(F.min("id").alias("chosen"))
