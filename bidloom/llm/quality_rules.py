@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidloom.llm.tables import SPACE, WORD, let, table, words
+from bidloom.llm.tables import WORD, let, table, words
 from bidloom.session import Scratch
 
 MIN_WORDS = 20
