@@ -128,8 +128,8 @@ def lattice(pieces: Pieces, grid: np.ndarray) -> np.ndarray:
     return out
 
 
-def viterbi(pieces: Pieces, cells: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """Best path of every word as `(start, end, piece)`; a character without a piece costs more than any piece."""
+def viterbi(pieces: Pieces, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best path of every word as marks between pieces and their number; a character without a piece costs more than any piece."""
     n, length, most = cells.shape
     scores = np.where(cells == NONE, -np.inf, pieces.scores[cells])
     lonely = pieces.scores.min() - 10.0
@@ -143,19 +143,20 @@ def viterbi(pieces: Pieces, cells: np.ndarray) -> list[list[tuple[int, int, int]
         at = reach.argmax(1)
         best[:, end] = reach[np.arange(n), at]
         back[:, end] = widths[at]
-    paths = []
-    for row in range(n):
-        end, path = length, []
-        while end:
-            start = end - int(back[row, end])
-            path.append((start, end, int(cells[row, start, end - start - 1])))
-            end = start
-        paths.append(path[::-1])
-    return paths
-
-
-def merges(pieces: Pieces, cells: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """Byte-pair segmentation of every word as `(start, end, piece)`: best score first, leftmost on a tie."""
+    # All words walk back together; marks are filled from the end and then moved to the front.
+    marks = np.full((n, length + 1), length)
+    count, end, rows = np.zeros(n, np.int64), np.full(n, length), np.arange(n)
+    while len(rows):
+        end[rows] -= back[rows, end[rows]]
+        count[rows] += 1
+        marks[rows, length - count[rows]] = end[rows]
+        rows = rows[end[rows] > 0]
+    take = np.minimum(np.arange(length + 1)[None, :] + (length - count)[:, None], length)
+    return np.take_along_axis(marks, take, 1), count
+
+
+def merges(pieces: Pieces, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte-pair segmentation of every word as marks between pieces and their number: best score first, leftmost on a tie."""
     n, length, most = cells.shape
     rank = np.where(cells == NONE, np.inf, -pieces.scores[cells])
     alive = np.arange(n)
@@ -178,15 +179,15 @@ def merges(pieces: Pieces, cells: np.ndarray) -> list[list[tuple[int, int, int]]
         marks[alive, :length] = moved
         marks[alive, length] = length
         count[alive] -= 1
-    return [[(a, b, int(cells[r, a, b - a - 1])) for a, b in zip(marks[r, : count[r]].tolist(), marks[r, 1 : count[r] + 1].tolist())] for r in range(n)]
+    return marks, count
 
 
-def _one_long(pieces: Pieces, points: np.ndarray) -> list[tuple[int, int, int]]:
-    """The same two segmentations for one long word, whose lattice is too wide to hold several."""
+def _one_long(pieces: Pieces, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same two segmentations for one long word, whose merges are too many to be made one a round; its lattice, marks and count."""
     cells = lattice(pieces, points[None, :])
     if pieces.kind == UNIGRAM:
-        return viterbi(pieces, cells)[0]
-    cells, length = cells[0], len(points)
+        return cells, *viterbi(pieces, cells)
+    grid, cells, length = cells, cells[0], len(points)
     most = cells.shape[1]
     after, before = list(range(1, length + 1)), list(range(-1, length - 1))
     end = list(range(1, length + 1))
@@ -212,7 +213,8 @@ def _one_long(pieces: Pieces, points: np.ndarray) -> list[tuple[int, int, int]]:
         offer(i)
         if before[i] >= 0:
             offer(before[i])
-    return [(i, end[i], int(cells[i, end[i] - i - 1])) for i in range(length) if not gone[i]]
+    marks = np.array([i for i in range(length) if not gone[i]] + [length])
+    return grid, marks[None, :], np.array([len(marks) - 1])
 
 
 def segment(pieces: Pieces, words: list[str]) -> list[list[int]]:
@@ -227,12 +229,26 @@ def segment(pieces: Pieces, words: list[str]) -> list[list[int]]:
         for k in range(0, len(members), step):
             some = members[k:k + step]
             grid = _points([words[i] for i in some]).reshape(len(some), length)
-            paths = solve(pieces, lattice(pieces, grid)) if length <= LONGEST_TOGETHER else [_one_long(pieces, row) for row in grid]
-            for i, path in zip(some, paths):
-                ids: list[int] = []
-                for a, b, piece in path:
-                    ids += [piece] if piece != NONE else pieces.bytes_[list(words[i][a:b].encode("utf-8", "replace"))].tolist()
-                out[i] = ids
+            if length <= LONGEST_TOGETHER:
+                cells = lattice(pieces, grid)
+                solved = [(some, cells, *solve(pieces, cells))]
+            else:
+                solved = [([i], *_one_long(pieces, row)) for i, row in zip(some, grid)]
+            for members_, cells, marks, count in solved:
+                row = np.repeat(np.arange(len(members_)), count)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                start, end = marks[row, place], marks[row, place + 1]
+                flat = cells[row, start, end - start - 1]
+                lost = np.zeros(len(members_), bool)
+                lost[row[flat == NONE]] = True
+                ids, at = flat.tolist(), [0, *np.cumsum(count).tolist()]
+                for r, i in enumerate(members_):
+                    out[i] = ids[at[r]:at[r + 1]]
+                    if lost[r]:
+                        out[i] = list(chain.from_iterable(
+                            [p] if p != NONE else pieces.bytes_[list(words[i][a:a + 1].encode("utf-8", "replace"))].tolist()
+                            for p, a in zip(out[i], start[at[r]:at[r + 1]].tolist())
+                        ))
     return out
 
 
@@ -255,9 +271,10 @@ class Codec:
         cut = [_SEGMENT.findall(t) if self.pieces.splits else [t] * bool(t) for t in spaced]
         if len(self.known) > REMEMBERED:
             self.known = {}
-        new = list({w for c in cut for w in c} - self.known.keys())
-        self.known.update(zip(new, segment(self.pieces, new)))
-        return [list(chain.from_iterable(map(self.known.__getitem__, c))) for c in cut]
+        known = self.known
+        new = [w for w in {w for c in cut for w in c} if w not in known]
+        known.update(zip(new, segment(self.pieces, new)))
+        return [list(chain.from_iterable(map(known.__getitem__, c))) for c in cut]
 
     def decode(self, ids: list[int]) -> str:
         parts = [self.names[i] for i in ids]
