@@ -9,7 +9,7 @@ import numpy as np
 from bidloom.llm.spans import U64
 
 #: Bits of the unary part under one entry of the directory.
-BLOCK = 512
+BLOCK = 64
 
 
 @dataclass(frozen=True)
@@ -55,7 +55,7 @@ class EliasFano:
         block = np.searchsorted(self.zeros, k, "left") - 1
         block = np.maximum(block, 0)
         bits = np.unpackbits(self.high.reshape(-1, BLOCK // 8)[block], axis=1, bitorder="little")
-        seen = np.cumsum(1 - bits, axis=1, dtype=np.int32) >= (k - self.zeros[block])[:, None]
+        seen = np.cumsum(1 - bits, axis=1, dtype=np.uint8) >= (k - self.zeros[block])[:, None]
         out = block * BLOCK + seen.argmax(1) + 1
         out[~seen[:, -1]] = 8 * len(self.high)
         out[k == 0] = 0
@@ -66,8 +66,8 @@ class EliasFano:
         out = np.full(len(values), -1, np.int64)
         if not self.n:
             return out
-        for k in range(0, len(values), 8192):
-            part = values[k:k + 8192].astype(U64)
+        for k in range(0, len(values), 1 << 15):
+            part = values[k:k + (1 << 15)].astype(U64)
             bucket = (part >> U64(self.width)).astype(np.int64)
             want = part & U64((1 << self.width) - 1)
             bit = self._after_zero(bucket)

@@ -55,6 +55,8 @@ DISCOUNT = 0.75
 STEPS = 8000
 NOTHING = 65535
 END = np.array([0x0E0D0C0B0A090807], U64)
+#: Bytes of text looked up together: the more, the fewer n-grams are asked for twice.
+TOGETHER = 4 << 20
 #: Distinct n-grams that a task counts before it hands them on.
 HELD = 1 << 20
 
@@ -194,7 +196,7 @@ def _count_grams(model: Model):
             return pa.RecordBatch.from_arrays([*(pa.array(rows[at, j]) for j in range(3)), pa.array(n, pa.int64())], ["a", "b", "c", "n"])
 
         for batch in batches:
-            for _, data, bounds in slices(batch.column("text")):
+            for _, data, bounds in slices(batch.column("text"), TOGETHER):
                 hashes, marks = tokens(data, bounds)
                 ids = _ids(model, hashes)[1]
                 last = np.zeros(len(ids), bool)
@@ -350,11 +352,13 @@ def token_scores(model: Model, hashes: np.ndarray, marks: np.ndarray) -> tuple[n
     triple, back3 = np.unique(asked, return_inverse=True)
     p3 = np.zeros(len(triple))
     owner = triple // model.frequent
+    shards = {g[1]: k for k, g in enumerate(model.grams)}
     for part, _, name, _ in _split(pair, [g[0] for g in model.grams], model.grams):
-        k = next(i for i, g in enumerate(model.grams) if g[1] == name)
+        k = shards[name]
         heads, level2, level3, codes2, rests, codes3 = model.shard(k)
         a, b = pair[part] // model.frequent, pair[part] % model.frequent
-        head = heads.find(a)
+        heads_of, back_a = np.unique(a, return_inverse=True)
+        head = heads.find(heads_of)[back_a]
         node = np.where(head >= 0, level2.find(np.maximum(head, 0) * model.frequent + b), -1)
         hit = node >= 0
         p2[part] = np.where(hit, value(codes2[np.maximum(node, 0)]) if len(codes2) else 0.0, 0.0)
@@ -373,7 +377,7 @@ def token_scores(model: Model, hashes: np.ndarray, marks: np.ndarray) -> tuple[n
 def _score(model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, data, bounds in slices(batch.column("text")):
+            for start, data, bounds in slices(batch.column("text"), TOGETHER):
                 hashes, marks = tokens(data, bounds)
                 n, base, own = token_scores(model, hashes, marks)
                 cut = marks[:-1]
