@@ -271,6 +271,26 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **options)
     return docs.join(kept, docs[id] == kept["id"], "left_anti")
 
 
+def keep_one_row(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Exactly one row of each group of near copies, and every row whose text has no words.
+
+    The row of the least id stays (a null id comes last), of several texts under that id the one of the least hash, of
+    rows equal in both the first by their other columns. Rows are told apart by id and text, so neither a repeated nor a
+    null id decides over a row of another text.
+    """
+    scratch = Scratch(docs.sparkSession, "ngram-kept")
+    key = F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.xxhash64(text).alias("tid"))
+    rows = docs.select(F.struct("*").alias("doc"), key.alias("row"), F.col(text).alias("text"))
+    found = jaccard_components(rows, "row", "text", **options).where("n > 0")
+    other = scratch.save(found.groupBy("id", "component").count().where("id <> component OR count > 1").select("id", (F.col("id") == F.col("component")).alias("again")), "other")
+    same = F.col("row") == F.col("id")
+    kept = rows.join(other, same, "left_anti").select("doc")
+    again = rows.join(other.where("again"), same).select("doc", "row")
+    rest = [F.col(f"doc.`{c}`") for c, t in docs.dtypes if c not in (id, text) and "map<" not in t and "variant" not in t]
+    first = F.row_number().over(Window.partitionBy("row").orderBy(*rest, "row"))
+    return kept.unionAll(again.withColumn("first", first).where("first = 1").select("doc")).select("doc.*")
+
+
 def op9_ngram_join(spark, sf_dir):
     found = jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

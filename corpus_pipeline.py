@@ -22,8 +22,8 @@ def good_documents(spark, docs, sf_dir):
 
 
 def one_of_each_group(spark, docs, sf_dir):
-    """One document, that of the least id, of every group linked by five-word shingles at similarity 0.8 or more."""
-    return ngram_join.keep_one(docs)
+    """One row, of the least id, of every group linked by five-word shingles at similarity 0.8 or more."""
+    return ngram_join.keep_one_row(docs)
 
 
 def without_repeated_passages(spark, docs, sf_dir):

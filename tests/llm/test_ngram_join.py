@@ -88,3 +88,15 @@ def test_blocks_of_similar_sets_meet():
                 both.append([ngram_join.block_keys(x, np.array([0, len(x)]), c, blocks, slack) for c in (kind, up)])
             met = [(set(k.tolist()) & set(j.tolist()), max(p[0], q[0])) for k, _, p in both[0] for j, _, q in both[1]]
             assert any(len(common) >= need for common, need in met)
+
+
+def test_one_row_of_each_component(spark):
+    one, other = (" ".join(f"{p}{i}" for i in range(150)) for p in "ab")
+    near = one.replace("a149", "z")
+    rows = [(3, one, "s", 1), (3, one, "s", 1), (3, one, "r", 1), (4, near, "s", 1), (4, other, "s", 1), (None, one, "s", 1)]
+    rows += [(None, "c d e f g", "s", k) for k in (2, 1, 1)] + [(5, "h i j k l", "s", 1), (None, "h i j k l", "s", 1)] + [(None, None, None, 0), (6, " ", "s", 1)] * 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, id string, tid int").repartition(3)
+    kept = ngram_join.keep_one_row(df)
+    wanted = [(3, one, "r", 1), (4, other, "s", 1), (None, "c d e f g", "s", 1), (5, "h i j k l", "s", 1)] + [(None, None, None, 0), (6, " ", "s", 1)] * 2
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect()), key=str) == sorted(wanted, key=str)
+    assert ngram_join.keep_one_row(df.limit(0)).count() == 0

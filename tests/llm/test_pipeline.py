@@ -36,3 +36,12 @@ def test_odd_rows_pass_through(spark):
     for _, stage in pipeline.STAGES:
         empty = stage(spark, empty, DATA)
     assert empty.count() == 0
+
+
+def test_one_copy_of_repeated_rows_keeps_its_text(spark):
+    text = " ".join(f"word{i}" for i in range(200))
+    other = " ".join(f"term{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, text, "en", "s", 1)] * 3 + [(None, other, "en", "s", 1)] * 2, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for _, stage in pipeline.STAGES[1:3]:
+        docs = stage(spark, docs, DATA)
+    assert sorted((r.doc_id or 0, r.text) for r in docs.collect()) == [(0, other), (1, text)]
