@@ -13,6 +13,11 @@ has no decided neighbour in it is in.
 Inside an `article` or `main` element the article is marked by the page itself,
 so there a low stop-word density alone leaves a block ambiguous.
 
+A form, or an element named like something around the article, is a mere
+container if `main` stands in it, or if it holds more than half of the article's
+text (of the page's long blocks, where no article is marked) and is not named
+as others' words, adverts or notices; then its name says nothing of what it holds.
+
 Defined results: a null or empty page, and one without main text, gives an empty
 text; text is decoded once, white space inside a block becomes one space and
 blocks are joined by two line feeds; nothing is cut off, whatever the length.
@@ -59,6 +64,11 @@ NAMES = frozenset(
     "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion "
     "related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: Names of content that isn't the article however much of it there is; the other names may stand on a container.
+OTHERS = frozenset(
+    "ad ads adv advert advertisement advertising adverts adbox comment comments consent cookie cookies disclaimer disqus footer gdpr newsletter "
+    "promo promoted promotion related reply replies respond sponsor sponsored".split()
+)
 #: A class word that begins so only says what the page around has.
 ABOUT = ("has-", "has_", "no-", "no_", "with-", "with_", "without-", "is-", "js-")
 
@@ -80,30 +90,73 @@ class Block:
     outside: bool
     inside: bool
     section: int
+    wrapper: int = -1
     label: int = UNSURE
 
+    @property
+    def link_dense(self) -> bool:
+        return self.linked > LINKS * len("".join(self.text.split()))
+
+
+@dataclass
+class Wrapper:
+    """A form or an element with a name of something around the article."""
+
+    parent: int
+    others: bool
+    main: bool = False
+    held: int = 0
+    outside: bool = True
+
+
+#: What an element says of its content: nothing, that it is not the article, or the same unless it is a container (the last of others' content).
+OPEN, CLOSED, WRAP, WRAP_OTHERS = range(4)
+
 
-def _outside(name: str, attributes: str, inside: bool) -> bool:
+def _outside(name: str, attributes: str, inside: bool) -> int:
     """Whether an element begins something that is not the article, by its name, role, visibility or class."""
-    if name in OUTSIDE or (name == "header" and not inside):
-        return True
+    if name in OUTSIDE - {"form"} or (name == "header" and not inside):
+        return CLOSED
+    form = WRAP if name == "form" else OPEN
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return form
     found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)}
-    if "hidden" in found or found.get("role") in ROLES or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
+    if "hidden" in found or found.get("role") in ROLES - {"form"} or re.search(r"display\s*:\s*none", found.get("style", "")):
+        return CLOSED
+    mark = WRAP if found.get("role") == "form" else form
     for word in f"{found.get('class', '')} {found.get('id', '')}".split():
         if not word.startswith(ABOUT):
             parts = set(_CLASS_PART.findall(word)) & NAMES
-            if parts - ({"header", "banner"} if inside else set()):
-                return True
-    return False
+            parts -= {"header", "banner"} if inside else set()
+            if parts:
+                mark = max(mark, WRAP_OTHERS if parts & OTHERS else WRAP)
+    return mark
+
+
+def _open_containers(found: list[Block], wrappers: list[Wrapper]) -> None:
+    """Settle which wrappers are containers, and so which blocks stand outside."""
+    free = [b for b in found if not b.outside and not b.link_dense]
+    text = [b for b in free if b.inside] or [b for b in free if len(b.text) >= LONG]
+    for b in text:
+        if b.wrapper >= 0:
+            wrappers[b.wrapper].held += len(b.text)
+    for w in reversed(wrappers):  # a wrapper comes after those around it
+        if w.parent >= 0:
+            wrappers[w.parent].held += w.held
+            wrappers[w.parent].main |= w.main
+    total = sum(len(b.text) for b in text)
+    for w in wrappers:
+        container = w.main or not w.others and 2 * w.held > total
+        w.outside = not container or w.parent >= 0 and wrappers[w.parent].outside
+    for b in found:
+        b.outside = b.outside or b.wrapper >= 0 and wrappers[b.wrapper].outside
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order, with where they stand."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open block or hidden elements: name, outside, inside an article
+    wrappers: list[Wrapper] = []
+    stack: list[tuple[str, bool, bool, int]] = []  # open block or hidden elements: name, outside, inside an article, innermost wrapper
     text: list[str] = []
     linked, links, breaks, section, at, hidden = 0, 0, 0, 0, 0, 0
 
@@ -111,8 +164,8 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         joined = " ".join("".join(text).split())
         if joined:
-            _, outside, inside = stack[-1] if stack else ("", False, False)
-            out.append(Block(joined, linked, outside, inside, section))
+            _, outside, inside, wrapper = stack[-1] if stack else ("", False, False, -1)
+            out.append(Block(joined, linked, outside, inside, section, wrapper))
         text.clear()
         linked = 0
 
@@ -164,7 +217,7 @@ def blocks(page: str) -> list[Block]:
         if name == "a":
             links += 1
         elif name in HIDDEN and not attributes.endswith("/"):
-            stack.append((name, *(stack[-1][1:] if stack else (False, False))))
+            stack.append((name, *(stack[-1][1:] if stack else (False, False, -1))))
             hidden += 1
         elif name in BLOCKS:
             end()
@@ -177,18 +230,25 @@ def blocks(page: str) -> list[Block]:
                 stack.clear()
                 hidden = 0
             if name != "hr":
-                outside, inside = stack[-1][1:] if stack else (False, False)
+                outside, inside, wrapper = stack[-1][1:] if stack else (False, False, -1)
+                if name == "main" and wrapper >= 0 and not outside and not hidden and not inside:
+                    wrappers[wrapper].main = True
                 inside = inside or name in ("article", "main")
-                stack.append((name, outside or _outside(name, attributes, inside), inside))
+                mark = _outside(name, attributes, inside)
+                if mark in (WRAP, WRAP_OTHERS):
+                    wrappers.append(Wrapper(wrapper, mark == WRAP_OTHERS))
+                    wrapper = len(wrappers) - 1
+                stack.append((name, outside or mark == CLOSED, inside, wrapper))
             if name not in LEAVES:
                 section += 1
     say(page[at:])
     end()
+    _open_containers(out, wrappers)
     return out
 
 
 def first_pass(found: list[Block]) -> None:
-    dense_links = [b.linked > LINKS * len("".join(b.text.split())) for b in found]
+    dense_links = [b.link_dense for b in found]
     for k, b in enumerate(found):
         if b.outside:
             b.label = OUT

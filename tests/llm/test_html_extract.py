@@ -34,3 +34,19 @@ def test_frame(spark):
     rows = H.extracted(df, keep=("page_id", "text")).collect()
     assert sorted((r.page.text, len(r.text)) for r in rows) == [("a", len(H.main_text(PAGE)))] * 2 + [("b", 0)]
     assert H.extracted(df.limit(0)).count() == 0
+
+
+def test_wrappers_around_the_article_are_containers():
+    """A form or a layout name around everything, and comments, notices and side columns in it."""
+    body = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>"
+    around = f"<div class=sidebar><p>{LONG}</p></div><div id=comments><article><p>{LONG}</p></article></div><div class=cookie-notice><p>{LONG}</p></div>"
+    wanted = "\n\n".join(["Title", LONG, LONG])
+    for a, b in (("<form id=aspnetForm>", "</form>"), ('<div class="content-sidebar-wrap">', "</div>"), ('<div class="widget"><div role=form>', "</div></div>")):
+        for x, y in (("<article>", "</article>"), ("<main>", "</main>")):
+            assert H.main_text(f"<body><nav>Menu</nav>{a}{x}{body}{y}{around}{b}</body>") == wanted
+            assert H.main_text(f"<body>{a}{x}{body}{y}{b}{around}</body>") == wanted
+        assert H.main_text(f"<body>{a}<div>{body}</div><div class=sidebar><p>{LONG}</p></div>{b}</body>") == wanted
+    assert H.main_text(f"<div class=comments-on><main>{body}</main></div>") == wanted
+    for odd in ("comments", "cookie-notice", "footer"):
+        assert H.main_text(f"<div class={odd}><p>{LONG}</p><p>{LONG}</p></div>") == ""
+    assert H.main_text(f"<nav><div class=widget><main>{body}</main></div></nav>") == ""
