@@ -50,3 +50,19 @@ def test_wrappers_around_the_article_are_containers():
     for odd in ("comments", "cookie-notice", "footer"):
         assert H.main_text(f"<div class={odd}><p>{LONG}</p><p>{LONG}</p></div>") == ""
     assert H.main_text(f"<nav><div class=widget><main>{body}</main></div></nav>") == ""
+
+
+def test_languages_without_stop_words():
+    """Long blocks of unknown languages, terse text and wide letters; nothing changes where the language is known."""
+    polish = "Wczoraj wieczorem mieszkańcy miasta spotkali się przed ratuszem, żeby wspólnie porozmawiać o przyszłości parku, który od lat czeka na remont i nowe ławki. "
+    russian = "Вчера вечером жители города собрались перед ратушей, чтобы вместе поговорить о будущем парка, который уже много лет ждёт ремонта и новых скамеек. "
+    chinese = "昨天晚上,市民们聚集在市政厅前,共同讨论公园的未来。这座公园多年来一直等待修缮,也需要新的长椅。许多人希望工程能够尽快开始。"
+    terse = "Flour 500 g, sugar 200 g, butter 150 g, eggs 3, milk 100 ml, salt 5 g, yeast 10 g, vanilla 2 g, raisins 80 g, almonds 50 g, lemon 1, cinnamon 3 g, cloves 2."
+    links = "<ul><li><a href=a>Link</a></li><li><a href=b>Link</a></li></ul>"
+    for text in (polish.strip(), russian.strip(), chinese, terse):
+        page = f"<body><div>{links}</div><h1>T</h1><p>{text}</p><p>ab</p><p>{text}</p><div class=footer><p>{text}</p></div></body>"
+        assert H.main_text(page) == "\n\n".join(["T", text, "ab", text])
+    middling = "One of the" + " long terse words" * 8 + " in a list"
+    assert H.SPARSE <= H.Block(middling, 0, False, False, 0).density < H.DENSE
+    assert H.main_text(f"<p>{middling}</p><p>{middling}</p>") == f"{middling}\n\n{middling}"
+    assert H.main_text(f"<p>{LONG}</p><p>{LONG}</p><p>{terse}</p>") == f"{LONG}\n\n{LONG}"
