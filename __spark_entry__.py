@@ -300,6 +300,22 @@ def consolidated_award(spark, d):
 _WORTH_AWARDING = 1 << 40
 
 
+def consolidated_plan(spark, d):
+    """Consolidation over the whole comparison at ordinary bars: what each drops, where it stops and what it costs."""
+    def at(min_lines):
+        plan, _ = _plan(spark, d, min_lines=min_lines)
+        facts = {"dropped": F.lit(len(plan.dropped)).cast("bigint"), "stopped": F.lit(plan.stopped_to_avoid_stranding)}
+        return plan.lines.select(F.lit(min_lines).cast("bigint").alias("min_lines"), "rfx_sku", "winner", "price", "contenders", "status", "reassigned_from"), plan.summary.withColumns(facts)
+
+    (low, low_facts), (high, high_facts) = (at(n) for n in ORDINARY_BARS)
+    facts = [f.select("consolidation_cost", "dropped", "stopped") for f in (low_facts, high_facts)]
+    return low.crossJoin(F.broadcast(facts[0])).unionAll(high.crossJoin(F.broadcast(facts[1])))
+
+
+# Lines a house has to win to be worth an award.
+ORDINARY_BARS = (3, 300)
+
+
 def award_caveats(spark, d):
     plan, c = _plan(spark, d)
     return award.caveats(plan, c.vendors)
@@ -645,7 +661,7 @@ _QUERIES = (
     coverage_gaps, full_grid, vendor_summary, comparison_view, cheapest_by_line, cheapest_hiding_vendors, win_counts, winner_margin,
     price_matrix, status_grid, label_grid, headline_stats, exceptions, exception_counts, review_legend, evidence, original_quotes, audit_export,
     award_by_vendor, award_table, award_gaps, common_basket, split_vs_single, plan_summary, award_stats, award_headline,
-    consolidated_award, award_caveats, shortlist_by_quality,
+    consolidated_award, consolidated_plan, award_caveats, shortlist_by_quality,
     question_parse, question_clusters, derived_criteria, scored_answers, scorecards, rescored, scorecard_report, questionnaire,
     unit_vote, quantity_vote, description_vote, currency_vote, basket_monthly, derived_items,
     located_lines, located_rows, html_text, text_triage, document_limits, decoded_text, file_formats, file_outcomes,

@@ -266,6 +266,26 @@ def consolidated(rounds: int) -> str:
     return ", ".join(parts)
 
 
+def consolidated_at(bar: int, rounds: int = 4) -> str:
+    """The whole loop at a bar, one set of tables per round: the smallest below the bar goes, unless an item would be left without an offer."""
+    win = "SELECT rfx_sku, arg_min(vendor, (price, vendor)) AS winner, arg_min(price, (price, vendor)) AS price, count(*) AS k FROM {0} GROUP BY 1"
+    parts = [f"a{bar}_0 AS (SELECT * FROM offers)"]
+    for r in range(rounds):
+        parts.append(f"w{bar}_{r} AS ({win.format(f'a{bar}_{r}')})")
+        parts.append(f"c{bar}_{r} AS (SELECT winner AS vendor, bool_or(k = 1) AS strands FROM w{bar}_{r} JOIN resp ON resp.vendor = winner GROUP BY winner, vendor_ord HAVING count(*) < {bar} ORDER BY count(*), vendor_ord LIMIT 1)")
+        parts.append(f"a{bar}_{r + 1} AS (SELECT * FROM a{bar}_{r} WHERE vendor NOT IN (SELECT vendor FROM c{bar}_{r} WHERE NOT strands))")
+    parts.append(f"w{bar}_{rounds} AS ({win.format(f'a{bar}_{rounds}')})")
+    gone = " UNION ".join(f"SELECT vendor FROM c{bar}_{r} WHERE NOT strands" for r in range(rounds))
+    spend = "CAST(sum(CAST(round(w.price * NULLIF(i.quantity, 0), 2) AS DECIMAL(28,2))) AS DOUBLE)"
+    parts.append(f"g{bar} AS ({gone})")
+    parts.append(f"f{bar} AS (SELECT (SELECT {spend} FROM w{bar}_0 w JOIN items i ON i.sku = w.rfx_sku) AS before, (SELECT {spend} FROM w{bar}_{rounds} w JOIN items i ON i.sku = w.rfx_sku) AS after, (SELECT count(*) FROM g{bar}) AS dropped, EXISTS (SELECT 1 FROM c{bar}_{rounds - 1} WHERE strands) AS stopped)")
+    parts.append(f"""p{bar} AS (SELECT CAST({bar} AS BIGINT) AS min_lines, i.sku AS rfx_sku, z.winner, z.price, COALESCE(z.k, 0) AS contenders, CASE WHEN z.winner IS NULL THEN 'no_comparable' WHEN z.k = 1 THEN 'single_source' ELSE 'awarded' END AS status,
+        CASE WHEN o.winner <> z.winner AND o.winner IN (SELECT vendor FROM g{bar}) THEN o.winner END AS reassigned_from,
+        CASE WHEN dropped > 0 AND before <> 0 AND after <> 0 THEN round(after - before, 2) END AS consolidation_cost, dropped, stopped
+        FROM items i LEFT JOIN w{bar}_{rounds} z ON z.rfx_sku = i.sku LEFT JOIN w{bar}_0 o ON o.rfx_sku = i.sku CROSS JOIN f{bar})""")
+    return ", ".join(parts)
+
+
 def statements() -> dict[str, str]:
     s, h = base("supplier"), base("house")
     snap = [I.SNAPSHOT.format(t="lineitem", w=w) for w in (I.BEFORE_ROWS, I.AFTER_ROWS)]
@@ -345,6 +365,7 @@ def statements() -> dict[str, str]:
         "award_stats": f"{h}, {AWARD}, {BASKET.strip()}, {PLAN.strip()} SELECT supplier_count AS suppliers_recommended, concat(CAST(awarded_lines AS VARCHAR), '/', CAST(items AS VARCHAR)) AS items_recommended, {amount('total_extended')} AS estimated_spend, concat('₹', format('{{:,.0f}}', saving_vs_single), ' · ', printf('%.1f', saving_share * 100), '%') AS saving, concat('less than ', split_part(best_single_vendor, ' ', 1), ' alone, on the ', CAST(common_basket AS VARCHAR), ' items all of them priced') AS saving_caption FROM plan",
         "award_headline": f"{h}, {AWARD} SELECT winner AS vendor, count(*) AS line_count, concat('**', winner, '** for ', CAST(count(*) AS VARCHAR), CASE WHEN count(*) = 1 THEN ' item' ELSE ' items' END) AS part FROM award WHERE winner IS NOT NULL GROUP BY 1",
         "consolidated_award": f"{h}, {OFFERS}, {consolidated(4)} SELECT wz.rfx_sku, wz.winner, wz.price, wz.k AS contenders, CASE WHEN wz.k = 1 THEN 'single_source' ELSE 'awarded' END AS status, CASE WHEN w0.winner <> wz.winner THEN w0.winner END AS reassigned_from FROM wz JOIN w0 USING (rfx_sku)",
+        "consolidated_plan": f"{h}, {OFFERS}, {consolidated_at(3)}, {consolidated_at(300)} SELECT * FROM p3 UNION ALL SELECT * FROM p300",
         "award_caveats": f"{h}, {AWARD}, k AS (SELECT 2 AS position, 'uncontested' AS kind, count(*) FILTER (status = 'single_source') AS n FROM award UNION ALL SELECT 3, 'unawardable', count(*) FILTER (status = 'no_comparable') FROM award UNION ALL SELECT 5, 'freight_mixed', count(DISTINCT freight_included) + max(CASE WHEN freight_included IS NULL THEN 1 ELSE 0 END) FROM resp UNION ALL SELECT 7, 'quantities_missing', CASE WHEN count(extended) < count(winner) THEN count(winner) ELSE 0 END FROM award) SELECT position, kind, CAST(n AS BIGINT) AS n FROM k WHERE n > 0",
         "shortlist_by_quality": f"{scard()} SELECT vendor, quality_score, meets_requirements, meets_requirements AND quality_score >= 0.6 AS eligible FROM cards",
         "scored_answers": f"{scard()} SELECT vendor, key, verdict, stated_text, value, meets, evidence, CASE WHEN meets THEN 1.0 ELSE 0.0 END::DOUBLE AS score, CASE WHEN verdict = 'Unanswered' THEN 'Did not address this question at all.' WHEN measured THEN concat('Stated ', stated_text, ', which ', CASE WHEN meets THEN 'meets' ELSE 'does not meet' END, ' the target of ', CASE WHEN direction = 'lower_better' THEN 'less than ' ELSE 'greater than ' END, format('{{:,}}', CAST(target AS BIGINT)), CASE WHEN unit = '%' THEN '%' ELSE concat(' ', trim(unit)) END, '.') WHEN verdict = 'Yes' THEN 'Answered Yes.' WHEN verdict = 'Partial' THEN 'Answered only in part.' WHEN note IS NULL THEN 'Answered No.' ELSE concat('Answered No — ', note) END AS explanation FROM scored",

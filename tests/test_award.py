@@ -115,3 +115,14 @@ def test_price_ranking_is_filtered_before_the_shuffle(spark):
     cells, _, _ = grid_of(spark, PRICES, QUANTITIES)
     plan = grid.two_best(grid.offers(cells))._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_consolidation_cost_and_stop(spark):
+    prices = {(f"S{i}", v): p for i in range(6) for v, p in (("x", 5.0 + i), ("y", 6.0 if i > 1 else 4.0))} | {("T", "z"): 1.0}
+    cells, items, vendors = grid_of(spark, prices, dict.fromkeys([f"S{i}" for i in range(6)] + ["T"], 10))
+    plan = award.recommend(cells, items, vendors, min_lines=2)
+    assert (plan.dropped, plan.stopped_to_avoid_stranding, plan.summary.first().consolidation_cost) == ([], True, None)
+    cells, items, vendors = grid_of(spark, prices | {("T", "x"): 3.0}, dict.fromkeys([f"S{i}" for i in range(6)] + ["T"], 10))
+    plan = award.recommend(cells, items, vendors, min_lines=2)
+    moved = {r.rfx_sku: r.reassigned_from for r in plan.lines.collect() if r.reassigned_from}
+    assert plan.dropped[0] == "z" and moved["T"] == "z" and plan.summary.first().consolidation_cost >= 20.0

@@ -27,3 +27,12 @@ def test_matches_sql(spark, name):
 
 def test_every_sql_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="test tables not present")
+def test_consolidation_of_the_whole_comparison(spark):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    rows, problems = compare(spark, con, str(DATA), "consolidated_plan", entry.oracle_sql()["consolidated_plan"])
+    assert not problems and rows == 2 * con.sql("SELECT count(*) FROM part").fetchall()[0][0]
