@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +21,14 @@ CELL_COLUMNS = (
 
 
 def fx_rates(spark: SparkSession, as_of: str | None = None, rates: dict[str, float] | None = None) -> DataFrame:
-    """The dated, fixed rate table: one row per currency, units of base per unit."""
+    """The dated, fixed rate table: one row per currency, units of base per unit.
+
+    It is a relation of literal rows, so the planner knows its exact size.
+    """
     stamp = as_of or date.today().isoformat()
-    rows = [(c, float(r), stamp) for c, r in (rates or V.FX_TO_BASE).items()]
-    return spark.createDataFrame(rows, "fx_currency string, fx_rate double, fx_as_of string")
+    table = rates or V.FX_TO_BASE
+    columns = {"fx_currency": pa.array(table, pa.string()), "fx_rate": pa.array([float(r) for r in table.values()], pa.float64())}
+    return spark.createDataFrame(pa.table(columns | {"fx_as_of": pa.array([stamp] * len(table), pa.string())}))
 
 
 def normalise_quotes(
@@ -35,9 +40,11 @@ def normalise_quotes(
     """One comparison cell per matched line.
 
     `matched` carries the line, its response header and the item it was placed
-    on (`rfx_sku`, `canonical_unit`, `unit_family`). The rate table is small and
-    fixed, so its join never shuffles the lines. Refusals keep whatever rules
-    and flags had been established before the refusal.
+    on (`rfx_sku`, `canonical_unit`, `unit_family`). `rates` has one row per
+    currency; a table of known size within the planner's broadcast bound (that of
+    `fx_rates` is some hundred bytes) is joined without shuffling the lines, which
+    have but a few currencies between them. Refusals keep whatever rules and flags
+    had been established before the refusal.
     """
     stated = units.with_unit(matched, "unit_text").withColumn(
         "raised", units.condition_flags(F.col("conditions"), F.col("notes"))

@@ -80,8 +80,9 @@ def quote(spark, rows):
     schema = ("rfx_sku string, vendor string, quoted_value double, currency string, unit_text string, conditions array<string>, notes string, document_currency string, "
               "freight_included boolean, canonical_unit string, unit_family string, confidence double, match_basis string, match_confidence double, "
               "source_file string, source_locator string, source_snippet string")
-    full = [("S", "V", v, c, u, cond, n, dc, f, "per box", "discrete", 0.9, "exact_sku", 1.0, "q.xlsx", "row 1", "text") for v, c, u, cond, n, dc, f in rows]
-    return normalise.normalise_quotes(spark.createDataFrame(full, schema), normalise.fx_rates(spark, "2026-01-01")).collect()
+    full = [("S", "V", v, c, u, cond, n, dc, f, "per box", "discrete", 0.9, "exact_sku", 1.0, "q.xlsx", f"row {i:02d}", "text") for i, (v, c, u, cond, n, dc, f) in enumerate(rows)]
+    cells = normalise.normalise_quotes(spark.createDataFrame(full, schema), normalise.fx_rates(spark, "2026-01-01"))
+    return sorted(cells.collect(), key=lambda r: r.source_locator)
 
 
 def test_normalising_and_refusing(spark):
@@ -102,6 +103,17 @@ def test_normalising_and_refusing(spark):
     assert got[11].unrecognised_conditions == ["Printing plates are a one-time charge"]
 
 
+def test_the_rate_join_does_not_shuffle_the_lines(spark):
+    lines = spark.range(1000).selectExpr(
+        "'S' AS rfx_sku", "'V' AS vendor", "1.0D AS quoted_value", "if(id % 2 = 0, 'USD', 'INR') AS currency", "'per box' AS unit_text", "array('') AS conditions", "'' AS notes",
+        "'INR' AS document_currency", "true AS freight_included", "'per box' AS canonical_unit", "'discrete' AS unit_family", "0.9D AS confidence",
+        "'exact_sku' AS match_basis", "1.0D AS match_confidence", "'a' AS source_file", "'b' AS source_locator", "'c' AS source_snippet")
+    cells = normalise.normalise_quotes(lines, normalise.fx_rates(spark, "2026-01-01"))
+    assert cells.agg({"canonical_value": "sum"}).first()[0] == 44_250.0
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 def test_gaps_cross_stretches(spark):
     placed = spark.createDataFrame([("a", n) for n in (2, 3, 9, 10)] + [("b", 1)], "vendor string, line_no bigint")
     vendors = spark.createDataFrame([("a",), ("b",), ("c",)], "vendor string")
