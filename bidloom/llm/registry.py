@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from bidloom.llm import embedding_dedup, html_extract, license_scan, lm_score, mixing, ngram_join, pieces, quality_classifier, quality_rules, suffix_dedup, warc
+from bidloom.llm import embedding_dedup, hard_negatives, html_extract, license_scan, lm_score, mixing, ngram_join, pieces, quality_classifier, quality_rules, suffix_dedup, warc, whitening
 
-_MODULES = (mixing, quality_rules, ngram_join, suffix_dedup, pieces, embedding_dedup, warc, html_extract, quality_classifier, lm_score, license_scan)
+_MODULES = (mixing, quality_rules, ngram_join, suffix_dedup, pieces, embedding_dedup, warc, html_extract, quality_classifier, lm_score, license_scan, whitening, hard_negatives)
 
 
 def queries() -> dict:
