@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidloom.functions.common import as_col
 from bidloom.functions.references import checksum_digits, quoted_token, reply_token
+from bidloom.operators.names import names_in_texts
 from bidloom.session import checkpoint
 
 #: A name is found by this many characters; names that begin alike are then compared whole.
@@ -56,7 +56,9 @@ def attribute_replies(replies: DataFrame, invited: DataFrame) -> DataFrame:
     nobody. A name counts only when it is long enough and the only one found. It
     is found by its first SNIPPET characters; of names that begin alike, those
     count that stand in the text whole, if any do, the longest of them before the
-    ones it contains. The lookup is an equality, so a reply never meets every name.
+    ones it contains. Names and their beginnings are looked for by automata
+    (`names.names_in_texts`); names that begin alike and of which none stands whole
+    are one row per reply, however many they are.
     """
     read = replies.select("reply_id", "text", quoted_token("text").alias("token"))
     issued = invited.groupBy(F.upper("token").alias("token")).agg(F.count("*").alias("holders"), F.min("vendor").alias("vendor")).where("holders = 1").drop("holders")
@@ -67,13 +69,15 @@ def attribute_replies(replies: DataFrame, invited: DataFrame) -> DataFrame:
 
     name = F.lower(F.trim("vendor"))
     names = invited.where(F.length(F.trim("vendor")) >= SHORTEST_NAME).groupBy(name.alias("name")).agg(F.count("*").alias("n"), F.min("vendor").alias("vendor"))
-    names = names.withColumn("snippet", F.substring("name", 1, SNIPPET))
-    lengths = [r[0] for r in names.select(F.length("snippet")).distinct().collect()]  # at most 11 values
+    names = checkpoint(names.withColumn("snippet", F.substring("name", 1, SNIPPET)))
     plain = read.where(F.col("token").isNull())
-    hits = _snippets(plain, lengths).join(names, "snippet").join(plain.select("reply_id", "text"), "reply_id")
-    hits = hits.withColumn("whole", F.lower("text").contains(F.col("name")))
-    some_whole = F.max("whole").over(Window.partitionBy("reply_id", "snippet"))
-    hits = hits.withColumn("some_whole", some_whole).where("whole OR NOT some_whole").select("reply_id", "name", "n", "vendor").distinct()
+    wanted = names.select("name").unionAll(names.select("snippet"))
+    stands = checkpoint(names_in_texts(plain.select(F.col("reply_id").alias("id"), F.lower("text").alias("text")), wanted).select(F.col("id").alias("reply_id"), F.col("name").alias("found")))
+
+    whole = stands.join(names, stands.found == names.name).select("reply_id", "snippet", "name", "n", "vendor")
+    alike = names.groupBy("snippet").agg(F.sum("n").alias("n"), F.min("name").alias("name"), F.min("vendor").alias("vendor"))
+    begun = stands.join(alike, stands.found == alike.snippet).select("reply_id", "snippet", "name", "n", "vendor").join(whole, ["reply_id", "snippet"], "left_anti")
+    hits = whole.unionByName(begun).drop("snippet")
     longest = hits.groupBy("reply_id").agg(F.sum("n").alias("n"), F.max_by("vendor", F.length("name")).alias("vendor"), F.max_by("name", F.length("name")).alias("longest"), F.collect_set("name").alias("all"))
     only = F.forall("all", lambda x: F.col("longest").contains(x)) & (F.col("n") == F.size("all"))
     found = longest.where(only).select("reply_id", "vendor")
@@ -84,33 +88,23 @@ def attribute_replies(replies: DataFrame, invited: DataFrame) -> DataFrame:
     return by_token.unionByName(by_name)
 
 
-def _snippets(replies: DataFrame, lengths: list[int]) -> DataFrame:
-    """Every distinct substring of the given lengths, over the whole text."""
-    text = F.lower("text")
-    empty = F.array().cast("array<string>")
-
-    def of_length(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
-        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))).otherwise(empty)
-
-    parts = [of_length(n) for n in lengths]
-    every = F.array_distinct(F.concat(*parts)) if parts else empty
-    return replies.select("reply_id", F.explode(every).alias("snippet"))
-
+def credited(rows: DataFrame, attributed: DataFrame, key: str = "file") -> DataFrame:
+    """Rows of a reply (key, vendor) under the supplier that was identified, else under the name read off it.
 
-def attributed_vendor(extracted: Column | str, identified: Column | str) -> Column:
-    """The supplier a reply is credited to: whoever was identified, else the name read off it."""
-    return F.coalesce(as_col(identified), as_col(extracted))
-
-
-def attribution_warning(extracted: Column, identified: Column, basis: Column) -> Column:
-    differs = identified.isNotNull() & ~extracted.eqNullSafe(identified)
-    by_token = F.concat(F.lit("Identified as "), identified, F.lit(" from the quote reference in their reply."))
-    by_name = F.concat(
-        F.lit("Read as "), identified,
-        F.lit(" from the supplier name in the document. Their reply did not quote its reference, so this is a match on the letterhead rather than an identification — worth confirming."),
+    `attributed` has key, vendor, token and basis, one row per reply. Adds `identified_by`,
+    `token` (only where the reply quoted one) and `attribution_note`, which says so where
+    the name read and the supplier identified differ.
+    """
+    known = attributed.select(key, F.col("vendor").alias("_known"), F.col("token").alias("_token"), F.col("basis").alias("identified_by"))
+    read, known_as, basis = F.col("vendor"), F.col("_known"), F.col("identified_by")
+    differs = known_as.isNotNull() & ~read.eqNullSafe(known_as)
+    note = F.when(differs & (basis == "token"), F.concat(F.lit("Credited to "), known_as, F.lit(": the reply quotes the reference of that invitation."))).when(
+        differs & (basis == "name"), F.concat(F.lit("Credited to "), known_as, F.lit(" by name alone; no reference was quoted, so this needs a second look."))
+    )
+    return rows.join(known, key, "left").select(
+        *[F.coalesce("_known", "vendor").alias("vendor") if c == "vendor" else F.col(c) for c in rows.columns],
+        F.coalesce("identified_by", F.lit("none")).alias("identified_by"), F.col("_token").alias("token"), note.alias("attribution_note"),
     )
-    return F.when(differs & (basis == "token"), by_token).when(differs & (basis == "name"), by_name)
 
 
 def invitation_status(responded: Column, receipt_ok: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from bidloom.operators import criteria as C
 from bidloom.operators import grid, matching
+from bidloom.operators.attribution import credited
 from bidloom.operators.derive import basket_per_month, derive_items, group_lines
 from bidloom.operators.ordering import numbered
 from bidloom.operators.normalise import fx_rates, normalise_quotes
@@ -100,8 +101,25 @@ def build(
     return Comparison(items, responses, matched, rates, base_currency, answers, criteria, terms)
 
 
-def build_from_replies(replies: Replies, rates: DataFrame | None = None, base_currency: str = "INR", items: DataFrame | None = None, mode: str = "exact") -> Comparison:
-    """Replies alone are enough: without a request the item list and the criteria come from them."""
+def credit_replies(replies: Replies, attributed: DataFrame) -> Replies:
+    """Replies under the suppliers they were attributed to: (file, vendor, token, basis), one row per file.
+
+    The responses also say how each was identified; see `attribution.credited`.
+    """
+    extra = ("identified_by", "token", "attribution_note")
+    others = [credited(t, attributed).drop(*extra) for t in (replies.lines, replies.answers, replies.terms)]
+    return Replies(credited(replies.responses, attributed), *others)
+
+
+def build_from_replies(
+    replies: Replies, rates: DataFrame | None = None, base_currency: str = "INR", items: DataFrame | None = None, mode: str = "exact", attributed: DataFrame | None = None
+) -> Comparison:
+    """Replies alone are enough: without a request the item list and the criteria come from them.
+
+    Where the request was sent out, `attributed` (file, vendor, token, basis) says whose reply each file is.
+    """
+    if attributed is not None:
+        replies = credit_replies(replies, attributed)
     quoting = replies.responses.where(F.col("lines_found") > 0)
     order = quoting.select("file", "vendor", F.col("file").alias("_by"))
     places = numbered(order, "vendor_ord", "_by").select("file", F.col("vendor_ord").cast("bigint").alias("vendor_ord"))

@@ -306,10 +306,14 @@ REPLY_TEXT = (
 )
 
 
+# The name read off the document itself.
+READ_AS = "case o_orderkey % 3 when 0 then vendor when 1 then 'Letterhead unread' end"
+
+
 def replies(spark: SparkSession, sf_dir: str, invitations: DataFrame) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     return orders.join(invitations, orders.o_custkey == invitations.vendor_ord).select(
-        F.col("o_orderkey").alias("reply_id"), F.expr(REPLY_TEXT).alias("text")
+        F.col("o_orderkey").alias("reply_id"), F.expr(REPLY_TEXT).alias("text"), F.expr(READ_AS).alias("read_as")
     )
 
 
