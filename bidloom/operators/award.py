@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidloom.functions.common import money_sum, one_row, round_half_up
 from bidloom.operators.grid import offers, two_best
+from bidloom.operators.ordering import numbered
 from bidloom.session import checkpoint
 
 NO_OFFER = "No shortlisted supplier gave a price we can safely compare, so we cannot suggest anyone for this item."
@@ -49,48 +51,72 @@ def win_counts(awards: DataFrame) -> DataFrame:
     return awards.where(F.col("winner").isNotNull()).groupBy(F.col("winner").alias("vendor")).agg(F.count("*").alias("wins"))
 
 
-def dropped_for_size(priced: DataFrame, vendors: DataFrame, min_lines: int) -> tuple[list[str], bool]:
+@dataclass
+class Consolidation:
+    """Who was dropped for winning too few items: (vendor, place), how many, and whether an item's last offer stopped it."""
+
+    dropped: DataFrame
+    n: int = 0
+    stopped: bool = False
+    rounds: int = 0
+
+
+def dropped_for_size(priced: DataFrame, vendors: DataFrame, min_lines: int) -> Consolidation:
     """Vendors to drop because they would win too few items, in the order dropped.
 
-    A vendor that already wins enough can only ever win more, so the rounds work
-    on just the items first won by a vendor below the bar: fewer than
-    `min_lines` per such vendor, however large the comparison. Each round drops
-    the smallest (ties: earliest vendor) and stops when none is left or when
-    dropping would leave an item without any comparable offer (second value
-    True: stopped for that reason).
+    The rule drops the smallest winner below the bar (ties: earliest vendor), lets its
+    items go to the next offer, and repeats, until none is below the bar or the smallest
+    is the last to offer some item. A vendor that already wins enough can only ever win
+    more, so the rounds work on just the items first won by a vendor below the bar.
+
+    A round drops as many as the rule would in a row: the candidates are numbered in
+    their order, and each item of one of them passes to its best offer from a vendor that
+    is not an earlier candidate. As winners only grow, the order holds up to the first
+    candidate that is heir to an earlier one, up to the first heir that had won nothing so
+    far (it may become the smallest), and up to the first candidate with an item without
+    an heir. Only that number reaches the driver; who was dropped stays a table.
     """
+    spark = priced.sparkSession
+    nobody = vendors.select("vendor", F.lit(0).cast("bigint").alias("place")).limit(0)
     if min_lines <= 1:
-        return [], False
+        return Consolidation(nobody)
     ordered = vendors.select("vendor", "vendor_ord")
-    first = priced.groupBy("rfx_sku").agg(F.min(F.struct("price", "vendor")).alias("best")).select("rfx_sku", F.col("best.vendor").alias("winner"))
-    wins = win_counts(first)
-    safe = wins.where(F.col("wins") >= min_lines).select("vendor")
+    winner = F.min(F.struct("price", "vendor"))["vendor"].alias("winner")
+    first = priced.groupBy("rfx_sku").agg(winner)
+    safe = win_counts(first).where(F.col("wins") >= min_lines).select("vendor")
     contested_items = first.join(safe, first.winner == safe.vendor, "left_anti").select("rfx_sku")
     # Written out once: every round reads this remainder, not the whole comparison.
-    contested = checkpoint(priced.join(contested_items, "rfx_sku", "left_semi"))
+    active = checkpoint(priced.join(contested_items, "rfx_sku", "left_semi"))
     small = checkpoint(ordered.join(safe, "vendor", "left_anti"))
 
-    remaining = ordered.count()
-    dropped: list[str] = []
+    remaining, n, rounds = ordered.count(), 0, 0
+    gone: list[DataFrame] = []
+    stopped = False
     while remaining > 1:
-        active = contested.where(~F.col("vendor").isin(dropped)) if dropped else contested
-        held = active.groupBy("rfx_sku").agg(F.min(F.struct("price", "vendor")).alias("best"), F.count("*").alias("contenders"))
-        tally = held.groupBy(F.col("best.vendor").alias("vendor")).agg(
-            F.count("*").alias("wins"), F.bool_or(F.col("contenders") == 1).alias("strands")
-        )
-        tail = (
-            tally.join(small, "vendor")
-            .where(F.col("wins") < min_lines)
-            .agg(F.min(F.struct("wins", "vendor_ord", "vendor", "strands")).alias("next"))
-            .first()["next"]
-        )
-        if tail is None:
-            return dropped, False
-        if tail["strands"]:
-            return dropped, True
-        dropped.append(tail["vendor"])
-        remaining -= 1
-    return dropped, False
+        held = checkpoint(active.groupBy("rfx_sku").agg(winner))
+        tally = held.groupBy(F.col("winner").alias("vendor")).agg(F.count("*").alias("wins"))
+        standing = small.join(tally, "vendor", "left")
+        line = checkpoint(numbered(standing.where(F.col("wins") < min_lines), "turn", "wins", "vendor_ord", "vendor").select("vendor", F.col("turn").cast("bigint").alias("turn")))
+        candidates = line.count()
+        if not candidates:
+            break
+        rounds += 1
+        losing = held.join(line.withColumnsRenamed({"vendor": "winner", "turn": "loser"}), "winner")
+        rivals = active.join(losing, "rfx_sku").where(F.col("vendor") != F.col("winner")).join(line, "vendor", "left").where("turn IS NULL OR turn > loser")
+        heirs = rivals.groupBy("rfx_sku").agg(F.min(F.struct("price", "vendor", "turn")).alias("heir")).select("rfx_sku", "heir.vendor", "heir.turn")
+        idle = standing.where("wins IS NULL").select("vendor", F.lit(True).alias("idle"))
+        passed = losing.join(heirs, "rfx_sku", "left").join(idle, "vendor", "left")
+        holds = F.when(F.col("vendor").isNull(), F.col("loser") - 1).when(F.col("turn").isNotNull(), F.col("turn") - 1).when(F.col("idle"), F.col("loser"))
+        reach = passed.agg(F.min(holds)).first()[0]
+        last = min(candidates, remaining - 1, candidates if reach is None else reach)
+        if last < 1:
+            stopped = True
+            break
+        gone.append(checkpoint(line.where(F.col("turn") <= last).select("vendor", (F.col("turn") + n).alias("place"))))
+        active = checkpoint(active.join(gone[-1], "vendor", "left_anti"))
+        remaining, n = remaining - last, n + last
+    dropped = checkpoint(reduce(DataFrame.unionAll, gone)) if gone else nobody
+    return Consolidation(dropped, n, stopped, rounds)
 
 
 @dataclass
@@ -102,8 +128,7 @@ class AwardPlan:
     summary: DataFrame
     shortlist: DataFrame
     priced: DataFrame
-    dropped: list[str] = field(default_factory=list)
-    stopped_to_avoid_stranding: bool = False
+    consolidation: Consolidation
     min_lines: int = 1
 
 
@@ -116,20 +141,21 @@ def recommend(
     # Ranking, baskets and consolidation all read the offers, so they are written out once.
     priced = checkpoint(offers(cells, eligible))
     eligible = checkpoint(eligible)
-    dropped, stopped = dropped_for_size(priced, eligible, min_lines)
+    small = dropped_for_size(priced, eligible, min_lines)
     baseline = allocate(priced, items)
-    if dropped:
-        kept = priced.where(~F.col("vendor").isin(dropped))
+    if small.n:
+        kept = priced.join(small.dropped, "vendor", "left_anti")
         before = baseline.select("rfx_sku", F.col("winner").alias("winner_before"), F.col("extended").alias("extended_before"))
-        moved = F.col("winner_before").isin(dropped) & (F.col("winner_before") != F.col("winner"))
-        lines = allocate(kept, items).join(before, "rfx_sku").withColumn(
+        lost = small.dropped.select(F.col("vendor").alias("winner_before"), F.lit(True).alias("lost"))
+        moved = F.col("lost") & (F.col("winner_before") != F.col("winner"))
+        lines = allocate(kept, items).join(before, "rfx_sku").join(lost, "winner_before", "left").withColumn(
             "reassigned_from", F.when(moved, F.col("winner_before"))
-        ).drop("winner_before")
+        ).drop("winner_before", "lost")
     else:
         lines = baseline.withColumns({"reassigned_from": F.lit(None).cast("string"), "extended_before": F.col("extended")})
     by_vendor = award_by_vendor(lines)
-    summary = plan_summary(lines, priced, eligible, bool(dropped))
-    return AwardPlan(lines, by_vendor, summary, listed, priced, dropped, stopped, min_lines)
+    summary = plan_summary(lines, priced, eligible, bool(small.n))
+    return AwardPlan(lines, by_vendor, summary, listed, priced, small, min_lines)
 
 
 def award_by_vendor(lines: DataFrame) -> DataFrame:
@@ -240,7 +266,7 @@ def caveats(plan: AwardPlan, vendors: DataFrame, terms: DataFrame | None = None)
         ("excluded", F.col("excluded")),
         ("uncontested", s["single_source_lines"]),
         ("unawardable", s["unawardable"]),
-        ("consolidated", F.lit(len(plan.dropped)).cast("bigint")),
+        ("consolidated", F.lit(plan.consolidation.n).cast("bigint")),
         ("freight_mixed", F.when(F.col("freight_bases") > 1, F.col("freight_bases")).otherwise(0)),
         ("discounts_not_applied", F.col("discounts")),
         ("quantities_missing", F.when(~s["quantities_known"], s["awarded_lines"]).otherwise(0)),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 from bidloom import vocabulary as V
 from bidloom.functions import labels
@@ -149,28 +150,22 @@ def cheapest_by_line(cells: DataFrame, vendors: DataFrame | list[str] | None = N
     )
 
 
+def lowest(k: int, *order: str) -> Column:
+    """The k least of the given columns as an array of structs: a bounded aggregate that merges map-side."""
+    return F.array_sort(InternalFunction.collect_top_k(F.struct(*order), k, True))
+
+
 def two_best(priced: DataFrame) -> DataFrame:
-    """Winner, runner-up and number of contenders per item.
+    """Winner, runner-up and number of contenders per item, from one aggregate.
 
-    The rank filter is applied before the shuffle as well as after it, so an
-    item quoted by most vendors sends at most two rows per task.
+    Its state is two offers and a count, merged before the shuffle, so an item
+    quoted by most vendors sends one row per task and the offers are read once.
     """
-    order = Window.partitionBy("rfx_sku").orderBy("price", "vendor")
-    top = (
-        priced.withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= 2)
-        .groupBy("rfx_sku")
-        .agg(
-            F.max(F.when(F.col("place") == 1, F.struct("vendor", "price"))).alias("first"),
-            F.max(F.when(F.col("place") == 2, F.struct("vendor", "price"))).alias("second"),
-        )
-    )
-    field = priced.groupBy("rfx_sku").agg(F.count("*").alias("contenders"))
-    return top.join(field, "rfx_sku").select(
-        "rfx_sku",
-        F.col("first.vendor").alias("winner"), F.col("first.price").alias("price"),
-        F.col("second.vendor").alias("runner_up"), F.col("second.price").alias("runner_up_price"),
-        "contenders",
+    top = priced.groupBy("rfx_sku").agg(lowest(2, "price", "vendor").alias("best"), F.count("*").alias("contenders"))
+    first, second = F.get("best", F.lit(0)), F.get("best", F.lit(1))
+    return top.select(
+        "rfx_sku", first["vendor"].alias("winner"), first["price"].alias("price"),
+        second["vendor"].alias("runner_up"), second["price"].alias("runner_up_price"), "contenders",
     )
 
 

@@ -72,8 +72,29 @@ def test_consolidation_equals_plain_loop(spark):
         prices = {(f"S{i}", v): float(rng.randint(1, 30)) for i in range(30) for v in names if rng.random() < (0.9 if trial else 0.6)}
         cells, _, vendors = grid_of(spark, prices, {"S0": 1})
         for min_lines in (4, 8):
-            got, _ = award.dropped_for_size(grid.offers(cells), vendors, min_lines)
-            assert got == plain_consolidation(prices, names, min_lines)
+            assert dropped(award.dropped_for_size(grid.offers(cells), vendors, min_lines)) == plain_consolidation(prices, names, min_lines)
+
+
+def dropped(done):
+    rows = sorted((r.place, r.vendor) for r in done.dropped.collect())
+    assert [p for p, _ in rows] == list(range(1, done.n + 1))
+    return [v for _, v in rows]
+
+
+def test_consolidation_drops_many_in_a_round(spark):
+    rng = random.Random(11)
+    names = [f"v{i:03d}" for i in range(150)]
+    # Many small winners, each with an item or two of its own, beside a few large ones that are next in line.
+    prices = {}
+    for i in range(400):
+        own = rng.choice(names[:140]) if i < 150 else rng.choice(names[140:])
+        prices[f"S{i:03d}", own] = 1.0
+        for v in rng.sample(names[130:], 4):
+            prices.setdefault((f"S{i:03d}", v), float(rng.randint(2, 9)))
+    cells, _, vendors = grid_of(spark, prices, {"S000": 1})
+    done = award.dropped_for_size(grid.offers(cells), vendors, 8)
+    expected = plain_consolidation(prices, names, 8)
+    assert dropped(done) == expected and len(expected) > 60 and done.rounds < len(expected) / 3
 
 
 def quote(spark, rows):
@@ -123,18 +144,38 @@ def test_gaps_cross_stretches(spark):
     assert grid.not_quoted_cells(gaps, items).count() == 7 + 10 + 11
 
 
-def test_price_ranking_is_filtered_before_the_shuffle(spark):
-    cells, _, _ = grid_of(spark, PRICES, QUANTITIES)
-    plan = grid.two_best(grid.offers(cells))._jdf.queryExecution().toString()
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+def test_price_ranking_is_one_mergeable_aggregate(spark):
+    cells, items, _ = grid_of(spark, PRICES, QUANTITIES)
+    best = grid.two_best(grid.offers(cells))
+    plan = best._jdf.queryExecution().toString()
+    assert "partial_collect_top_k" in plan and "Window" not in plan and plan.split("== Physical Plan ==")[1].count("Scan ExistingRDD") == 1
+    assert {(r.rfx_sku, r.winner, r.runner_up, r.runner_up_price, r.contenders) for r in best.collect()} == {("A", "x", "y", 40.0, 2), ("B", "y", "x", 60.0, 2), ("C", "y", None, None, 1)}
+
+
+def test_ranking_equals_sorting(spark):
+    rng = random.Random(4)
+    prices = {(f"S{rng.randint(0, 9)}" if i % 3 else "hot", f"v{i}"): float(rng.randint(1, 6)) for i in range(600)}
+    cells, _, _ = grid_of(spark, prices, {"S0": 1})
+    got = {r.rfx_sku: r for r in grid.two_best(grid.offers(cells.repartition(7))).collect()}
+    for sku, r in got.items():
+        offers = sorted((p, v) for (s, v), p in prices.items() if s == sku)
+        assert [(r.price, r.winner), (r.runner_up_price, r.runner_up), r.contenders] == [*offers[:2], len(offers)]
+
+
+def test_an_award_scans_the_lines_once(spark, tmp_path):
+    from __spark_entry__ import award_lines
+
+    plan = award_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "lineitem" in line]
+    assert len(scans) == 1, len(scans)
 
 
 def test_consolidation_cost_and_stop(spark):
     prices = {(f"S{i}", v): p for i in range(6) for v, p in (("x", 5.0 + i), ("y", 6.0 if i > 1 else 4.0))} | {("T", "z"): 1.0}
     cells, items, vendors = grid_of(spark, prices, dict.fromkeys([f"S{i}" for i in range(6)] + ["T"], 10))
     plan = award.recommend(cells, items, vendors, min_lines=2)
-    assert (plan.dropped, plan.stopped_to_avoid_stranding, plan.summary.first().consolidation_cost) == ([], True, None)
+    assert (plan.consolidation.n, plan.consolidation.stopped, plan.summary.first().consolidation_cost) == (0, True, None)
     cells, items, vendors = grid_of(spark, prices | {("T", "x"): 3.0}, dict.fromkeys([f"S{i}" for i in range(6)] + ["T"], 10))
     plan = award.recommend(cells, items, vendors, min_lines=2)
     moved = {r.rfx_sku: r.reassigned_from for r in plan.lines.collect() if r.reassigned_from}
-    assert plan.dropped[0] == "z" and moved["T"] == "z" and plan.summary.first().consolidation_cost >= 20.0
+    assert dropped(plan.consolidation)[0] == "z" and moved["T"] == "z" and plan.summary.first().consolidation_cost >= 20.0
