@@ -304,7 +304,7 @@ def consolidated_plan(spark, d):
     """Consolidation over the whole comparison at ordinary bars: what each drops, where it stops and what it costs."""
     def at(min_lines):
         plan, _ = _plan(spark, d, min_lines=min_lines)
-        facts = {"dropped": F.lit(len(plan.dropped)).cast("bigint"), "stopped": F.lit(plan.stopped_to_avoid_stranding)}
+        facts = {"dropped": F.lit(plan.consolidation.n).cast("bigint"), "stopped": F.lit(plan.consolidation.stopped)}
         return plan.lines.select(F.lit(min_lines).cast("bigint").alias("min_lines"), "rfx_sku", "winner", "price", "contenders", "status", "reassigned_from"), plan.summary.withColumns(facts)
 
     (low, low_facts), (high, high_facts) = (at(n) for n in ORDINARY_BARS)
@@ -314,6 +314,14 @@ def consolidated_plan(spark, d):
 
 # Lines a house has to win to be worth an award.
 ORDINARY_BARS = (3, 300)
+SUPPLIER_BAR = 15
+
+
+def consolidated_suppliers(spark, d):
+    """The suppliers dropped at a bar, in order, where each supplier quotes for itself."""
+    c = _comparison(spark, d, "supplier")
+    done = award.dropped_for_size(grid.offers(c.cells), c.responses, SUPPLIER_BAR)
+    return done.dropped.select("vendor", "place", F.lit(done.n).cast("bigint").alias("dropped"), F.lit(done.stopped).alias("stopped"))
 
 
 def award_caveats(spark, d):
@@ -413,6 +421,14 @@ def derived_items(spark, d):
     return derive.derive_items(derive.group_lines(lines, "portable"))
 
 
+def placeholder_codes(spark, d):
+    """Customers as groups without a code, in a list where every third part number is a code in use."""
+    seen = F.struct(F.col("c_nationkey").alias("vendor_ord"), F.col("c_custkey").alias("line_ord"), F.col("c_name").alias("line_id"))
+    groups = inputs.read(spark, d, "customer").select(F.col("c_name").alias("text"), F.col("c_name").alias("root"), seen.alias("seen"))
+    taken = inputs.read(spark, d, "part").where("p_partkey % 3 = 0").select(F.expr("concat('ITEM-', lpad(cast(p_partkey as string), greatest(3, length(cast(p_partkey as string))), '0')) AS sku"))
+    return derive.mint_codes(groups, taken).select("text", "sku")
+
+
 # --- documents ------------------------------------------------------------------
 
 def located_lines(spark, d):
@@ -502,6 +518,14 @@ def reply_attribution(spark, d):
     return attribution.attribute_replies(inputs.replies(spark, d, sent), sent)
 
 
+def credited_replies(spark, d):
+    sent = _invitations(spark, d)
+    came = inputs.replies(spark, d, sent)
+    whose = attribution.attribute_replies(came, sent)
+    read = came.select("reply_id", F.col("read_as").alias("vendor"))
+    return attribution.credited(read, whose, "reply_id")
+
+
 def invitation_status(spark, d):
     sent = _invitations(spark, d)
     answered = attribution.attribute_replies(inputs.replies(spark, d, sent), sent).where("vendor is not null").select("vendor").distinct()
@@ -661,12 +685,12 @@ _QUERIES = (
     coverage_gaps, full_grid, vendor_summary, comparison_view, cheapest_by_line, cheapest_hiding_vendors, win_counts, winner_margin,
     price_matrix, status_grid, label_grid, headline_stats, exceptions, exception_counts, review_legend, evidence, original_quotes, audit_export,
     award_by_vendor, award_table, award_gaps, common_basket, split_vs_single, plan_summary, award_stats, award_headline,
-    consolidated_award, consolidated_plan, award_caveats, shortlist_by_quality,
+    consolidated_award, consolidated_plan, consolidated_suppliers, award_caveats, shortlist_by_quality,
     question_parse, question_clusters, derived_criteria, scored_answers, scorecards, rescored, scorecard_report, questionnaire,
-    unit_vote, quantity_vote, description_vote, currency_vote, basket_monthly, derived_items,
+    unit_vote, quantity_vote, description_vote, currency_vote, basket_monthly, derived_items, placeholder_codes,
     located_lines, located_rows, html_text, text_triage, document_limits, decoded_text, file_formats, file_outcomes,
     blanket_conditions, demoted_conditions, responses_flat,
-    invite_tokens, reply_attribution, invitation_status, request_validation, quoting_windows, rate_staleness,
+    invite_tokens, reply_attribution, credited_replies, invitation_status, request_validation, quoting_windows, rate_staleness,
     vendor_shortlist, vendor_ratings, replenishment_draw, annual_list, edit_log_fold, sendable_lines, table_diff, merged_edits,
     terms_parse, unique_item_codes, completed_terms, extra_invitees, asked_questions,
     warnings, warning_counts, vendor_report, terms_report, cheapest_cleared, split_analysis, price_disagreements, what_to_ask,

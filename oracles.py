@@ -286,6 +286,20 @@ def consolidated_at(bar: int, rounds: int = 4) -> str:
     return ", ".join(parts)
 
 
+def dropped_suppliers(bar: int) -> str:
+    """One vendor at a time, the list of those gone growing by one a step."""
+    return f"""offered AS MATERIALIZED (SELECT rfx_sku, vendor, price FROM offers),
+loop AS (SELECT 0 AS step, CAST([] AS VARCHAR[]) AS gone, false AS stopped, true AS more
+    UNION ALL
+    SELECT step + 1, CASE WHEN n.vendor IS NULL OR n.strands THEN gone ELSE list_append(gone, n.vendor) END, COALESCE(n.strands, false), n.vendor IS NOT NULL AND NOT n.strands
+    FROM (SELECT * FROM loop WHERE more AND len(gone) + 1 < (SELECT count(*) FROM resp)) l LEFT JOIN
+        (SELECT w.winner AS vendor, bool_or(w.k = 1) AS strands, count(*) AS wins, any_value(r.vendor_ord) AS vendor_ord FROM
+            (SELECT rfx_sku, arg_min(vendor, (price, vendor)) AS winner, count(*) AS k FROM offered
+                WHERE NOT list_contains((SELECT any_value(gone) FROM loop), vendor) GROUP BY rfx_sku) w
+            JOIN resp r ON r.vendor = w.winner GROUP BY w.winner HAVING count(*) < {bar} QUALIFY row_number() OVER (ORDER BY count(*), any_value(r.vendor_ord)) = 1) n ON true),
+ended AS (SELECT gone, stopped FROM loop ORDER BY step DESC LIMIT 1)"""
+
+
 def statements() -> dict[str, str]:
     s, h = base("supplier"), base("house")
     snap = [I.SNAPSHOT.format(t="lineitem", w=w) for w in (I.BEFORE_ROWS, I.AFTER_ROWS)]
@@ -390,6 +404,10 @@ def statements() -> dict[str, str]:
         "blanket_conditions": f"WITH {lines('supplier')}, n AS (SELECT vendor, count(*) AS lines FROM lines GROUP BY 1), c AS (SELECT vendor, lower(unnest(list_distinct(list_filter([condition_1, condition_2, condition_3], lambda x: x IS NOT NULL)))) AS condition FROM lines) SELECT vendor, condition, count(*) AS used_on, any_value(n.lines) AS lines FROM c JOIN n USING (vendor) GROUP BY 1, 2 HAVING any_value(n.lines) >= 5 AND count(*) >= 0.6 * any_value(n.lines)",
         "invite_tokens": f"WITH {INVITED} SELECT request_id, vendor, token, concat('Request for quotation — Annual contract [', token, ']') AS subject, concat(replace(request_id, '/', '_'), '.pdf') AS attachment_name FROM inv",
         "reply_attribution": f"WITH {REPLIES} SELECT * FROM att",
+        "credited_replies": f"""WITH {REPLIES}, rd AS (SELECT o_orderkey AS reply_id, CASE o_orderkey % 3 WHEN 0 THEN vendor WHEN 1 THEN 'Letterhead unread' END AS seen FROM orders JOIN inv ON o_custkey = vendor_ord)
+            SELECT reply_id, COALESCE(vendor, seen) AS vendor, basis AS identified_by, token, CASE WHEN vendor IS NULL OR vendor IS NOT DISTINCT FROM seen THEN NULL
+            WHEN basis = 'token' THEN concat('Credited to ', vendor, ': the reply quotes the reference of that invitation.')
+            ELSE concat('Credited to ', vendor, ' by name alone; no reference was quoted, so this needs a second look.') END AS attribution_note FROM att JOIN rd USING (reply_id)""",
         "invitation_status": f"WITH {REPLIES}, st AS (SELECT CASE WHEN vendor IN (SELECT vendor FROM att WHERE vendor IS NOT NULL) THEN 'responded' WHEN vendor_ord % 5 = 0 THEN 'not sent' WHEN vendor_ord % 7 <> 0 THEN 'sent' ELSE 'failed' END AS status FROM inv) SELECT status, count(*) AS n FROM st GROUP BY 1",
         "request_validation": f"WITH {REQ} SELECT request_id, 1 AS position, 'RFQ start date and time' AS issue FROM win WHERE s IS NULL UNION ALL SELECT request_id, 2, 'RFQ end date and time' FROM win WHERE e IS NULL UNION ALL SELECT request_id, 3, 'Vendor category' FROM win WHERE trim(vendor_category) = '' UNION ALL SELECT request_id, 4, 'A closing time later than the opening time' FROM win WHERE trim(vendor_category) <> '' AND days < 0 UNION ALL SELECT request_id, 5, 'At least one supplier' FROM win WHERE supplier_count < 1",
         "quoting_windows": f"WITH {REQ} SELECT request_id, days, CASE WHEN days < 0 THEN 'closes before it opens' WHEN days < 5 THEN 'short window' WHEN days IS NOT NULL THEN 'ok' END AS check, CASE WHEN s IS NOT NULL THEN strftime(s, '%-d %b %Y, %H:%M') ELSE starts_at END AS opens FROM win",
@@ -404,6 +422,10 @@ def statements() -> dict[str, str]:
         "responses_flat": f"WITH {lines('supplier')} SELECT vendor, unit_text, currency, count(*) AS lines, count(quoted_value) AS priced, CAST(sum(CASE WHEN condition_1 IS NULL THEN 0 ELSE 1 END + CASE WHEN condition_2 IS NULL THEN 0 ELSE 1 END + CASE WHEN condition_3 IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS conditions FROM lines GROUP BY 1, 2, 3",
         "replenishment_draw": f"WITH {ITEMS}, {CATALOGUE}, r AS (SELECT *, row_number() OVER (PARTITION BY catalogue ORDER BY {lot('day-1', 'catalogue')}, sku) AS rn FROM catl) SELECT catalogue, sku, line_no, 'suggested' AS origin FROM r WHERE rn <= {size_of('day-1', 'catalogue', '10', '6')}",
         "annual_list": f"WITH {ITEMS}, {CATALOGUE}, core AS (SELECT catalogue, sku FROM catl WHERE line_no % 50 <= 28), k AS (SELECT catalogue, count(*) AS core FROM core GROUP BY 1), r AS (SELECT c.*, k.core, row_number() OVER (PARTITION BY c.catalogue ORDER BY {lot('2026', 'c.catalogue')}, sku) AS rn FROM catl c JOIN k ON k.catalogue = c.catalogue WHERE line_no % 50 > 28) SELECT catalogue, sku, 'buyer' AS origin FROM core UNION ALL SELECT catalogue, sku, 'buyer' FROM r WHERE rn <= {size_of('2026', 'catalogue', 'greatest(30, core)', 'greatest(35, core) - greatest(30, core) + 1')} - core",
+        "consolidated_suppliers": f"{s.replace('WITH ', 'WITH RECURSIVE ', 1)}, {OFFERS}, {dropped_suppliers(15)} SELECT unnest(gone) AS vendor, CAST(unnest(range(1, len(gone) + 1)) AS BIGINT) AS place, CAST(len(gone) AS BIGINT) AS dropped, stopped FROM ended",
+        "placeholder_codes": """WITH g AS (SELECT c_name, row_number() OVER (ORDER BY c_nationkey, c_custkey, c_name) AS k FROM customer),
+            free AS (SELECT n, row_number() OVER (ORDER BY n) AS k FROM (SELECT unnest(range(1, (SELECT count(*) FROM customer) + (SELECT count(*) FROM part) + 1)) AS n) WHERE n NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0))
+            SELECT c_name AS text, concat('ITEM-', CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END) AS sku FROM g JOIN free USING (k)""",
         "edit_log_fold": f"WITH RECURSIVE {FOLD} SELECT * FROM fold",
         "sendable_lines": f"WITH RECURSIVE {FOLD} SELECT request_id, count(*) AS lines FROM fold WHERE origin <> 'suggested' GROUP BY 1",
         "table_diff": f"WITH b AS ({snap[0]}), a AS ({snap[1]}) SELECT COALESCE(b.request_id, a.request_id) AS request_id, COALESCE(b.line_no, a.line_no) AS line_no, CASE WHEN b.request_id IS NULL THEN 'added' WHEN a.request_id IS NULL THEN 'removed' WHEN b.item = a.item AND b.quantity = a.quantity THEN 'unchanged' ELSE 'changed' END AS change FROM b FULL JOIN a ON a.request_id = b.request_id AND a.line_no = b.line_no",
