@@ -140,6 +140,15 @@ def description_match(spark, d):
     return found.select("text", "rfx_sku", "match_confidence")
 
 
+def description_match_exact(spark, d):
+    """The same rung with the matching-blocks ratio."""
+    items = inputs.request_lines(spark, d)
+    vocabulary = matching.marker_vocabulary(items)
+    catalogue = matching.checkpoint(matching.catalogue_profile(items, vocabulary))
+    texts = matching.checkpoint(matching.profile(_texts(spark, d), "text", vocabulary))
+    return matching.match_by_description(texts, catalogue, "exact").select("text", "rfx_sku", "match_confidence")
+
+
 def match_ladder(spark, d):
     lines = inputs.uncoded_lines(spark, d).withColumn("line_id", F.concat_ws("/", "vendor", "line_ord", "true_sku"))
     placed = matching.match_lines(lines, inputs.request_lines(spark, d))
@@ -628,6 +637,18 @@ def asked_questions(spark, d):
     return requests.accepted_questions(asked).select("request_id", "question", "key", "threshold")
 
 
+def question_log_fold(spark, d):
+    """Suppliers' questions as the log of ten requests: most are added, each fourth takes away what it names."""
+    removes = (F.col("vendor_ord") + F.col("question_ord")) % 4 == 0
+    none = {c: F.lit(None).cast(t) for c, t in (("threshold", "double"), ("direction", "string"), ("unit", "string"))}
+    log = inputs.answers(spark, d).select(
+        (F.col("vendor_ord") % 10).alias("request_id"), (F.col("vendor_ord") * 10 + F.col("question_ord")).alias("event_ord"), "question",
+        F.when(removes, F.lit("remove_question")).otherwise(F.lit("add_question")).alias("op"),
+        F.when(F.col("vendor_ord") % 3 == 0, F.lit("Must have")).alias("requirement"), (F.col("vendor_ord") % 2).cast("double").alias("weight"),
+    ).withColumns(none)
+    return requests.fold_question_events(log)
+
+
 # --- warnings, reports, analyses, SQL ----------------------------------------------
 
 def warnings(spark, d):
@@ -681,7 +702,7 @@ def guarded_sql(spark, d):
 
 _QUERIES = (
     award_lines, normalized_quotes, refusals, status_counts, fx_restamp, unit_parse, condition_flags, confidence_scores,
-    sku_match, marker_vocabulary, dimension_signatures, dimension_match, description_match, match_ladder, duplicate_quotes, unplaced_lines,
+    sku_match, marker_vocabulary, dimension_signatures, dimension_match, description_match, description_match_exact, match_ladder, duplicate_quotes, unplaced_lines,
     coverage_gaps, full_grid, vendor_summary, comparison_view, cheapest_by_line, cheapest_hiding_vendors, win_counts, winner_margin,
     price_matrix, status_grid, label_grid, headline_stats, exceptions, exception_counts, review_legend, evidence, original_quotes, audit_export,
     award_by_vendor, award_table, award_gaps, common_basket, split_vs_single, plan_summary, award_stats, award_headline,
@@ -692,7 +713,7 @@ _QUERIES = (
     blanket_conditions, demoted_conditions, responses_flat,
     invite_tokens, reply_attribution, credited_replies, invitation_status, request_validation, quoting_windows, rate_staleness,
     vendor_shortlist, vendor_ratings, replenishment_draw, annual_list, edit_log_fold, sendable_lines, table_diff, merged_edits,
-    terms_parse, unique_item_codes, completed_terms, extra_invitees, asked_questions,
+    terms_parse, unique_item_codes, completed_terms, extra_invitees, asked_questions, question_log_fold,
     warnings, warning_counts, vendor_report, terms_report, cheapest_cleared, split_analysis, price_disagreements, what_to_ask,
     effect_of_quality, guarded_sql,
 )

@@ -72,9 +72,12 @@ def _rarest_first(nodes: DataFrame, key: str, column: str) -> DataFrame:
     )
 
 
-def question_pairs(nodes: DataFrame, key: str = "question", rank: str = "rank") -> DataFrame:
+def question_pairs(nodes: DataFrame, key: str = "question", rank: str = "rank", directed: bool = False) -> DataFrame:
     """(earlier, later) questions that are the same requirement.
 
+    Likeness of texts depends on which comes first. With `directed` every pair is judged both
+    ways round and `earlier` is the one that stands already; otherwise `rank` says.
+
     Candidates are found by equality on keys every matching pair must share:
     one of the rarest tokens (any pair alike on tokens), the shorter phrasing's
     rarest word (shorthand), a token that is the other's initials, a common
@@ -104,7 +107,8 @@ def question_pairs(nodes: DataFrame, key: str = "question", rank: str = "rank")
     usable = enriched.where(F.size("tokens") > 0)
     left = usable.select(F.col(key).alias("earlier"), F.col(rank).alias("er"), F.explode(left_keys).alias("k"))
     right = usable.select(F.col(key).alias("later"), F.col(rank).alias("lr"), F.explode(right_keys).alias("k"))
-    candidates = left.join(right, "k").where(F.col("er") < F.col("lr")).select("earlier", "later").distinct()
+    order = F.col("earlier") != F.col("later") if directed else F.col("er") < F.col("lr")
+    candidates = left.join(right, "k").where(order).select("earlier", "later").distinct()
 
     facts = F.struct("tokens", "digits", "words", "acronyms", "reading")
     a = usable.select(F.col(key).alias("earlier"), facts.alias("a"))

@@ -109,6 +109,7 @@ def _play(present: dict, e: dict) -> None:
             line["note"] = e["note"]
 
 
+# A currency is its first three letters in upper case, as the request has always kept it.
 def fold_scope_events(events: DataFrame, fields: tuple[str, ...] = ("title", "reference", "scope", "currency", "delivery_location", "starts_at", "ends_at")) -> DataFrame:
     scoped = events.where(F.col("op") == "set_scope")
     named = scoped.withColumns({f: blank_to_null(f) for f in fields})
@@ -121,33 +122,77 @@ def fold_term_events(events: DataFrame) -> DataFrame:
     return terms.groupBy("request_id", "kind").agg(F.max_by("text", "event_ord").alias("text"), F.min("event_ord").alias("first_ord"))
 
 
-def accepted_questions(asked: DataFrame) -> DataFrame:
-    """Questions of each request, in order, without those already asked in other words.
+def same_questions(texts: DataFrame) -> DataFrame:
+    """(stands, asked) for every two wordings of `texts` (question) that are one requirement, a wording and itself included."""
+    read = checkpoint(question_profile(texts.groupBy("question").agg(F.min("question").alias("rank"))))
+    pairs = question_pairs(read, directed=True).select(F.col("earlier").alias("stands"), F.col("later").alias("asked"))
+    itself = read.where(F.size("tokens") > 0).select(F.col("question").alias("stands"), F.col("question").alias("asked"))
+    return checkpoint(pairs.unionAll(itself))
+
+
+def fold_question_events(events: DataFrame) -> DataFrame:
+    """The questions a log of add_question / remove_question events leaves behind, in order.
 
-    `asked` has request_id, event_ord and question. Sameness is judged once per
-    distinct wording; each request then keeps a question unless an earlier one
-    it kept is the same, settled in rounds.
+    Events have request_id, event_ord, op, question, and for additions threshold, direction,
+    unit, requirement and weight. An addition is refused while a question that is the same
+    requirement stands; a removal takes away every question it is the same as.
+
+    When a question would go does not depend on whether it was accepted: it lives from its
+    event to the first later removal that means it. An addition is refused when an accepted
+    one whose life covers it is the same, so acceptance is a fixpoint over those pairs, settled
+    in rounds. Between two removals nothing goes, so only the first of equal wordings there
+    is looked at, and sameness is judged once per pair of distinct wordings.
     """
-    q = asked.withColumn("question", F.trim("question")).groupBy("request_id", "question").agg(F.min("event_ord").alias("event_ord"))
-    texts = question_profile(q.groupBy("question").agg(F.min("question").alias("rank")))
-    pairs = question_pairs(checkpoint(texts))
-    both = pairs.select(F.col("earlier").alias("a"), F.col("later").alias("b")).unionByName(pairs.select(F.col("later").alias("a"), F.col("earlier").alias("b")))
-    mine = q.select("request_id", F.col("question").alias("a"), F.col("event_ord").alias("a_ord"))
-    edges = checkpoint(
-        q.select("request_id", F.col("question").alias("b"), F.col("event_ord").alias("b_ord"))
-        .join(both, "b").join(mine, ["request_id", "a"]).where(F.col("a_ord") < F.col("b_ord")).select("request_id", "a", "b")
+    asked = events.where(F.col("op").isin("add_question", "remove_question")).withColumn("question", F.trim("question"))
+    asked = asked.where(F.col("question").isNotNull()).withColumn("removes", F.col("op") == "remove_question")
+    same = same_questions(asked.select("question"))
+    epoch = F.sum(F.col("removes").cast("int")).over(Window.partitionBy("request_id").orderBy("event_ord"))
+    asked = checkpoint(asked.withColumn("epoch", epoch))
+    adds = asked.where(~F.col("removes"))
+    first = adds.groupBy("request_id", "question", "epoch").agg(F.min("event_ord").alias("event_ord"))
+
+    taken_by = asked.where("removes").select("request_id", F.col("question").alias("asked"), F.col("event_ord").alias("gone")).join(same, "asked")
+    ends = first.join(taken_by, (first.request_id == taken_by.request_id) & (first.question == taken_by.stands) & (taken_by.gone > first.event_ord)).groupBy(
+        first.request_id, first.event_ord
+    ).agg(F.min("gone").alias("gone"))
+    lives = checkpoint(first.join(ends, ["request_id", "event_ord"], "left").select("request_id", "event_ord", "question", "gone"))
+
+    held = lives.select("request_id", F.col("event_ord").alias("before"), F.col("question").alias("stands"), "gone").join(same, "stands")
+    fresh = lives.select("request_id", F.col("event_ord"), F.col("question").alias("asked"))
+    edges = held.join(fresh, ["request_id", "asked"]).where("before < event_ord AND (gone IS NULL OR gone > event_ord)").select("request_id", "before", "event_ord")
+    kept = _first_come(lives.select("request_id", "event_ord"), checkpoint(edges))
+    left = lives.where(F.col("gone").isNull()).join(kept, ["request_id", "event_ord"], "left_semi").select("request_id", "event_ord")
+    read = adds.join(left, ["request_id", "event_ord"]).withColumn("r", question_reading("question"))
+    must = F.lower(F.coalesce(F.trim("requirement"), F.lit(""))).startswith("must")
+    return read.select(
+        "request_id", "event_ord", "question", question_slug("question").alias("key"), "r.kind",
+        F.coalesce(blank_to_null("direction"), "r.direction", F.lit("boolean")).alias("direction"), F.coalesce("threshold", "r.threshold").alias("threshold"),
+        F.coalesce("unit", "r.unit").alias("unit"), F.when(must, F.lit("Must have")).otherwise(F.lit("Scored")).alias("requirement"),
+        F.when(F.col("weight") != 0, F.col("weight")).otherwise(F.lit(1.0)).alias("weight"),
     )
-    state = checkpoint(q.withColumn("kept", F.lit(None).cast("boolean")))
+
+
+def _first_come(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nodes (request_id, event_ord) that stay when each is refused by any earlier one that stays and has an edge (before, event_ord) to it."""
+    state = checkpoint(nodes.withColumn("kept", F.lit(None).cast("boolean")))
     while True:
-        before = edges.join(state.select("request_id", F.col("question").alias("a"), "kept"), ["request_id", "a"]).groupBy("request_id", F.col("b").alias("question")).agg(
+        known = state.select("request_id", F.col("event_ord").alias("before"), "kept")
+        before = edges.join(known, ["request_id", "before"]).groupBy("request_id", "event_ord").agg(
             F.coalesce(F.bool_or("kept"), F.lit(False)).alias("clashes"), F.bool_and(F.coalesce(~F.col("kept"), F.lit(False))).alias("free")
         )
         verdict = F.when(F.col("clashes").isNull() | F.col("free"), F.lit(True)).when(F.col("clashes"), F.lit(False))
-        state = checkpoint(state.join(before, ["request_id", "question"], "left").select("request_id", "question", "event_ord", F.coalesce("kept", verdict).alias("kept")))
+        state = checkpoint(state.join(before, ["request_id", "event_ord"], "left").select("request_id", "event_ord", F.coalesce("kept", verdict).alias("kept")))
         if state.where(F.col("kept").isNull()).isEmpty():
-            break
-    r = question_reading("question")
-    return state.where("kept").select("request_id", "event_ord", "question", question_slug("question").alias("key"), r.alias("r")).select("request_id", "event_ord", "question", "key", "r.*")
+            return state.where("kept").select("request_id", "event_ord")
+
+
+def accepted_questions(asked: DataFrame) -> DataFrame:
+    """Questions of each request, in order, without those already asked in other words.
+
+    `asked` has request_id, event_ord and question: a log without removals.
+    """
+    none = {c: F.lit(None).cast(t) for c, t in (("threshold", "double"), ("direction", "string"), ("unit", "string"), ("requirement", "string"), ("weight", "double"))}
+    return fold_question_events(asked.withColumn("op", F.lit("add_question")).withColumns(none)).drop("requirement", "weight")
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

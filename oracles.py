@@ -143,6 +143,24 @@ ANSWERED = (
 )
 
 
+# How a question of these suppliers reads: kind, direction, target and unit.
+READING = {
+    "kind": "CASE WHEN question ILIKE '%iso%' THEN 'certification' WHEN regexp_matches(question, '[0-9]') THEN 'threshold' ELSE 'other' END",
+    "direction": "CASE WHEN question ILIKE '%iso%' OR NOT regexp_matches(question, '[0-9]') THEN 'boolean' WHEN regexp_matches(question, 'below|under|30-day') THEN 'lower_better' ELSE 'higher_better' END",
+    "threshold": "CASE WHEN question ILIKE '%iso%' THEN NULL ELSE CAST(nullif(regexp_extract(replace(question, ',', ''), '[0-9]+'), '') AS DOUBLE) END",
+    "unit": "CASE WHEN question LIKE '%\\%%' ESCAPE '\\' THEN '%' WHEN question ILIKE '%month%' THEN ' units/month' WHEN question LIKE '%day%' THEN ' days' END",
+}
+SLUG = "array_to_string(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: w NOT IN ('are', 'you', 'held', 'able', 'to', 'a', 'per', 'on'))[1:4], '_')"
+# Wordings of one criterion are one requirement; the earliest names the cluster.
+CLUSTERS = """wordings AS (SELECT key AS same, question, min((vendor_ord, question_ord)) AS rank, count(*) AS asked FROM asked GROUP BY 1, 2),
+clusters AS (SELECT question, rank, asked, first_value(question) OVER (PARTITION BY same ORDER BY rank) AS root,
+    len(regexp_extract_all(question, '[A-Za-z][A-Za-z''\\-]*')) - 2 * len(list_filter(regexp_extract_all(question, '[A-Za-z][A-Za-z''\\-]*'), lambda w: w = upper(w) AND length(w) BETWEEN 2 AND 5)) AS spelled FROM wordings)"""
+
+
+def reading() -> str:
+    return ", ".join(f"{e} AS {n}" for n, e in READING.items())
+
+
 def lit(v) -> str:
     return "NULL" if v is None else (f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE")
 
@@ -387,7 +405,20 @@ def statements() -> dict[str, str]:
         "rescored": f"{scard({'iso': ('Scored', None, 3.0), 'capacity': ('Must have', 14000.0, 1.0)})} SELECT * FROM cards",
         "scorecard_report": f"{scard()} SELECT vendor, printf('%.0f', quality_score * 100) AS quality, concat(CAST(disclosed_figures AS VARCHAR), '/5') AS figures_disclosed, CASE WHEN unanswered_criteria = '' THEN 0 ELSE CAST(len(string_split(unanswered_criteria, ',')) AS BIGINT) END AS not_answered, CASE WHEN hard_failures = '' THEN 'no' ELSE replace(hard_failures, ',', ', ') END AS misses, CASE WHEN quality_score * 100 >= 80 THEN 'good' WHEN quality_score * 100 >= 55 THEN 'mid' ELSE 'poor' END AS band FROM cards",
         "questionnaire": f"{scard()} SELECT vendor, key AS criterion_key, verdict, value AS numeric_value, target, CAST(meets AS INTEGER) AS meets, CASE WHEN meets THEN 1.0 ELSE 0.0 END::DOUBLE AS score, requirement FROM scored",
-        "question_parse": f"WITH {ANSWERED} SELECT question, count(*) AS asked, CASE WHEN question ILIKE '%iso%' THEN 'certification' WHEN regexp_matches(question, '[0-9]') THEN 'threshold' ELSE 'other' END AS kind, CASE WHEN question ILIKE '%iso%' OR NOT regexp_matches(question, '[0-9]') THEN 'boolean' WHEN regexp_matches(question, 'below|under|30-day') THEN 'lower_better' ELSE 'higher_better' END AS direction, CASE WHEN question ILIKE '%iso%' THEN NULL ELSE CAST(nullif(regexp_extract(replace(question, ',', ''), '[0-9]+'), '') AS DOUBLE) END AS threshold, CASE WHEN question LIKE '%\\%%' ESCAPE '\\' THEN '%' WHEN question ILIKE '%month%' THEN ' units/month' WHEN question LIKE '%day%' THEN ' days' END AS unit, array_to_string(list_filter(regexp_extract_all(lower(question), '[a-z0-9]+'), lambda w: w NOT IN ('are', 'you', 'held', 'able', 'to', 'a', 'per', 'on'))[1:4], '_') AS slug FROM asked GROUP BY question",
+        "question_parse": f"WITH {ANSWERED} SELECT question, count(*) AS asked, {reading()}, {SLUG.format('question')} AS slug FROM asked GROUP BY question",
+        "question_clusters": f"WITH {ANSWERED}, {CLUSTERS} SELECT question, root, asked FROM clusters",
+        "asked_questions": f"WITH {ANSWERED}, log AS (SELECT vendor_ord % 10 AS request_id, vendor_ord * 10 + question_ord AS ord, key, question FROM asked), f AS (SELECT request_id, arg_min(question, ord) AS question FROM log GROUP BY request_id, key) SELECT request_id, question, {SLUG.format('question')} AS key, {READING['threshold']} AS threshold FROM f",
+        "question_log_fold": f"""WITH {ANSWERED}, log AS (SELECT vendor_ord % 10 AS request_id, vendor_ord * 10 + question_ord AS event_ord, key AS same, question, (vendor_ord + question_ord) % 4 = 0 AS removes, vendor_ord % 3 = 0 AS must, vendor_ord % 2 AS w FROM asked),
+            gone AS (SELECT request_id, same, max(event_ord) AS last FROM log WHERE removes GROUP BY 1, 2),
+            f AS (SELECT l.* FROM log l LEFT JOIN gone g USING (request_id, same) WHERE NOT removes AND event_ord > COALESCE(last, -1) QUALIFY row_number() OVER (PARTITION BY request_id, same ORDER BY event_ord) = 1)
+            SELECT request_id, event_ord, question, {SLUG.format('question')} AS key, {reading()}, CASE WHEN must THEN 'Must have' ELSE 'Scored' END AS requirement, 1.0::DOUBLE AS weight FROM f""",
+        "derived_criteria": f"""WITH {ITEMS}, {ANSWERED}, {CLUSTERS}, rd AS (SELECT *, {reading()} FROM clusters),
+            g AS (SELECT root, min(rank) AS rank, count(*) AS variants, arg_max(question, (spelled, length(question), -rank[1], -rank[2])) AS question, arg_min(kind, rank) AS kind,
+                arg_min(struct_pack(d := direction, t := threshold, u := unit), rank) AS own, arg_min(struct_pack(d := direction, t := threshold, u := unit), rank) FILTER (threshold IS NOT NULL) AS stated FROM rd GROUP BY root),
+            p AS (SELECT *, row_number() OVER (ORDER BY rank) AS position, {SLUG.format('root')} AS slug, CASE WHEN own.t IS NOT NULL OR stated IS NULL THEN own ELSE stated END AS target FROM g),
+            m AS (SELECT CAST(sum(nullif(quantity, 0)) AS BIGINT) / 12.0 * 1.5 AS aim FROM items), st AS (SELECT aim, CASE WHEN aim < 20000 THEN 1000.0 ELSE 5000.0 END AS step FROM m)
+            SELECT CASE WHEN position = min(position) OVER (PARTITION BY slug) THEN slug ELSE concat(slug, '_', CAST(position AS VARCHAR)) END AS key, position, question, root, variants, kind, target.d AS direction, target.t AS threshold, target.u AS unit,
+            'Scored' AS requirement, 1.0::DOUBLE AS weight, CASE WHEN trim(target.u) = 'units/month' THEN CAST(round_even(aim / step, 0) * step AS DOUBLE) END AS suggested_threshold FROM p CROSS JOIN st""",
         "unit_vote": f"WITH {lines('supplier')}, g AS (SELECT CASE WHEN vendor_sku IS NOT NULL THEN {I.sku('k')} END AS sku, unit_text, vendor_ord, line_ord, line_id FROM (SELECT *, CAST(split_part(line_id, '-', 3) AS BIGINT) AS k FROM lines)), u AS (SELECT sku, CASE unit_text WHEN 'per box' THEN 'box' WHEN 'Nos' THEN 'no' WHEN 'per 100 pcs' THEN 'pc' WHEN 'per roll' THEN 'roll' END AS noun, CASE WHEN unit_text IN ('per box', 'Nos', 'per 100 pcs') THEN 'discrete' WHEN unit_text = 'per roll' THEN 'roll' END AS fam, vendor_ord, line_ord, line_id FROM g WHERE sku IS NOT NULL), f AS (SELECT sku, fam FROM (SELECT sku, fam, count(*) AS n, min((vendor_ord, line_ord, line_id)) AS first FROM u WHERE fam IS NOT NULL GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY sku ORDER BY n DESC, first) = 1), nn AS (SELECT sku, noun FROM (SELECT u.sku, noun, count(*) AS n, min((vendor_ord, line_ord, line_id)) AS first FROM u JOIN f ON f.sku = u.sku AND f.fam = u.fam GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY sku ORDER BY n DESC, first) = 1) SELECT s.sku, CASE WHEN f.fam IS NULL THEN 'per unit' WHEN nn.noun IN ('no', 'pc') THEN 'per unit' ELSE concat('per ', nn.noun) END AS canonical_unit, COALESCE(f.fam, 'discrete') AS unit_family FROM (SELECT DISTINCT sku FROM u) s LEFT JOIN f USING (sku) LEFT JOIN nn USING (sku)",
         "quantity_vote": f"WITH {lines('supplier')}, g AS (SELECT {I.sku('k')} AS sku, CAST(quantity AS BIGINT) AS quantity, vendor_ord, line_ord, line_id FROM (SELECT *, CAST(split_part(line_id, '-', 3) AS BIGINT) AS k FROM lines) WHERE vendor_sku IS NOT NULL) SELECT sku, quantity FROM (SELECT sku, quantity, count(*) AS n, min((vendor_ord, line_ord, line_id)) AS first FROM g GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY sku ORDER BY n DESC, first) = 1",
         "description_vote": f"WITH d AS (SELECT {I.sku('l_partkey')} AS sku, {WORDING} AS description, s_name AS vendor, l_orderkey * 10 + l_linenumber AS line_ord FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey) SELECT sku, description FROM (SELECT sku, description, count(*) AS n, min((line_ord, vendor)) AS first FROM d GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY sku ORDER BY n DESC, length(description) DESC, first) = 1",
