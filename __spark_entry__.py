@@ -16,7 +16,8 @@ from bidloom.functions import dates, questions, text, units
 from bidloom.operators import attribution, award, derive, grid, matching, normalise, ordering, reports, requests, shortlist
 from bidloom.operators import criteria as quality
 from bidloom.plans import analyses, comparison, inputs, sqlview
-from bidloom.sources import documents, replies
+from bidloom.session import Scratch
+from bidloom.sources import documents, replies, sinks
 
 try:
     from bidloom.llm import registry as llm
@@ -700,6 +701,37 @@ def guarded_sql(spark, d):
     )
 
 
+STORED = """
+    SELECT 'rfx_lines' AS source, canonical_unit AS label, count(*) AS n, cast(min(quantity) AS double) AS low FROM rfx_lines GROUP BY 2
+    UNION ALL SELECT 'vendors', cast(meets_requirements AS string), count(*), cast(min(coverage_quoted) AS double) FROM vendors GROUP BY 2
+    UNION ALL SELECT 'questionnaire', verdict, count(*), min(score) FROM questionnaire GROUP BY 2
+    UNION ALL SELECT 'terms', kind, count(*), min(value) FROM terms GROUP BY 2
+    UNION ALL SELECT 'quotes', status, count(*), min(canonical_value) FROM quotes WHERE status <> 'Not Quoted' GROUP BY 2
+    UNION ALL SELECT 'award', status, count(*), min(price) FROM award GROUP BY 2
+    UNION ALL SELECT 'comparison', status, count(*), min(extended_value) FROM comparison WHERE status <> 'Not Quoted' GROUP BY 2
+"""
+
+
+def _stored(spark, d) -> sqlview.SqlSurface:
+    """A comparison written to the shared folder, its award replaced, and reopened."""
+    c = _comparison(spark, d, "supplier", scored=True)
+    path = Scratch(spark, "stored-comparison").path("store")
+    sinks.write_comparison(c.stored(), path)
+    sinks.write_award(award.allocate(grid.offers(c.cells), c.items), path)
+    return sqlview.SqlSurface.stored(spark, path)
+
+
+def stored_comparison(spark, d):
+    return _stored(spark, d).query(STORED)
+
+
+def sql_shown(spark, d):
+    """What a person is shown of a longer result, and that it goes on."""
+    shown = _stored(spark, d).show("SELECT rfx_sku, winner, price FROM award WHERE winner IS NOT NULL ORDER BY price DESC, rfx_sku")
+    rows = [(r["rfx_sku"], r["winner"], r["price"], shown.truncated) for r in shown.rows]
+    return spark.createDataFrame(rows, "rfx_sku string, winner string, price double, truncated boolean")
+
+
 _QUERIES = (
     award_lines, normalized_quotes, refusals, status_counts, fx_restamp, unit_parse, condition_flags, confidence_scores,
     sku_match, marker_vocabulary, dimension_signatures, dimension_match, description_match, description_match_exact, match_ladder, duplicate_quotes, unplaced_lines,
@@ -715,7 +747,7 @@ _QUERIES = (
     vendor_shortlist, vendor_ratings, replenishment_draw, annual_list, edit_log_fold, sendable_lines, table_diff, merged_edits,
     terms_parse, unique_item_codes, completed_terms, extra_invitees, asked_questions, question_log_fold,
     warnings, warning_counts, vendor_report, terms_report, cheapest_cleared, split_analysis, price_disagreements, what_to_ask,
-    effect_of_quality, guarded_sql,
+    effect_of_quality, guarded_sql, stored_comparison, sql_shown,
 )
 
 

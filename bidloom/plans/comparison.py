@@ -57,16 +57,13 @@ class Comparison:
         cards = None if self.scored is None else C.scorecards(self.scored, self.criteria, self.responses)
         return grid.vendor_summary(self.responses, self.matched, self.cells, self.items, cards)
 
-    def tables(self) -> dict[str, DataFrame]:
-        """The seven names users query."""
-        spark = self.items.sparkSession
-        full = grid.full_grid(self.cells, self.gaps, self.items)
+    def stored(self) -> dict[str, DataFrame]:
+        """What is written to disk: quoted cells and runs of missing lines, never the dense grid."""
         tables = {
             "rfx_lines": self.items.select("sku", "description", "quantity", "canonical_unit", "line_no"),
             "vendors": self.vendors,
-            "quotes": full,
-            "award": empty_award(spark),
-            "comparison": grid.comparison_view(full, self.items, self.vendors),
+            "cells": self.cells,
+            "gaps": self.gaps,
         }
         if self.criteria is not None:
             tables["questionnaire"] = C.questionnaire(self.scored, self.criteria, self.vendors)
@@ -74,6 +71,12 @@ class Comparison:
             tables["terms"] = self.terms.select("vendor", "kind", "text", "trigger", "value")
         return tables
 
+    def tables(self) -> dict[str, DataFrame]:
+        """The seven names users query, the grid expanded as it is read."""
+        tables = self.stored()
+        full = grid.full_grid(tables.pop("cells"), tables.pop("gaps"), self.items)
+        return tables | {"quotes": full, "award": empty_award(self.items.sparkSession), "comparison": grid.comparison_view(full, self.items, self.vendors)}
+
     def warnings(self) -> DataFrame:
         return comparability_warnings(self.vendors, self.terms)
 

@@ -78,13 +78,15 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables of this job that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for table in tables:
             for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
                 if "/" + self.root.rsplit("/", 1)[1] + "/" in folder:
-                    where = jvm.org.apache.hadoop.fs.Path(folder)
-                    where.getFileSystem(conf).delete(where, True)
+                    delete_folder(self.spark, folder)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def planned_bytes(df: DataFrame) -> int:

@@ -346,7 +346,7 @@ def statements() -> dict[str, str]:
         UNION ALL SELECT vendor, 'discount', concat('offers ', CAST(value AS VARCHAR), '%') FROM tms)"""
     amount = lambda value: money(value, "'INR'")
     pair_score = f"floor((0.45 * (len(list_intersect(t.toks, c.toks)) / CAST(least(len(t.toks), len(c.toks)) AS DOUBLE)) + 0.30 * CASE WHEN len(t.size) < 2 OR len(c.size) < 2 THEN 0.5 WHEN t.size = c.size THEN 1.0 ELSE 0.0 END + 0.15 * CASE WHEN len(t.marks) > 0 AND len(c.marks) > 0 THEN {JAC} ELSE 0.5 END + 0.10 * (1.0 - levenshtein(lower(t.text), lower(c.description)) / CAST(greatest(length(t.text), length(c.description)) AS DOUBLE))) * 1000.0 + 0.5) / 1000.0"
-    return {
+    made = {
         "award_lines": f"{s}, {AWARD} SELECT rfx_sku, winner, price, extended, runner_up, runner_up_price, saving_per_unit, extended_saving, contenders, status FROM award",
         "normalized_quotes": f"{s} SELECT rfx_sku, vendor, original_value, original_currency, canonical_value, factor, rules, status, flags, comparable FROM cell",
         "refusals": f"{s} SELECT rfx_sku, vendor, reason, missing_datum FROM cell WHERE status = 'Unresolved'",
@@ -475,3 +475,15 @@ def statements() -> dict[str, str]:
         "effect_of_quality": f"{cleared}, o AS (SELECT c.rfx_sku, c.vendor, c.canonical_value AS p, meets_requirements AND quality_score >= 0.6 AS ok FROM cell c JOIN cards USING (vendor) WHERE comparable = 1), w AS (SELECT 'with quality bar' AS scenario, rfx_sku, min(p) AS p FROM o WHERE ok GROUP BY 2 UNION ALL SELECT 'ignoring quality', rfx_sku, min(p) FROM o GROUP BY 2) SELECT scenario, count(*) AS awarded_lines, CAST(sum(CAST({R2.format('p * nullif(quantity, 0)')} AS DECIMAL(28,2))) AS DOUBLE) AS total_extended FROM w JOIN items ON sku = rfx_sku GROUP BY 1",
         "guarded_sql": f"{h} SELECT vendor, canonical_unit, count(*) AS n, min(canonical_value) AS lowest FROM cell WHERE comparable = 1 AND canonical_value > 1 GROUP BY 1, 2",
     }
+    part = lambda source, label, low, of: f"SELECT '{source}' AS source, {label} AS label, count(*) AS n, {low} AS low FROM ({of}) GROUP BY 2"
+    made["stored_comparison"] = " UNION ALL ".join([
+        part("rfx_lines", "canonical_unit", "CAST(min(quantity) AS DOUBLE)", f"WITH {ITEMS} SELECT * FROM items"),
+        part("vendors", "CAST(CAST(meets_requirements AS INT) AS VARCHAR)", "CAST(min(coverage_quoted) AS DOUBLE)", made["vendor_summary"]),
+        part("questionnaire", "verdict", "min(score)", made["questionnaire"]),
+        part("terms", "k", "min(v)", "SELECT k, CASE WHEN k = 'discount' THEN CAST(s_suppkey % 4 AS DOUBLE) + 0.5 END AS v FROM supplier, (SELECT unnest(['freight', 'payment', 'discount']) AS k)"),
+        part("quotes", "status", "min(canonical_value)", made["normalized_quotes"]),
+        part("award", "status", "min(price)", made["award_lines"]),
+        part("comparison", "status", "min(extended_value)", made["comparison_view"]),
+    ])
+    made["sql_shown"] = f"SELECT rfx_sku, winner, price, true AS truncated FROM ({made['award_lines']}) WHERE winner IS NOT NULL ORDER BY price DESC, rfx_sku LIMIT 200"
+    return made
