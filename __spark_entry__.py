@@ -638,6 +638,41 @@ def asked_questions(spark, d):
     return requests.accepted_questions(asked).select("request_id", "question", "key", "threshold")
 
 
+def merged_questions(spark, d):
+    """Each order's questions and files after an edit, and whether the edit changed the order at all."""
+    was, now = inputs.snapshots(spark, d)
+    ask = lambda df: F.concat(F.lit("Is part "), (F.col("item") % 50).cast("string"), F.lit(" in stock?"))
+    rows = lambda df: df.withColumns({
+        "serial": F.col("line_no"), "question": ask(df), "direction": F.lit("boolean"), "threshold": F.col("quantity").cast("double"), "unit": F.lit(" "),
+        "requirement": F.when(F.col("item") % 3 == 0, F.lit("Must have")).otherwise(F.lit("as before")), "weight": F.when(F.col("item") % 4 == 0, F.lit(0.0)),
+    })
+    stored = rows(was).withColumns({
+        "key": F.concat(F.lit("part_"), (F.col("item") % 50).cast("string")), "kind": F.lit("other"), "variants": F.array("question"), "unit": F.lit(None).cast("string"),
+        "requirement": F.when(F.col("item") % 3 == 0, F.lit("Must have")).otherwise(F.lit("Scored")), "weight": F.when(F.col("item") % 4 == 0, F.lit(0.0)).otherwise(F.lit(1.0)),
+    })
+    typed = rows(now).withColumn("question", F.when(F.col("item") % 5 == 0, F.concat(F.lit(" Corrected: "), "question")).otherwise(F.col("question")))
+    merged = requests.merge_criteria_edits(stored, typed)
+    asks = requests.changed_requests(stored, merged, "serial", requests.CRITERION)
+    files = lambda df: df.select("request_id", "line_no", F.concat(F.lit("file-"), F.col("line_no").cast("string")).alias("name"), (F.col("quantity") % 2).cast("string").alias("note"))
+    listed = requests.merge_attachment_edits(files(was), files(now))
+    held = requests.changed_requests(files(was), listed, "line_no", ["name", "note"])
+    questions_ = merged.select("request_id", F.lit("question").alias("part"), "serial", "key", F.col("question").alias("text"), F.array_join("variants", "|").alias("variants"), "requirement", "weight")
+    notes = listed.select("request_id", F.lit("file").alias("part"), F.col("line_no").alias("serial"), F.col("name").alias("key"), F.col("note").alias("text"), *[F.lit(None).cast(t).alias(c) for c, t in (("variants", "string"), ("requirement", "string"), ("weight", "double"))])
+    return questions_.join(asks, "request_id").unionAll(notes.join(held, "request_id"))
+
+
+def document_lines(spark, d):
+    """Lines of an order's own document beside those it has; every third comes without a code."""
+    was, now = inputs.snapshots(spark, d)
+    had = was.select("request_id", "line_no", F.concat(F.lit("P-"), (F.col("item") % 4).cast("string")).alias("sku"), F.lit("kept").alias("description"), "quantity", F.lit("buyer").alias("origin"))
+    had = ordering.unique_codes(had, "sku", "line_no", "request_id")
+    said = now.select(
+        "request_id", "line_no", F.when(F.col("item") % 3 != 0, F.concat(F.lit("p "), (F.col("item") % 4).cast("string"))).alias("sku"),
+        F.when(F.col("item") % 11 != 0, F.concat(F.lit("Widget no "), F.col("item").cast("string"), F.lit(" large"))).alias("description"), (F.col("quantity") % 7).alias("quantity"), F.lit("box").alias("unit"), F.lit(None).cast("string").alias("note"),
+    )
+    return requests.add_document_lines(had, said).select("request_id", "line_no", "sku", "description", "quantity", "origin")
+
+
 def question_log_fold(spark, d):
     """Suppliers' questions as the log of ten requests: most are added, each fourth takes away what it names."""
     removes = (F.col("vendor_ord") + F.col("question_ord")) % 4 == 0
@@ -745,7 +780,7 @@ _QUERIES = (
     blanket_conditions, demoted_conditions, responses_flat,
     invite_tokens, reply_attribution, credited_replies, invitation_status, request_validation, quoting_windows, rate_staleness,
     vendor_shortlist, vendor_ratings, replenishment_draw, annual_list, edit_log_fold, sendable_lines, table_diff, merged_edits,
-    terms_parse, unique_item_codes, completed_terms, extra_invitees, asked_questions, question_log_fold,
+    terms_parse, unique_item_codes, completed_terms, extra_invitees, asked_questions, question_log_fold, merged_questions, document_lines,
     warnings, warning_counts, vendor_report, terms_report, cheapest_cleared, split_analysis, price_disagreements, what_to_ask,
     effect_of_quality, guarded_sql, stored_comparison, sql_shown,
 )

@@ -17,10 +17,15 @@ NO_OFFER = "No shortlisted supplier gave a price we can safely compare, so we ca
 ONE_OFFER = "Only one shortlisted supplier priced this line comparably, so there is nothing to compare it with."
 
 
-def shortlist(vendors: DataFrame, min_quality: float = 0.0, enforce_requirements: bool = True) -> DataFrame:
-    """`vendors` with `eligible`: passes every must-have (if enforced) and reaches the bar."""
+def shortlisted(min_quality: float = 0.0, enforce_requirements: bool = True) -> Column:
+    """A vendor passes every must-have (if enforced) and reaches the bar."""
     passes = F.lit(True) if not enforce_requirements else F.coalesce("meets_requirements", F.lit(True))
-    return vendors.withColumn("eligible", passes & (F.coalesce("quality_score", F.lit(0.0)) >= min_quality))
+    return passes & (F.coalesce("quality_score", F.lit(0.0)) >= min_quality)
+
+
+def shortlist(vendors: DataFrame, min_quality: float = 0.0, enforce_requirements: bool = True) -> DataFrame:
+    """`vendors` with `eligible`."""
+    return vendors.withColumn("eligible", shortlisted(min_quality, enforce_requirements))
 
 
 def allocate(priced: DataFrame, items: DataFrame) -> DataFrame:

@@ -155,16 +155,16 @@ def lowest(k: int, *order: str) -> Column:
     return F.array_sort(InternalFunction.collect_top_k(F.struct(*order), k, True))
 
 
-def two_best(priced: DataFrame) -> DataFrame:
-    """Winner, runner-up and number of contenders per item, from one aggregate.
+def two_best(priced: DataFrame, *by: str) -> DataFrame:
+    """Winner, runner-up and number of contenders per item (and `by`), from one aggregate.
 
     Its state is two offers and a count, merged before the shuffle, so an item
     quoted by most vendors sends one row per task and the offers are read once.
     """
-    top = priced.groupBy("rfx_sku").agg(lowest(2, "price", "vendor").alias("best"), F.count("*").alias("contenders"))
+    top = priced.groupBy("rfx_sku", *by).agg(lowest(2, "price", "vendor").alias("best"), F.count("*").alias("contenders"))
     first, second = F.get("best", F.lit(0)), F.get("best", F.lit(1))
     return top.select(
-        "rfx_sku", first["vendor"].alias("winner"), first["price"].alias("price"),
+        "rfx_sku", *by, first["vendor"].alias("winner"), first["price"].alias("price"),
         second["vendor"].alias("runner_up"), second["price"].alias("runner_up_price"), "contenders",
     )
 

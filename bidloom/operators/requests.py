@@ -230,21 +230,32 @@ def merge_line_edits(before: DataFrame, edited: DataFrame) -> DataFrame:
     )
 
 
+#: What makes a stored question another question.
+CRITERION = ("key", "question", "direction", "threshold", "unit", "requirement", "weight")
+
+
 def merge_criteria_edits(before: DataFrame, edited: DataFrame) -> DataFrame:
-    """Edited questions over the stored ones, tied by serial so a corrected typo keeps its variants."""
+    """Edited questions over the stored ones, tied by serial so a corrected typo keeps its variants.
+
+    `before` has request_id, serial, question, key, kind and variants; `edited` has request_id,
+    serial and what a row shows. A row without a known serial is the stored question of equal
+    text, if there is one, else a new question. Rows without a question are none.
+    """
     level = F.trim("requirement")
     e = edited.where(blank_to_null("question").isNotNull()).select(
         "request_id", "serial", F.trim("question").alias("question"), "direction", "threshold", blank_to_null("unit").alias("unit"),
         F.when(level.isin("Must have", "Scored", "Ignore"), level).otherwise(F.lit("Scored")).alias("requirement"), F.coalesce("weight", F.lit(1.0)).alias("weight"),
     )
-    old = before.select("request_id", "serial", F.struct("key", "variants").alias("was"))
-    merged = e.join(old, ["request_id", "serial"], "left").select(
+    old = before.select("request_id", "serial", "question", F.struct("key", "kind", "variants").alias("was"))
+    alike = old.groupBy("request_id", "question").agg(F.min_by("was", "serial").alias("alike"))
+    known = e.join(old.drop("question"), ["request_id", "serial"], "left").join(alike, ["request_id", "question"], "left").withColumn("was", F.coalesce("was", "alike"))
+    merged = known.select(
         "request_id", "serial", "question",
-        F.coalesce("was.key", question_slug("question")).alias("key"),
+        F.coalesce("was.key", question_slug("question")).alias("key"), F.coalesce("was.kind", question_reading("question")["kind"]).alias("kind"),
         F.array_union(F.coalesce("was.variants", F.array().cast("array<string>")), F.array("question")).alias("variants"),
         "direction", "threshold", "unit", "requirement", "weight",
     )
-    turn = F.row_number().over(Window.partitionBy("request_id", "key").orderBy("serial"))
+    turn = F.row_number().over(Window.partitionBy("request_id", "key").orderBy("serial", "question"))
     return merged.withColumn("key", F.when(turn == 1, F.col("key")).otherwise(F.concat_ws("_", "key", turn.cast("string"))))
 
 
@@ -254,6 +265,18 @@ def merge_attachment_edits(before: DataFrame, edited: DataFrame) -> DataFrame:
     return before.join(notes, ["request_id", "name"]).withColumn("note", F.coalesce("new_note", "note")).drop("new_note")
 
 
+def changed_requests(before: DataFrame, after: DataFrame, order: str, columns: tuple[str, ...] | list[str]) -> DataFrame:
+    """(request_id, changed) for every request of either side: whether its rows, in order, differ in any of the columns.
+
+    Rows are tied by their place and not by their keys, so a row that only moved counts too.
+    What is compared is the request and not the table it was edited in: an edit that
+    normalises to what was there changes nothing.
+    """
+    place = F.row_number().over(Window.partitionBy("request_id").orderBy(order))
+    sides = [df.select("request_id", place.alias("place"), F.struct(*columns).alias(name)) for df, name in ((before, "was"), (after, "now"))]
+    return sides[0].join(sides[1], ["request_id", "place"], "full_outer").groupBy("request_id").agg(F.bool_or(~F.col("was").eqNullSafe(F.col("now"))).alias("changed"))
+
+
 def accept_suggestions(lines: DataFrame) -> DataFrame:
     return lines.withColumn("origin", F.when(F.col("origin") == "suggested", F.lit("buyer")).otherwise(F.col("origin")))
 
@@ -268,7 +291,11 @@ def suggested_lines(lines: DataFrame) -> DataFrame:
 
 
 def add_document_lines(existing: DataFrame, extracted: DataFrame) -> DataFrame:
-    """Lines read from the buyer's own document, coded uniquely beside those already there."""
+    """Lines read from the buyer's own document, coded uniquely beside those already there.
+
+    A line without a code takes the first twelve characters of its description as one:
+    a short handle by rule, made unique like any code; the description stays whole.
+    """
     unit = request_unit(F.coalesce("unit", F.lit("unit")))
     fresh = extracted.where(blank_to_null("description").isNotNull()).withColumn("u", unit).select(
         "request_id", clean_code(F.coalesce(blank_to_null("sku"), F.substring(F.trim("description"), 1, 12))).alias("sku"),
@@ -279,6 +306,21 @@ def add_document_lines(existing: DataFrame, extracted: DataFrame) -> DataFrame:
     return unique_codes(existing.unionByName(fresh, allowMissingColumns=True), "sku", "line_no", "request_id")
 
 
+def header_from_document(header: DataFrame, read: DataFrame) -> DataFrame:
+    """A request's header after its document was read: the document's currency stands in for an inferred one, its title for a missing one.
+
+    `header` has request_id, title, currency and currency_inferred; `read` has request_id, title and currency.
+    A currency is its first three letters in upper case.
+    """
+    said = read.select("request_id", blank_to_null("title").alias("said_title"), F.substring(F.upper(F.trim(blank_to_null("currency"))), 1, 3).alias("said_currency"))
+    takes = F.col("said_currency").isNotNull() & F.col("currency_inferred")
+    own = [c for c in header.columns if c not in ("title", "currency", "currency_inferred")]
+    return header.join(said, "request_id", "left").select(
+        *own, F.coalesce(blank_to_null("title"), F.trim("said_title")).alias("title"),
+        F.when(takes, F.col("said_currency")).otherwise(F.col("currency")).alias("currency"), (F.col("currency_inferred") & ~takes).alias("currency_inferred"),
+    )
+
+
 def complete_header(header: DataFrame, template: DataFrame, fields: list[str]) -> DataFrame:
     """Keep what a request has; fill what it lacks from the buyer's standing template."""
     t = template.select("template_id", *[F.col(f).alias(f"t_{f}") for f in fields])
@@ -334,13 +376,11 @@ def draw_lines(catalogue: DataFrame, scope: str, seed: str, wanted: Column, sku:
     """A seeded random draw per scope, the rest of the row untouched.
 
     The lot of an item depends only on the seed and its code, so any cluster
-    draws the same list; the rank filter runs before the shuffle too.
+    draws the same list.
     """
     lot = F.md5(F.concat_ws("|", F.lit(seed), F.col(scope).cast("string"), F.col(sku)))
     place = F.row_number().over(Window.partitionBy(scope).orderBy("lot", sku))
-    return catalogue.withColumn("lot", lot).withColumn("wanted", wanted).withColumn("place", place).where(
-        F.col("place") <= V.FULL_REQUEST_RANGE[1]
-    ).where(F.col("place") <= F.col("wanted")).drop("lot", "wanted", "place")
+    return catalogue.withColumn("lot", lot).withColumn("wanted", wanted).withColumn("place", place).where(F.col("place") <= F.col("wanted")).drop("lot", "wanted", "place")
 
 
 def replenishment_draw(catalogue: DataFrame, scope: str, seed: str) -> DataFrame:

@@ -54,14 +54,23 @@ def what_to_ask(cells: DataFrame) -> DataFrame:
     return stuck.groupBy("vendor", ask.alias("ask")).agg(F.count("*").alias("lines"))
 
 
-def effect_of_quality(cells: DataFrame, items: DataFrame, vendors: DataFrame, min_quality: float) -> DataFrame:
-    """Spend and items awarded with the quality bar and without it."""
+def scenarios(cells: DataFrame, items: DataFrame, vendors: DataFrame, rules: list[tuple[str, float, bool]]) -> DataFrame:
+    """Spend and items awarded under several shortlists (name, quality bar, enforce must-haves), from one pass over the cells.
 
-    def outcome(name: str, bar: float, enforce: bool) -> DataFrame:
-        eligible = award.shortlist(vendors, bar, enforce).where("eligible")
-        lines = award.allocate(grid.offers(cells, eligible), items)
-        return lines.agg(
-            F.count_if(F.col("winner").isNotNull()).alias("awarded_lines"), money_sum(F.col("extended"), 2).alias("total_extended")
-        ).select(F.lit(name).alias("scenario"), "awarded_lines", "total_extended")
+    A vendor carries the names of the shortlists it is on, its offers are expanded by
+    them, and each is awarded within its name. A shortlist that awards nothing has a row too.
+    """
+    passes = [F.when(award.shortlisted(bar, enforce), F.lit(name)) for name, bar, enforce in rules]
+    listed = vendors.select("vendor", F.array_compact(F.array(*passes)).alias("on"))
+    offered = grid.offers(cells).join(listed, "vendor").select("rfx_sku", "vendor", "price", F.explode("on").alias("scenario"))
+    amounts = items.select(F.col("sku").alias("rfx_sku"), F.when(F.col("quantity") != 0, F.col("quantity")).alias("quantity"))
+    won = grid.two_best(offered, "scenario").join(amounts, "rfx_sku").groupBy("scenario").agg(
+        F.count("*").alias("awarded_lines"), money_sum(round_half_up(F.col("price") * F.col("quantity"), 2), 2).alias("total_extended")
+    )
+    named = vendors.sparkSession.createDataFrame([(name,) for name, _, _ in rules], "scenario string")
+    return named.join(won, "scenario", "left").withColumn("awarded_lines", F.coalesce("awarded_lines", F.lit(0).cast("bigint")))
 
-    return outcome("with quality bar", min_quality, True).unionByName(outcome("ignoring quality", 0.0, False))
+
+def effect_of_quality(cells: DataFrame, items: DataFrame, vendors: DataFrame, min_quality: float) -> DataFrame:
+    """Spend and items awarded with the quality bar and without it."""
+    return scenarios(cells, items, vendors, [("with quality bar", min_quality, True), ("ignoring quality", 0.0, False)])

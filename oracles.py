@@ -475,6 +475,34 @@ def statements() -> dict[str, str]:
         "effect_of_quality": f"{cleared}, o AS (SELECT c.rfx_sku, c.vendor, c.canonical_value AS p, meets_requirements AND quality_score >= 0.6 AS ok FROM cell c JOIN cards USING (vendor) WHERE comparable = 1), w AS (SELECT 'with quality bar' AS scenario, rfx_sku, min(p) AS p FROM o WHERE ok GROUP BY 2 UNION ALL SELECT 'ignoring quality', rfx_sku, min(p) FROM o GROUP BY 2) SELECT scenario, count(*) AS awarded_lines, CAST(sum(CAST({R2.format('p * nullif(quantity, 0)')} AS DECIMAL(28,2))) AS DOUBLE) AS total_extended FROM w JOIN items ON sku = rfx_sku GROUP BY 1",
         "guarded_sql": f"{h} SELECT vendor, canonical_unit, count(*) AS n, min(canonical_value) AS lowest FROM cell WHERE comparable = 1 AND canonical_value > 1 GROUP BY 1, 2",
     }
+    ask = "concat('Is part ', CAST(item % 50 AS VARCHAR), ' in stock?')"
+    level, weight = "CASE WHEN item % 3 = 0 THEN 'Must have' ELSE 'Scored' END", "CASE WHEN item % 4 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE"
+    place = "row_number() OVER (PARTITION BY request_id ORDER BY serial) AS place"
+    made["merged_questions"] = f"""WITH b AS ({snap[0]}), a AS ({snap[1]}),
+        old AS (SELECT request_id, line_no AS serial, {ask} AS question, concat('part_', CAST(item % 50 AS VARCHAR)) AS key, CAST(quantity AS DOUBLE) AS threshold, {level} AS requirement, {weight} AS weight FROM b),
+        q AS (SELECT request_id, line_no AS serial, CASE WHEN item % 5 = 0 THEN concat('Corrected: ', {ask}) ELSE {ask} END AS question, CAST(quantity AS DOUBLE) AS threshold, {level} AS requirement, {weight} AS weight, item FROM a),
+        alike AS (SELECT request_id, question, arg_min(key, serial) AS key FROM old GROUP BY 1, 2),
+        m0 AS (SELECT q.*, COALESCE(o.key, l.key, concat(CASE WHEN item % 5 = 0 THEN 'corrected_' ELSE '' END, 'part_', CAST(item % 50 AS VARCHAR), '_stock')) AS key0,
+            CASE WHEN o.question <> q.question THEN concat(o.question, '|', q.question) ELSE q.question END AS variants
+            FROM q LEFT JOIN old o ON o.request_id = q.request_id AND o.serial = q.serial LEFT JOIN alike l ON l.request_id = q.request_id AND l.question = q.question),
+        m1 AS (SELECT *, row_number() OVER (PARTITION BY request_id, key0 ORDER BY serial, question) AS turn FROM m0),
+        m AS (SELECT *, CASE WHEN turn = 1 THEN key0 ELSE concat(key0, '_', CAST(turn AS VARCHAR)) END AS key FROM m1),
+        qc AS (SELECT COALESCE(o.request_id, n.request_id) AS request_id, bool_or((o.key, o.question, o.threshold, o.requirement, o.weight) IS DISTINCT FROM (n.key, n.question, n.threshold, n.requirement, n.weight)) AS changed
+            FROM (SELECT *, {place} FROM old) o FULL JOIN (SELECT *, {place} FROM m) n ON o.request_id = n.request_id AND o.place = n.place GROUP BY 1),
+        was AS (SELECT request_id, line_no AS serial, concat('file-', CAST(line_no AS VARCHAR)) AS name, CAST(quantity % 2 AS VARCHAR) AS note FROM b),
+        now AS (SELECT was.request_id, was.serial, name, CAST(a.quantity % 2 AS VARCHAR) AS note FROM was JOIN a ON a.request_id = was.request_id AND a.line_no = was.serial),
+        fc AS (SELECT COALESCE(o.request_id, n.request_id) AS request_id, bool_or((o.name, o.note) IS DISTINCT FROM (n.name, n.note)) AS changed
+            FROM (SELECT *, {place} FROM was) o FULL JOIN (SELECT *, {place} FROM now) n ON o.request_id = n.request_id AND o.place = n.place GROUP BY 1)
+        SELECT request_id, 'question' AS part, serial, key, question AS text, variants, requirement, weight, changed FROM m JOIN qc USING (request_id)
+        UNION ALL SELECT request_id, 'file', serial, name, note, NULL, NULL, NULL, changed FROM now JOIN fc USING (request_id)"""
+    made["document_lines"] = f"""WITH b AS ({snap[0]}), a AS ({snap[1]}),
+        ex AS (SELECT request_id, line_no, concat('P-', CAST(item % 4 AS VARCHAR)) AS c, quantity, row_number() OVER (PARTITION BY request_id, item % 4 ORDER BY line_no) AS turn FROM b),
+        nw AS (SELECT request_id, line_no, concat('Widget no ', CAST(item AS VARCHAR), ' large') AS description, nullif(quantity % 7, 0) AS quantity, CASE WHEN item % 3 <> 0 THEN concat('P-', CAST(item % 4 AS VARCHAR))
+            ELSE upper(replace(trim(substring(concat('Widget no ', CAST(item AS VARCHAR), ' large'), 1, 12)), ' ', '-')) END AS c FROM a WHERE item % 11 <> 0),
+        k AS (SELECT request_id, c, count(*) AS m FROM ex GROUP BY 1, 2),
+        n AS (SELECT nw.*, COALESCE(m, 0) AS m, row_number() OVER (PARTITION BY nw.request_id, nw.c ORDER BY line_no) + CASE WHEN m > 0 THEN 1 ELSE 0 END AS turn FROM nw LEFT JOIN k ON k.request_id = nw.request_id AND k.c = nw.c)
+        SELECT request_id, line_no, CASE WHEN turn = 1 THEN c ELSE concat(c, '-', CAST(turn AS VARCHAR)) END AS sku, 'kept' AS description, quantity, 'buyer' AS origin FROM ex
+        UNION ALL SELECT request_id, line_no + 1099511627776, CASE WHEN turn = 1 THEN c ELSE concat(c, '-', CAST(turn + greatest(m - 1, 0) AS VARCHAR)) END, description, quantity, 'document' FROM n"""
     part = lambda source, label, low, of: f"SELECT '{source}' AS source, {label} AS label, count(*) AS n, {low} AS low FROM ({of}) GROUP BY 2"
     made["stored_comparison"] = " UNION ALL ".join([
         part("rfx_lines", "canonical_unit", "CAST(min(quantity) AS DOUBLE)", f"WITH {ITEMS} SELECT * FROM items"),
