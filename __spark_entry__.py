@@ -38,6 +38,12 @@ def _comparison(spark: SparkSession, d: str, level: str, scored: bool = False) -
     )
 
 
+def _laddered(spark: SparkSession, d: str) -> comparison.Comparison:
+    """Codes and wording mixed, all rungs of the ladder."""
+    rates = normalise.fx_rates(spark, RATES_AS_OF)
+    return comparison.build(inputs.mixed_lines(spark, d), inputs.request_lines(spark, d), inputs.responses(spark, d), rates, mode="portable")
+
+
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     return quality.read_answers(inputs.answers(spark, d))
 
@@ -151,10 +157,23 @@ def description_match_exact(spark, d):
 
 
 def match_ladder(spark, d):
-    lines = inputs.uncoded_lines(spark, d).withColumn("line_id", F.concat_ws("/", "vendor", "line_ord", "true_sku"))
-    placed = matching.match_lines(lines, inputs.request_lines(spark, d))
-    right = F.count_if(F.col("rfx_sku") == F.col("true_sku"))
-    return placed.groupBy("match_basis").agg(F.count("*").alias("lines"), right.alias("right_item"))
+    matched = _laddered(spark, d).matched
+    return matched.select("line_id", "rfx_sku", "match_basis", "match_confidence")
+
+
+def ladder_cells(spark, d):
+    cells = _laddered(spark, d).cells
+    return _joined(cells.select("rfx_sku", "vendor", "original_value", "canonical_value", "rules", "status", "flags", "comparable", "match_basis", "match_confidence"))
+
+
+def ladder_unplaced(spark, d):
+    return _laddered(spark, d).unplaced
+
+
+def ladder_award(spark, d):
+    c = _laddered(spark, d)
+    lines = award.allocate(grid.offers(c.cells), c.items)
+    return lines.select("rfx_sku", "winner", "price", "extended", "runner_up", "runner_up_price", "contenders", "status")
 
 
 def duplicate_quotes(spark, d):
@@ -296,20 +315,11 @@ def award_headline(spark, d):
 
 
 def consolidated_award(spark, d):
-    """Consolidation over the items every house priced, where nothing can be stranded."""
-    c = _comparison(spark, d, "house")
-    vendors = _listed(c.vendors)
-    shared = award.common_basket(grid.offers(c.cells), vendors)
-    cells = c.cells.join(shared, "rfx_sku", "left_semi")
-    items = c.items.join(shared, c.items.sku == shared.rfx_sku, "left_semi")
-    plan = award.recommend(cells, items, vendors, min_lines=_WORTH_AWARDING)
+    """The award of the whole comparison after consolidation at the higher of the ordinary bars."""
+    plan, _ = _plan(spark, d, min_lines=ORDINARY_BARS[1])
     return plan.lines.select("rfx_sku", "winner", "price", "contenders", "status", "reassigned_from")
 
 
-# Above what any house wins on the shared items, so houses drop one by one.
-_WORTH_AWARDING = 1 << 40
-
-
 def consolidated_plan(spark, d):
     """Consolidation over the whole comparison at ordinary bars: what each drops, where it stops and what it costs."""
     def at(min_lines):
@@ -769,7 +779,7 @@ def sql_shown(spark, d):
 
 _QUERIES = (
     award_lines, normalized_quotes, refusals, status_counts, fx_restamp, unit_parse, condition_flags, confidence_scores,
-    sku_match, marker_vocabulary, dimension_signatures, dimension_match, description_match, description_match_exact, match_ladder, duplicate_quotes, unplaced_lines,
+    sku_match, marker_vocabulary, dimension_signatures, dimension_match, description_match, description_match_exact, match_ladder, ladder_cells, ladder_unplaced, ladder_award, duplicate_quotes, unplaced_lines,
     coverage_gaps, full_grid, vendor_summary, comparison_view, cheapest_by_line, cheapest_hiding_vendors, win_counts, winner_margin,
     price_matrix, status_grid, label_grid, headline_stats, exceptions, exception_counts, review_legend, evidence, original_quotes, audit_export,
     award_by_vendor, award_table, award_gaps, common_basket, split_vs_single, plan_summary, award_stats, award_headline,

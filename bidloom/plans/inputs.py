@@ -57,6 +57,9 @@ SUPPLIER_WORDING = {
     2: f"concat(p_brand, ' ', p_name, ' ', p_type, ' ', {SIZE_TEXT})",
 }
 
+SUPPLIER_SAYS = "case l_suppkey % 3 when 0 then {0} when 1 then {1} else {2} end".format(*SUPPLIER_WORDING.values())
+MIXED_DESCRIPTION = f"case when l_linenumber % 4 = 0 then {SUPPLIER_SAYS} end"
+
 SUPPLIER_COLUMNS = {
     "vendor": "s_name",
     "vendor_ord": "cast(s_suppkey as bigint)",
@@ -170,12 +173,21 @@ def quote_lines(spark: SparkSession, sf_dir: str, level: str = "supplier") -> Da
     )
 
 
+def mixed_lines(spark: SparkSession, sf_dir: str, level: str = "supplier") -> DataFrame:
+    """Every quoted line; each fourth line of an order names its item in the supplier's words and not by a code."""
+    lines = spread(read(spark, sf_dir, "lineitem"))
+    vendors = broadcast_if_small(_vendor_keys(spark, sf_dir, level), read(spark, sf_dir, "supplier"))
+    part = broadcast_if_small(read(spark, sf_dir, "part"), read(spark, sf_dir, "part"))
+    joined = lines.join(vendors, lines.l_suppkey == vendors.s_suppkey).join(part, lines.l_partkey == part.p_partkey)
+    flat = _project(joined, LINE_COLUMNS | {"description": MIXED_DESCRIPTION}, "vendor", "vendor_ord", "source_file", "document_currency", "freight_included")
+    return flat.withColumn("conditions", F.array_compact(F.array("condition_1", "condition_2", "condition_3"))).drop("condition_1", "condition_2", "condition_3")
+
+
 def uncoded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same lines quoted by description alone, each supplier in its own wording."""
     lines = spread(read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber"))
     part = broadcast_if_small(read(spark, sf_dir, "part"), read(spark, sf_dir, "part"))
     supplier = broadcast_if_small(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), read(spark, sf_dir, "supplier"))
-    wording = "case l_suppkey % 3 when 0 then {0} when 1 then {1} else {2} end".format(*SUPPLIER_WORDING.values())
     return (
         lines.join(part, lines.l_partkey == part.p_partkey)
         .join(supplier, lines.l_suppkey == supplier.s_suppkey)
@@ -183,7 +195,7 @@ def uncoded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("s_name").alias("vendor"),
             F.expr("l_orderkey * 10 + l_linenumber").alias("line_ord"),
             F.lit(None).cast("string").alias("vendor_sku"),
-            F.expr(wording).alias("description"),
+            F.expr(SUPPLIER_SAYS).alias("description"),
             F.expr(sku("l_partkey")).alias("true_sku"),
         )
     )

@@ -272,18 +272,6 @@ TERMROWS = """tr AS (SELECT request_id, 1::BIGINT AS position, 'payment' AS kind
 LINES_OF = "string_split_regex(regexp_replace({0}, '(\\r\\n|\\n|\\r)$', ''), '\\r\\n|\\n|\\r')"
 
 
-def consolidated(rounds: int) -> str:
-    """The drop-the-smallest loop written out, one set of tables per round."""
-    parts = [BASKET.strip().split(",\nqty")[0], "o AS (SELECT offers.* FROM offers JOIN basket USING (rfx_sku))", "a0 AS (SELECT * FROM o)"]
-    win = "SELECT rfx_sku, arg_min(vendor, (price, vendor)) AS winner, arg_min(price, (price, vendor)) AS price, count(*) AS k FROM {0} GROUP BY 1"
-    for r in range(rounds):
-        parts.append(f"w{r} AS ({win.format(f'a{r}')})")
-        parts.append(f"d{r} AS (SELECT winner AS vendor FROM w{r} JOIN resp ON resp.vendor = winner GROUP BY winner, vendor_ord ORDER BY count(*), vendor_ord LIMIT 1)")
-        parts.append(f"a{r + 1} AS (SELECT * FROM a{r} WHERE vendor NOT IN (SELECT vendor FROM d{r}))")
-    parts.append(f"wz AS ({win.format(f'a{rounds}')})")
-    return ", ".join(parts)
-
-
 def consolidated_at(bar: int, rounds: int = 4) -> str:
     """The whole loop at a bar, one set of tables per round: the smallest below the bar goes, unless an item would be left without an offer."""
     win = "SELECT rfx_sku, arg_min(vendor, (price, vendor)) AS winner, arg_min(price, (price, vendor)) AS price, count(*) AS k FROM {0} GROUP BY 1"
@@ -396,7 +384,7 @@ def statements() -> dict[str, str]:
         "split_analysis": f"{h}, {AWARD}, {BASKET.strip()}, {PLAN.strip()} SELECT total_extended, common_basket, split_on_common, best_single_vendor, best_single_total, saving_vs_single, saving_share FROM plan",
         "award_stats": f"{h}, {AWARD}, {BASKET.strip()}, {PLAN.strip()} SELECT supplier_count AS suppliers_recommended, concat(CAST(awarded_lines AS VARCHAR), '/', CAST(items AS VARCHAR)) AS items_recommended, {amount('total_extended')} AS estimated_spend, concat('₹', format('{{:,.0f}}', saving_vs_single), ' · ', printf('%.1f', saving_share * 100), '%') AS saving, concat('less than ', split_part(best_single_vendor, ' ', 1), ' alone, on the ', CAST(common_basket AS VARCHAR), ' items all of them priced') AS saving_caption FROM plan",
         "award_headline": f"{h}, {AWARD} SELECT winner AS vendor, count(*) AS line_count, concat('**', winner, '** for ', CAST(count(*) AS VARCHAR), CASE WHEN count(*) = 1 THEN ' item' ELSE ' items' END) AS part FROM award WHERE winner IS NOT NULL GROUP BY 1",
-        "consolidated_award": f"{h}, {OFFERS}, {consolidated(4)} SELECT wz.rfx_sku, wz.winner, wz.price, wz.k AS contenders, CASE WHEN wz.k = 1 THEN 'single_source' ELSE 'awarded' END AS status, CASE WHEN w0.winner <> wz.winner THEN w0.winner END AS reassigned_from FROM wz JOIN w0 USING (rfx_sku)",
+        "consolidated_award": f"{h}, {OFFERS}, {consolidated_at(300)} SELECT rfx_sku, winner, price, contenders, status, reassigned_from FROM p300",
         "consolidated_plan": f"{h}, {OFFERS}, {consolidated_at(3)}, {consolidated_at(300)} SELECT * FROM p3 UNION ALL SELECT * FROM p300",
         "award_caveats": f"{h}, {AWARD}, k AS (SELECT 2 AS position, 'uncontested' AS kind, count(*) FILTER (status = 'single_source') AS n FROM award UNION ALL SELECT 3, 'unawardable', count(*) FILTER (status = 'no_comparable') FROM award UNION ALL SELECT 5, 'freight_mixed', count(DISTINCT freight_included) + max(CASE WHEN freight_included IS NULL THEN 1 ELSE 0 END) FROM resp UNION ALL SELECT 7, 'quantities_missing', CASE WHEN count(extended) < count(winner) THEN count(winner) ELSE 0 END FROM award) SELECT position, kind, CAST(n AS BIGINT) AS n FROM k WHERE n > 0",
         "shortlist_by_quality": f"{scard()} SELECT vendor, quality_score, meets_requirements, meets_requirements AND quality_score >= 0.6 AS eligible FROM cards",
@@ -513,5 +501,27 @@ def statements() -> dict[str, str]:
         part("award", "status", "min(price)", made["award_lines"]),
         part("comparison", "status", "min(extended_value)", made["comparison_view"]),
     ])
+    # The rungs below the codes, over the distinct wordings no code placed.
+    worded = f"""mixed AS (SELECT {cols({k: I.SUPPLIER_COLUMNS[k] for k in HEADER})}, {cols(I.LINE_COLUMNS | {'description': I.MIXED_DESCRIPTION})} FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)"""
+    read_codes = MATCHED.strip().split(",\nmatched AS")[0].replace("FROM lines)", "FROM mixed)")
+    rungs = f"""texts AS (SELECT DISTINCT description AS text FROM coded WHERE description IS NOT NULL AND (code IS NULL OR code NOT IN (SELECT sku FROM items))), {VOCAB},
+        hits AS (SELECT size, CAST(sum(copies) AS BIGINT) AS n FROM cat WHERE len(size) = 2 GROUP BY 1),
+        sized AS (SELECT t.text, c.sku AS found, 0.88::DOUBLE AS conf FROM txt t JOIN hits h ON h.size = t.size AND h.n = 1 JOIN cat c ON c.size = t.size WHERE {OK_PAIR}
+            UNION ALL SELECT t.text, min(c.sku), 0.85::DOUBLE FROM txt t JOIN hits h ON h.size = t.size AND h.n > 1 JOIN cat c ON c.size = t.size WHERE len(list_intersect(t.marks, c.marks)) > 0 GROUP BY 1 HAVING sum(c.copies) = 1),
+        pairs AS (SELECT t.text, c.sku, c.copies, c.description, {pair_score} AS score FROM (SELECT * FROM txt WHERE text NOT IN (SELECT text FROM sized)) t JOIN cat c ON {OK_PAIR}),
+        top AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, description) AS rn, lead(score) OVER (PARTITION BY text ORDER BY score DESC, description) AS nxt FROM pairs),
+        lead AS (SELECT text, sku, score, CASE WHEN copies > 1 THEN score ELSE nxt END AS nxt FROM top WHERE rn = 1),
+        said AS (SELECT text, found, 'dimensions' AS basis, conf FROM sized UNION ALL SELECT text, sku, 'description', score FROM lead
+            WHERE CASE WHEN nxt IS NULL THEN score >= 0.58 ELSE (score >= 0.58 AND score - nxt >= 0.06) OR (score >= 0.52 AND score - nxt >= 0.25) END),
+        matched AS (SELECT c.*, COALESCE(b.sku, w.sku) AS rfx_sku, COALESCE(b.canonical_unit, w.canonical_unit) AS canonical_unit, COALESCE(b.unit_family, w.unit_family) AS unit_family, COALESCE(b.line_no, w.line_no) AS line_no,
+            CASE WHEN b.sku IS NOT NULL THEN CASE WHEN upper(trim(vendor_sku)) = code THEN 'exact_sku' ELSE 'normalized_sku' END ELSE COALESCE(basis, 'unmatched') END AS match_basis,
+            CASE WHEN b.sku IS NOT NULL THEN CASE WHEN upper(trim(vendor_sku)) = code THEN 1.0 ELSE 0.97 END ELSE COALESCE(conf, 0.0) END::DOUBLE AS match_confidence
+            FROM coded c LEFT JOIN items b ON c.code = b.sku LEFT JOIN said t ON b.sku IS NULL AND t.text = c.description LEFT JOIN items w ON w.sku = t.found),
+        placed AS (SELECT * FROM matched WHERE rfx_sku IS NOT NULL QUALIFY row_number() OVER (PARTITION BY vendor, rfx_sku ORDER BY match_confidence DESC, line_ord, line_id) = 1)"""
+    ladder = f"WITH {ITEMS}, {vendors('supplier')}, {worded}, {read_codes}, {rungs}"
+    made["match_ladder"] = f"{ladder} SELECT line_id, rfx_sku, match_basis, match_confidence FROM matched"
+    made["ladder_cells"] = f"{ladder}, {cells().strip()} SELECT rfx_sku, vendor, original_value, canonical_value, rules, status, flags, comparable, match_basis, match_confidence FROM cell"
+    made["ladder_unplaced"] = f"{ladder}, {UNPLACED} SELECT * FROM unplaced"
+    made["ladder_award"] = f"{ladder}, {cells().strip()}, {AWARD} SELECT rfx_sku, winner, price, extended, runner_up, runner_up_price, contenders, status FROM award"
     made["sql_shown"] = f"SELECT rfx_sku, winner, price, true AS truncated FROM ({made['award_lines']}) WHERE winner IS NOT NULL ORDER BY price DESC, rfx_sku LIMIT 200"
     return made
