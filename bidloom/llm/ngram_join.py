@@ -11,14 +11,16 @@ elsewhere (empty ones counted) has no partner at all and is discarded before any
 pair is formed. Sets that share a passage or a few frequent shingles agree in a
 block or two and go here.
 
-Near copies come in groups of thousands. The least set of a block group is its
-leader; every member is multiplied with the leader only, and where all of them are
-linked with it the group is done. In other groups of three or more, the members
-are cut into blocks of rows of bounded size, and every two blocks of a group are
-multiplied in one task: overlap counts are accumulated over blocks of the columns
-that recur, pairs below their bound are dropped there, and what leaves the task is
-a spanning set of the links. So a pair of a group never is a row of a table, no
-task holds more than two blocks, and no link between components is lost.
+Near copies come in groups of thousands. The set of a block group that recurs most
+is its leader (of a base and its variants that is the base); every member is
+multiplied with the leader only, and a member that is connected with it, through
+any group, is done. Those that are not are cut into blocks of bounded size, as are
+all members of the group, and every block of the former meets every block of the
+latter in one task: overlap counts are accumulated over blocks of the columns that
+recur, pairs below their bound are dropped there, and what leaves the task is a
+spanning set of the links. So a pair of a group never is a row of a table, no task
+holds more than two blocks, and no link between components is lost: a pair of
+which both are connected with the leader needs no test.
 
 Defined results: null or blank texts, and texts without words, have no shingles
 and are linked with nothing; a text of fewer words than a shingle is one shingle;
@@ -95,28 +97,50 @@ def set_ids(shingles: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return mix(range_sums(mix(shingles + U64(1)), marks) + np.diff(marks).astype(U64)).view(np.int64)
 
 
-def _sets(size: int, percent: int):
+#: Low bits of a key that hold its size class, and sets a task remembers to send their keys once.
+CLASS_BITS = 7
+REMEMBERED = 200_000
+
+
+def _sets(size: int):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, data, bounds in slices(batch.column("text")):
+                s, marks = distinct_runs(*shingle_hashes(data, bounds, size))
+                n = np.diff(marks)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, len(n)), pa.array(n, pa.int64()), pa.array(set_ids(s, marks), mask=n == 0)], ["id", "n", "set_id"])
+
+    return read
+
+
+def _keys(size: int, percent: int):
     low, blocks, slack = size_classes(percent)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
             for start, data, bounds in slices(batch.column("text")):
                 s, marks = distinct_runs(*shingle_hashes(data, bounds, size))
                 n = np.diff(marks)
-                kind = np.searchsorted(low, n, "right") - 1
+                identity = set_ids(s, marks)
+                # Copies of a set would send the same keys; most are told apart here.
+                fresh = np.zeros(len(n), bool)
+                for i, x in enumerate(identity.tolist()):
+                    if n[i] and x not in sent:
+                        fresh[i] = True
+                        sent.add(x)
+                if len(sent) > REMEMBERED:
+                    sent.clear()
+                kind = np.where(fresh, np.searchsorted(low, n, "right") - 1, -2)
                 # A set close below the next class may link into it.
                 nxt = np.minimum(kind + 1, len(low) - 1)
-                upper = np.where((kind >= 0) & (100 * n >= percent * low[nxt]) & (nxt > kind), nxt, -1)
-                first = np.where((kind < 0) & (100 * n >= percent * low[0]), 0, -1)
-                columns = []
-                for c in (kind, np.maximum(upper, first)):
+                upper = np.where((kind >= -1) & (100 * n >= percent * low[np.maximum(nxt, 0)]) & (nxt > kind), nxt, -1)
+                for c in (np.maximum(kind, -1), upper):
                     keys, ends, need = block_keys(s, marks, c, blocks, slack)
-                    columns += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.view(np.int64))), pa.array(need, pa.int64())]
-                identity = set_ids(s, marks)
-                ids = batch.column("id").slice(start, len(n))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(n, pa.int64()), pa.array(identity, mask=n == 0), *columns], ["id", "n", "set_id", "keys", "need", "upper_keys", "upper_need"]
-                )
+                    owner = np.repeat(np.arange(len(n)), np.diff(ends))
+                    if len(owner):
+                        tagged = (keys.view(np.int64) >> CLASS_BITS << CLASS_BITS) | c[owner]
+                        yield pa.RecordBatch.from_arrays([pa.array(tagged), pa.array(identity[owner]), pa.array(need[owner].astype(np.int32))], ["key", "set_id", "need"])
 
     return read
 
@@ -133,17 +157,6 @@ def _incidence(size: int):
     return read
 
 
-def differences(left: list[bytes], right: list[bytes]) -> list[np.ndarray]:
-    """Of every pair of incidence rows, the columns that only one of them has."""
-    out = []
-    for a, b in zip(left, right):
-        x = np.sort(np.frombuffer(a + b, U64))
-        same = np.zeros(len(x) + 1, bool)
-        same[1:-1] = x[1:] == x[:-1]
-        out.append(x[~(same[1:] | same[:-1])].view(np.int64))
-    return out
-
-
 def _with_leader(percent: int):
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,12 +212,10 @@ def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
 
 def _of_two_blocks(percent: int):
     def multiply(table_: pa.Table) -> pa.Table:
-        node = table_.column("node").to_pylist()
-        rows = [np.frombuffer(r, U64) for r in table_.column("row").to_pylist()]
-        edges = []
-        if any(table_.column("far").to_pylist()):
-            n = np.array([len(r) for r in rows])
-            edges = spanning(product(rows) * (100 + percent) >= percent * (n[:, None] + n[None, :]))
+        found = dict(zip(table_.column("node").to_pylist(), table_.column("row").to_pylist()))
+        node, rows = list(found), [np.frombuffer(r, U64) for r in found.values()]
+        n = np.array([len(r) for r in rows])
+        edges = spanning(product(rows) * (100 + percent) >= percent * (n[:, None] + n[None, :])) if len(rows) > 1 else []
         return pa.table({"a": pa.array([node[i] for i, _ in edges], pa.int64()), "b": pa.array([node[j] for _, j in edges], pa.int64())})
 
     return multiply
@@ -215,22 +226,32 @@ def _links(members: DataFrame, rows: DataFrame, percent: int, scratch: Scratch)
 
     `members(key, set_id)`: the block groups with more than one set; `rows(set_id, row)`: their incidence rows.
     """
-    heads = members.groupBy("key").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("last")).where("leader <> last").drop("last")
-    stars = members.join(scratch.save(heads, "heads"), "key").select("leader", F.col("set_id").alias("node")).where("leader <> node").distinct()
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    recurs = members.join(sizes, "key").groupBy("set_id").agg(F.sum("size").alias("recurs"))
+    heads = members.join(recurs, "set_id").groupBy("key").agg(F.max_by("set_id", F.struct("recurs", "set_id")).alias("leader"), F.count("*").alias("size")).where("size > 1")
+    stars = members.join(scratch.save(heads.drop("size"), "heads"), "key").select("leader", F.col("set_id").alias("node")).where("leader <> node").distinct()
     led = scratch.save(stars, "stars").join(rows.select(F.col("set_id").alias("leader"), F.col("row").alias("leader_row")), "leader")
     led = led.join(rows.withColumnRenamed("set_id", "node"), "node").mapInArrow(_with_leader(percent), "leader bigint, node bigint, near boolean")
     led = scratch.save(led, "led")
     plain = led.where("near").select(F.col("leader").alias("a"), F.col("node").alias("b"))
 
-    # A group of two has no other pair; one whose members all link with the leader is connected.
-    undone = led.groupBy("leader").agg(F.count("*").alias("others"), F.count_if(~F.col("near")).alias("far")).where("others > 1 AND far > 0")
-    undone = scratch.save(undone.select("leader", F.ceil((F.col("others") + 1) / BLOCK_ROWS).cast("int").alias("blocks")), "undone")
-    left = led.join(undone, "leader").select("leader", "node", "blocks", (~F.col("near")).alias("far"))
-    left = left.unionAll(undone.select("leader", F.col("leader").alias("node"), "blocks", F.lit(False)))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    left = left.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = scratch.save(left.select("leader", "node", "far", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")), "blocks")
-    more = left.join(rows.withColumnRenamed("set_id", "node"), "node").groupBy("leader", "x", "y").applyInArrow(_of_two_blocks(percent), "a bigint, b bigint")
+    labels = components(plain, scratch)
+    of = lambda c, name: labels.select(F.col("node").alias(c), F.col("root").alias(name))
+    apart = led.join(of("node", "r"), "node", "left").join(of("leader", "l"), "leader", "left").select(
+        "leader", "node", (F.coalesce("r", "node") != F.coalesce("l", "leader")).alias("far")
+    )
+    apart = scratch.save(apart, "apart")
+    blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    # A group of two has no other pair.
+    undone = apart.groupBy("leader").agg(F.count("*").alias("others"), F.count_if("far").alias("apart")).where("others > 1 AND apart > 0")
+    undone = scratch.save(undone.select("leader", blocks(F.col("apart")).alias("x_blocks"), blocks(F.col("others")).alias("y_blocks")), "undone")
+    left = apart.join(undone, "leader")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    far = left.where("far").select("leader", "node", place("x_blocks").alias("x"), every("y_blocks").alias("y"))
+    all_ = left.select("leader", "node", every("x_blocks").alias("x"), place("y_blocks").alias("y"))
+    dealt = scratch.save(far.unionAll(all_), "blocks")
+    more = dealt.join(rows.withColumnRenamed("set_id", "node"), "node").groupBy("leader", "x", "y").applyInArrow(_of_two_blocks(percent), "a bigint, b bigint")
     return scratch.save(plain.unionAll(more), "links")
 
 
@@ -239,14 +260,15 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     scratch = Scratch(docs.sparkSession, "ngram-join")
     docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     kind = docs.schema["id"].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("set_id", T.LongType()), *[T.StructField(p + c, k) for p in ("", "upper_") for c, k in (("keys", T.ArrayType(T.LongType())), ("need", T.LongType()))]])
-    sets = scratch.save(docs.mapInArrow(_sets(size, percent), schema), "sets")
-
-    own, upper = (sets.select("set_id", F.lit(p).alias("side"), F.col(f"{p}need").alias("need"), F.explode(f"{p}keys").alias("key")) for p in ("", "upper_"))
-    keys = own.unionAll(upper)
-    shared = keys.groupBy("key").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x <> y").select("key")
-    met = keys.join(scratch.save(shared, "shared"), "key").distinct()
-    enough = F.count("*").over(Window.partitionBy("set_id", "side")) >= F.col("need")
+    schema = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("set_id", T.LongType())])
+    sets = scratch.save(docs.mapInArrow(_sets(size), schema), "sets")
+
+    # One shuffle of the keys: those that two sets have are found and picked where they lie.
+    keyed = docs.select("text").mapInArrow(_keys(size, percent), "key bigint, set_id bigint, need int")
+    of_key = Window.partitionBy("key")
+    several = keyed.withColumns({"low": F.min("set_id").over(of_key), "high": F.max("set_id").over(of_key)}).where("low <> high")
+    met = scratch.save(several.select("key", "set_id", "need"), "met").distinct()
+    enough = F.count("*").over(Window.partitionBy("set_id", F.col("key").bitwiseAND(F.lit((1 << CLASS_BITS) - 1)))) >= F.col("need")
     members = scratch.save(met.withColumn("enough", enough).where("enough").select("key", "set_id"), "members")
 
     nodes = members.select("set_id").distinct()
@@ -264,13 +286,6 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     return rooted.join(least, "root", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
 
 
-def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows whose id names its component: one of each group of near copies. A row without id stays."""
-    found = jaccard_components(docs, id, text, **options)
-    kept = Scratch(docs.sparkSession, "ngram-kept").save(found.where("id <> component").select("id").distinct(), "dropped")
-    return docs.join(kept, docs[id] == kept["id"], "left_anti")
-
-
 def keep_one_row(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Exactly one row of each group of near copies, and every row whose text has no words.
 

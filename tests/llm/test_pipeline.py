@@ -15,7 +15,7 @@ DATA = "/root/testdata/sf0.001"
 def test_run_is_its_stages(spark):
     docs = table(spark, DATA, "documents")
     kept = quality_rules.filter_documents(docs)
-    single = ngram_join.keep_one(kept)
+    single = ngram_join.keep_one_row(kept)
     assert single.columns == docs.columns and 0 < single.count() < kept.count() < docs.count()
     cut = suffix_dedup.remove_repeats(single, length="n_chars")
     assert cut.count() == single.count() and cut.where("n_chars <> length(text)").count() == 0
