@@ -36,8 +36,10 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -175,9 +177,24 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     wrappers: list[Wrapper] = []
     stack: list[tuple[str, bool, bool, int]] = []  # open block or hidden elements: name, outside, inside an article, innermost wrapper
+    standing: Counter[str] = Counter()  # names of the open elements, so a stray end tag is known without a search
     text: list[str] = []
     linked, links, breaks, section, at, hidden = 0, 0, 0, 0, 0, 0
 
+    def push(name: str, *place) -> None:
+        nonlocal hidden
+        stack.append((name, *place))
+        standing[name] += 1
+        hidden += name in HIDDEN
+
+    def cut(k: int) -> None:
+        """Close all open elements from the k-th on."""
+        nonlocal hidden
+        for name, *_ in stack[k:]:
+            standing[name] -= 1
+            hidden -= name in HIDDEN
+        del stack[k:]
+
     def end() -> None:
         nonlocal linked
         joined = " ".join("".join(text).split())
@@ -214,11 +231,8 @@ def blocks(page: str) -> list[Block]:
             elif name in BLOCKS or name in HIDDEN:
                 if name in BLOCKS:
                     end()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        hidden = sum(s[0] in HIDDEN for s in stack)
-                        break
+                if standing[name]:
+                    cut(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
                 links, section = (0, section + 1) if name in BLOCKS and name not in LEAVES else (links, section)
             continue
         if name == "br":
@@ -235,18 +249,16 @@ def blocks(page: str) -> list[Block]:
         if name == "a":
             links += 1
         elif name in HIDDEN and not attributes.endswith("/"):
-            stack.append((name, *(stack[-1][1:] if stack else (False, False, -1))))
-            hidden += 1
+            push(name, *(stack[-1][1:] if stack else (False, False, -1)))
         elif name in BLOCKS:
             end()
             if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # these end the one before them
                 if stack and stack[-1][0] == name:
-                    stack.pop()
+                    cut(len(stack) - 1)
             elif stack and stack[-1][0] == "p":
-                stack.pop()
+                cut(len(stack) - 1)
             if name == "body":  # ends an unclosed head
-                stack.clear()
-                hidden = 0
+                cut(0)
             if name != "hr":
                 outside, inside, wrapper = stack[-1][1:] if stack else (False, False, -1)
                 if name == "main" and wrapper >= 0 and not outside and not hidden and not inside:
@@ -256,7 +268,7 @@ def blocks(page: str) -> list[Block]:
                 if mark in (WRAP, WRAP_OTHERS):
                     wrappers.append(Wrapper(wrapper, mark == WRAP_OTHERS))
                     wrapper = len(wrappers) - 1
-                stack.append((name, outside or mark == CLOSED, inside, wrapper))
+                push(name, outside or mark == CLOSED, inside, wrapper)
             if name not in LEAVES:
                 section += 1
     say(page[at:])
@@ -266,19 +278,18 @@ def blocks(page: str) -> list[Block]:
 
 
 def first_pass(found: list[Block]) -> None:
-    dense_links = [b.link_dense for b in found]
+    # For every block of links, how many stand in a row around it.
+    run: list[int] = []
+    for dense, some in groupby(found, key=lambda b: b.link_dense):
+        n = sum(1 for _ in some)
+        run += [n if dense else 0] * n
     unmarked: list[tuple[Block, float]] = []
-    for k, b in enumerate(found):
+    for b, in_a_row in zip(found, run):
         if b.outside:
             b.label = OUT
             continue
-        if dense_links[k]:
-            a = z = k
-            while a > 0 and dense_links[a - 1]:
-                a -= 1
-            while z + 1 < len(found) and dense_links[z + 1]:
-                z += 1
-            b.label = OUT if not b.inside or z - a + 1 >= LINK_RUN else UNSURE
+        if in_a_row:
+            b.label = OUT if not b.inside or in_a_row >= LINK_RUN else UNSURE
             continue
         density, long = b.density, b.length >= LONG
         if long and density >= DENSE or b.inside and b.length >= SHORT and density >= SPARSE:

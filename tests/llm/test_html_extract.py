@@ -66,3 +66,16 @@ def test_languages_without_stop_words():
     assert H.SPARSE <= H.Block(middling, 0, False, False, 0).density < H.DENSE
     assert H.main_text(f"<p>{middling}</p><p>{middling}</p>") == f"{middling}\n\n{middling}"
     assert H.main_text(f"<p>{LONG}</p><p>{LONG}</p><p>{terse}</p>") == f"{LONG}\n\n{LONG}"
+
+
+def test_long_link_lists_and_deep_pages_take_linear_time():
+    import time
+
+    started = time.time()
+    article = "<article><p>" + "The words of the text are what it is that people read and then think about for a while. " * 4 + "</p></article>"
+    links = "<ul>" + "".join(f"<li><a href=x>link number {i}</a></li>" for i in range(100_000)) + "</ul>"
+    text = H.main_text(links + article)
+    assert text.startswith("The words") and "link number" not in text
+    depth = 50_000
+    assert "people read" in H.main_text("<div>" * depth + "</section>" * depth + article + "</div>" * depth)
+    assert time.time() - started < 60
