@@ -8,6 +8,8 @@ ladder are tested against brute force in `tests/` instead.
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +19,10 @@ from bidloom.operators import attribution, award, derive, grid, matching, normal
 from bidloom.operators import criteria as quality
 from bidloom.plans import analyses, comparison, inputs, sqlview
 from bidloom.session import Scratch
-from bidloom.sources import documents, replies, sinks
+from bidloom.sources import catalogues, documents, replies, sinks
 
-try:
-    from bidloom.llm import registry as llm
-except ImportError:  # the subpackage is optional
-    llm = None
+# The subpackage is optional: without its folder there are fewer queries. One that is there but broken is an error.
+llm = import_module("bidloom.llm.registry") if find_spec("bidloom.llm") and find_spec("bidloom.llm.registry") else None
 
 RATES_AS_OF = "2026-01-01"
 TODAY = "2026-03-01"
@@ -451,6 +451,36 @@ def placeholder_codes(spark, d):
 
 # --- documents ------------------------------------------------------------------
 
+def folder_lines(spark, d):
+    """Documents written out as text files by language, and the folder read back file by file."""
+    path = Scratch(spark, "folder-lines").path("texts")
+    inputs.read(spark, d, "documents").select("lang", "text").where("text IS NOT NULL").write.partitionBy("lang").text(path)
+    lines = documents.intake(spark, path, whole_bytes=1 << 17).lines.where(F.col("file").endswith(".txt") & (F.trim("line") != ""))
+    lang = F.regexp_extract("file", "lang=([^/]*)/", 1)
+    return lines.groupBy(lang.alias("lang")).agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
+
+
+def request_catalogue(spark, d):
+    """Orders as request files of drifting shape, read back: lines as plain text, figures as text, files that are no JSON."""
+    was, _ = inputs.snapshots(spark, d)
+    item = F.expr("""case when item % 5 = 0 then concat('"plain ', item, '"')
+        when item % 7 = 0 then concat('{"sku": "P-', item, '", "description": "part ', item, '", "quantity": "1,', lpad(item % 1000, 3, '0'), ' pcs"}')
+        else concat('{"sku": "P-', item, '", "description": " part ', item, ' ", "quantity": ', quantity, ', "unit": "box"}') end""")
+    files = was.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("line_no", item.alias("said")))).alias("l"))
+    value = F.expr("""case when request_id % 97 = 0 then 'not json' else concat('{"title": "Order ', request_id, '", "window_days": "', request_id % 30, ' days", "lines": [', array_join(l.said, ', '), '], "basis": ', request_id % 3, '}') end""")
+    read = catalogues.parse_requests(files.select(F.col("request_id").cast("string").alias("request_id"), value.alias("value")))
+    head = read.header.select("request_id", "title", "window_days", F.element_at("rescued", F.lit("basis")).alias("basis"))
+    return head.join(read.lines.select("request_id", "line_no", "sku", "description", "quantity", "canonical_unit"), "request_id", "left")
+
+
+def vendor_directory(spark, d):
+    """Customers as directory files, some scores written as text, read back."""
+    value = F.expr("""concat('{"categories": [{"key": "', c_mktsegment, '", "vendors": [{"name": " ', c_name, '", "incumbent": ', case when c_custkey % 10 = 0 then '"TRUE"' when c_custkey % 10 = 1 then 'true' else '0' end,
+        ', "scores": {"quality": ', 5 + c_custkey % 6, ', "delivery": ', case when c_custkey % 7 = 0 then '"unknown"' else concat('"', 4 + c_custkey % 5, '.5"') end, '}, "rank": ', c_nationkey, '}, {"name": ""}]}]}')""")
+    read = catalogues.parse_directory(inputs.read(spark, d, "customer").select(value.alias("value")))
+    return read.select("category_key", "vendor", "incumbent", F.col("scores.quality").alias("quality"), F.col("scores.delivery").alias("delivery"), F.element_at("rescued", F.lit("rank")).alias("rank"))
+
+
 def located_lines(spark, d):
     return documents.located_lines(inputs.read(spark, d, "documents"), "doc_id", "text").select("doc_id", "line_no", "located")
 
@@ -786,7 +816,7 @@ _QUERIES = (
     consolidated_award, consolidated_plan, consolidated_suppliers, award_caveats, shortlist_by_quality,
     question_parse, question_clusters, derived_criteria, scored_answers, scorecards, rescored, scorecard_report, questionnaire,
     unit_vote, quantity_vote, description_vote, currency_vote, basket_monthly, derived_items, placeholder_codes,
-    located_lines, located_rows, html_text, text_triage, document_limits, decoded_text, file_formats, file_outcomes,
+    folder_lines, request_catalogue, vendor_directory, located_lines, located_rows, html_text, text_triage, document_limits, decoded_text, file_formats, file_outcomes,
     blanket_conditions, demoted_conditions, responses_flat,
     invite_tokens, reply_attribution, credited_replies, invitation_status, request_validation, quoting_windows, rate_staleness,
     vendor_shortlist, vendor_ratings, replenishment_draw, annual_list, edit_log_fold, sendable_lines, table_diff, merged_edits,

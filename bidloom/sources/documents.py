@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bidloom import vocabulary as V
@@ -16,12 +19,61 @@ _CP1252_FROM = "".join(chr(c) for c in range(0x80, 0xA0) if c not in (0x81, 0x8D
 _CP1252_TO = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of files with their extension, the reader that applies and decoded text where that is text."""
+#: Files up to this size are read in one piece; of a longer one, byte ranges are read apart.
+WHOLE_BYTES = 16 << 20
+
+
+@dataclass
+class Intake:
+    """Lines (file, line_no, line) of what could be read, and one outcome per file."""
+
+    lines: DataFrame
+    outcomes: DataFrame
+
+
+def intake(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES) -> Intake:
+    """A folder of mixed files: every text's lines, and what became of each file.
+
+    `outcomes` has file (its path below the folder), extension, reader, length, ok, lines_found and
+    error. Unreadable files are set apart there and never stop the others: unsupported types,
+    files without content, and texts that hold zero bytes. A long text is read by byte ranges,
+    and its lines are numbered by adding up the lines of the ranges before.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    named = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length"), "content")
-    routed = route(named)
-    return routed.withColumn("text", F.when(F.col("reader").isin("text", "email"), decode_text(F.col("content"))))
+    below = F.regexp_replace(F.regexp_replace(F.url_decode("path"), "^file:/+", "/"), "^" + re.escape(re.sub("^file:/+", "/", path).rstrip("/")) + "/", "")
+    listed = route(files.select(below.alias("file"), "length"))
+    texts = F.col("reader").isin("text", "email")
+
+    small = route(files.where(F.col("length") <= whole_bytes).select(below.alias("file"), "length", "content")).where(texts)
+    broken = F.locate("00", F.regexp_replace(F.hex("content"), "(..)", "$1 ")) > 0
+    small = small.select("file", broken.alias("broken"), decode_text(F.col("content")).alias("text"))
+    parts = _by_ranges(spark, path, whole_bytes, below)
+    lines = located_lines(small.where(~F.col("broken")), "file", "text").select("file", "line_no", "line").unionByName(parts)
+
+    counted = lines.groupBy("file").agg(F.count_if(F.trim("line") != "").alias("lines_found"))
+    read = listed.join(small.select("file", "broken"), "file", "left").join(counted, "file", "left")
+    found = F.coalesce("lines_found", F.lit(0).cast("bigint"))
+    error = (
+        F.when(F.col("warning").isNotNull(), F.col("warning"))
+        .when(~texts, F.concat(F.lit("The "), F.col("reader"), F.lit(" reader is not part of this library.")))
+        .when(F.col("broken"), F.lit("This file holds zero bytes and is no text."))
+        .when(found == 0, F.lit("No readable content could be extracted from this file."))
+    )
+    outcomes = read.select("file", "extension", "reader", "length", error.isNull().alias("ok"), found.alias("lines_found"), F.coalesce(error, F.lit("")).alias("error"))
+    return Intake(lines, outcomes)
+
+
+def _by_ranges(spark: SparkSession, path: str, whole_bytes: int, below: Column) -> DataFrame:
+    """(file, line_no, line) of the texts longer than `whole_bytes`, each range of bytes by a task of its own."""
+    raw = spark.read.option("recursiveFileLookup", True).text(path).where(F.col("_metadata.file_size") > whole_bytes)
+    raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("turn"), F.col("value").cast("binary").alias("value"))
+    named = route(raw.select(below.alias("file"), "block", "turn", "value")).where(F.col("reader").isin("text", "email")).select("file", "block", "turn", "value")
+    sizes = named.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("file", "block", before.alias("before"))
+    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("turn"))
+    numbered = named.withColumn("place", place).join(starts, ["file", "block"])
+    return numbered.select("file", (F.col("before") + F.col("place")).cast("bigint").alias("line_no"), decode_text(F.col("value")).alias("line"))
 
 
 def route(files: DataFrame, file: str = "file") -> DataFrame:

@@ -491,6 +491,12 @@ def statements() -> dict[str, str]:
         n AS (SELECT nw.*, COALESCE(m, 0) AS m, row_number() OVER (PARTITION BY nw.request_id, nw.c ORDER BY line_no) + CASE WHEN m > 0 THEN 1 ELSE 0 END AS turn FROM nw LEFT JOIN k ON k.request_id = nw.request_id AND k.c = nw.c)
         SELECT request_id, line_no, CASE WHEN turn = 1 THEN c ELSE concat(c, '-', CAST(turn AS VARCHAR)) END AS sku, 'kept' AS description, quantity, 'buyer' AS origin FROM ex
         UNION ALL SELECT request_id, line_no + 1099511627776, CASE WHEN turn = 1 THEN c ELSE concat(c, '-', CAST(turn + greatest(m - 1, 0) AS VARCHAR)) END, description, quantity, 'document' FROM n"""
+    made["folder_lines"] = f"WITH l AS (SELECT lang, unnest({LINES_OF.format('text')}) AS line FROM documents WHERE text IS NOT NULL) SELECT lang, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM l WHERE trim(line) <> '' GROUP BY 1"
+    made["request_catalogue"] = f"""WITH b AS ({snap[0]}), p AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY line_no) AS n FROM b WHERE request_id % 97 <> 0)
+        SELECT CAST(request_id AS VARCHAR) AS request_id, concat('Order ', request_id) AS title, request_id % 30 AS window_days, CAST(request_id % 3 AS VARCHAR) AS basis, n AS line_no, CASE WHEN item % 5 <> 0 THEN concat('P-', item) END AS sku,
+        concat(CASE WHEN item % 5 = 0 THEN 'plain ' ELSE 'part ' END, item) AS description, CASE WHEN item % 5 = 0 THEN NULL WHEN item % 7 = 0 THEN 1000 + item % 1000 ELSE quantity END AS quantity, CASE WHEN item % 5 <> 0 AND item % 7 <> 0 THEN 'per box' ELSE 'per unit' END AS canonical_unit FROM p
+        UNION ALL SELECT DISTINCT CAST(request_id AS VARCHAR), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM b WHERE request_id % 97 = 0"""
+    made["vendor_directory"] = "SELECT c_mktsegment AS category_key, c_name AS vendor, c_custkey % 10 IN (0, 1) AS incumbent, CAST(5 + c_custkey % 6 AS DOUBLE) AS quality, CASE WHEN c_custkey % 7 <> 0 THEN 4 + c_custkey % 5 + 0.5 END::DOUBLE AS delivery, CAST(c_nationkey AS VARCHAR) AS rank FROM customer"
     part = lambda source, label, low, of: f"SELECT '{source}' AS source, {label} AS label, count(*) AS n, {low} AS low FROM ({of}) GROUP BY 2"
     made["stored_comparison"] = " UNION ALL ".join([
         part("rfx_lines", "canonical_unit", "CAST(min(quantity) AS DOUBLE)", f"WITH {ITEMS} SELECT * FROM items"),

@@ -1,8 +1,11 @@
 """Reading codes, units, currencies, questions, answers and references."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from bidloom.sources import catalogues, documents
 from bidloom.functions import dates, labels, questions, references, text, units
 
 
@@ -79,3 +82,55 @@ def test_windows_and_ratings(spark):
     scores = F.create_map(F.lit("quality"), F.lit(9.0), F.lit("delivery"), F.lit(8.5), F.lit("commercial"), F.lit(7.0))
     assert values(spark, [""], labels.rating(scores)) == [8.2]
     assert values(spark, [""], labels.rating_reason(scores, F.lit(True), F.lit(""))) == ["Incumbent. strongest on quality (9), weakest on commercial (7)."]
+
+
+def test_requests_of_any_shape_are_read_and_nothing_is_lost(spark, tmp_path):
+    good = {"title": " Annual list ", "window_days": "21 days", "terms": {"payment": "30 days", "tax": None}, "notes": "Delivered rates only", "currency": "INR", "basis": {"year": 2026},
+            "questions": [{"question": "MOQ?", "threshold": "500 units", "weight": 2}, "Test lab on site?", {"question": " "}, 7],
+            "lines": [{"sku": "BX-1", "description": "Box", "quantity": "1,200", "unit": "box", "moq": 500}, "Loose tape", {"description": "", "quantity": 3}, {"description": "Roll", "quantity": -1}],
+            "optional_lines": {"description": "One alone", "quantity": True}}
+    for name, body in {"a.json": json.dumps(good), "b.json": "[1, 2]", "c.json": "not json", "d.json": "{}", "e.json": ""}.items():
+        (tmp_path / name).write_text(body)
+    read = catalogues.read_requests(spark, str(tmp_path))
+    heads = {r.request_id: r for r in read.header.collect()}
+    assert set(heads) == set("abcde") and (heads["a"].title, heads["a"].window_days, heads["a"].rescued) == ("Annual list", 21, {"basis": '{"year":2026}'})
+    assert all(heads[k].title is None and not heads[k].rescued for k in "bcde")
+    lines = sorted((r.optional, r.line_no, r.sku, r.description, r.quantity, r.canonical_unit, r.note) for r in read.lines.collect())
+    assert [x[:5] for x in lines] == [(False, 1, "BX-1", "Box", 1200), (False, 2, None, "Loose tape", None), (False, 4, None, "Roll", None), (True, 1, None, "One alone", None)]
+    assert lines[0][5:] == ("per box", "Minimum order quantity 500.")
+    assert [(r.question, r.threshold, r.weight) for r in read.questions.orderBy("question_ord").collect()] == [("MOQ?", 500.0, 2.0), ("Test lab on site?", None, None)]
+    assert {(r.kind, r.text) for r in read.terms.collect()} == {("payment", "30 days"), ("charges", "Delivered rates only")}
+
+
+def test_directories_of_any_shape(spark):
+    doc = {"functional_area": "Packaging", "score_names": {"quality": "How good"}, "categories": [
+        {"key": "box", "name": "Boxes", "vendors": [{"name": "Acme", "incumbent": "True", "scores": {"quality": 8, "delivery": "7.5", "odd": "n/a"}, "fax": 1}, {"name": " "}, "text"]}, {"key": "tape", "vendors": {"name": "Solo", "incumbent": 1}}, 5]}
+    raw = spark.createDataFrame([(json.dumps(doc),), ("[]",), ("broken",), (None,)], "value string")
+    got = {r.vendor: r for r in catalogues.parse_directory(raw).collect()}
+    assert set(got) == {"Acme", "Solo"} and got["Acme"].scores == {"quality": 8.0, "delivery": 7.5} and got["Acme"].incumbent and got["Acme"].rescued == {"fax": "1"}
+    assert (got["Solo"].category_key, got["Solo"].incumbent, got["Solo"].scores) == ("tape", False, {})
+    assert catalogues.find_category(catalogues.parse_directory(raw), " BOXES ").count() == 1
+    assert [tuple(r) for r in catalogues.score_names(raw).collect()] == [("quality", "How good")]
+
+
+def test_a_mixed_folder_is_taken_in_file_by_file(spark, tmp_path):
+    long = "".join(f"line {i} £\n" for i in range(1, 5001))
+    bodies = {"a.txt": "£4.20 – ok\r\nnext".encode("cp1252"), "b b.csv": "\ufeffé₹\n\nlast\n".encode(), "empty.txt": b"", "blank.eml": b" \n \n", "broken.txt": b"x\x00y", "odd.xyz": b"1", "scan.pdf": b"%PDF",
+              "sub/long.txt": long.encode(), "sub/old.txt": long.encode("cp1252")}
+    for name, body in bodies.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        taken = documents.intake(spark, str(tmp_path), whole_bytes=20_000)
+        got = {(r.file, r.line_no): r.line for r in taken.lines.collect()}
+        outcomes = {r.file: r for r in taken.outcomes.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    wanted = {("a.txt", 1): "£4.20 – ok", ("a.txt", 2): "next", ("b b.csv", 1): "é₹", ("b b.csv", 2): "", ("b b.csv", 3): "last", ("blank.eml", 1): " ", ("blank.eml", 2): " "}
+    wanted |= {(f, i): f"line {i} £" for f in ("sub/long.txt", "sub/old.txt") for i in range(1, 5001)}
+    assert got == wanted
+    assert {f: (r.ok, r.lines_found) for f, r in outcomes.items()} == {
+        "a.txt": (True, 2), "b b.csv": (True, 2), "empty.txt": (False, 0), "blank.eml": (False, 0), "broken.txt": (False, 0), "odd.xyz": (False, 0), "scan.pdf": (False, 0),
+        "sub/long.txt": (True, 5000), "sub/old.txt": (True, 5000)}
+    assert all(bool(r.error) != r.ok for r in outcomes.values()) and "zero bytes" in outcomes["broken.txt"].error and "xyz" in outcomes["odd.xyz"].error

@@ -11,7 +11,9 @@ from compare import TABLES, compare
 DATA = Path("/root/testdata/sf0.001")
 CHECKED = [
     "award_lines", "normalized_quotes", "coverage_gaps", "scorecards", "dimension_match", "reply_attribution", "edit_log_fold", "consolidated_award", "invite_tokens",
-    "unique_item_codes", "document_limits", "guarded_sql", "price_matrix",
+    "unique_item_codes", "document_limits", "guarded_sql", "price_matrix", "question_log_fold", "merged_questions", "document_lines", "placeholder_codes",
+    "credited_replies", "stored_comparison", "sql_shown", "ladder_cells", "consolidated_suppliers", "effect_of_quality", "derived_criteria", "folder_lines",
+    "request_catalogue", "vendor_directory",
 ]
 
 
