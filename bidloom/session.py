@@ -89,6 +89,17 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def empty_files(spark: SparkSession, folder: str) -> list[str]:
+    """Files without a single byte below a folder: Spark's readers leave them out."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    walk, found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True), []
+    while walk.hasNext():
+        status = walk.next()
+        if status.getLen() == 0 and not status.getPath().getName().startswith(("_", ".")):
+            found.append(status.getPath().toString())
+    return found
+
+
 def planned_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate for a plan, without running it."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

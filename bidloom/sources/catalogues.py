@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from bidloom.functions.common import blank_to_null, finite
 from bidloom.functions.text import tolerant_number
 from bidloom.functions.units import request_unit
+from bidloom.sources.documents import decode_text
 
 HEADER = ("title", "reference", "scope", "currency", "delivery_location", "vendor_category", "issuer_notes")
 SECTIONS = ("window_days", "terms", "notes", "questions", "lines", "optional_lines")
@@ -31,8 +32,8 @@ class RequestCatalogue:
 
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.format("text").option("wholetext", True).load(path)
-    return raw.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.json)?$", 1).alias("file"), "value")
+    raw = spark.read.format("binaryFile").load(path)
+    return raw.select(F.regexp_extract("path", r"([^/]+?)(?:\.json)?$", 1).alias("file"), decode_text(F.col("content")).alias("value"))
 
 
 def _kind(x: Column) -> Column:
@@ -78,7 +79,7 @@ def _rescued(doc: Column, known: tuple[str, ...]) -> Column:
 
 
 def read_requests(spark: SparkSession, path: str) -> RequestCatalogue:
-    """Request files -> header, item lines (standing and optional), questions and terms."""
+    """Request files -> header, item lines (standing and optional), questions and terms. A file without a byte is no document."""
     return parse_requests(_documents(spark, path).withColumnRenamed("file", "request_id"))
 
 

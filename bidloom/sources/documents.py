@@ -12,6 +12,7 @@ from bidloom import vocabulary as V
 from bidloom.functions.common import as_col, lookup
 from bidloom.functions.labels import format_name
 from bidloom.functions.text import file_extension
+from bidloom.session import empty_files
 
 LINE_BREAK = "\r\n|\n|\r"
 # The printable half of the Windows code page that Latin-1 leaves as controls.
@@ -41,7 +42,8 @@ def intake(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES) -> In
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     below = F.regexp_replace(F.regexp_replace(F.url_decode("path"), "^file:/+", "/"), "^" + re.escape(re.sub("^file:/+", "/", path).rstrip("/")) + "/", "")
-    listed = route(files.select(below.alias("file"), "length"))
+    bare = spark.createDataFrame([(f, 0) for f in empty_files(spark, path)], "path string, length bigint")
+    listed = route(files.select("path", "length").unionAll(bare).select(below.alias("file"), "length"))
     texts = F.col("reader").isin("text", "email")
 
     small = route(files.where(F.col("length") <= whole_bytes).select(below.alias("file"), "length", "content")).where(texts)

@@ -89,7 +89,7 @@ def test_requests_of_any_shape_are_read_and_nothing_is_lost(spark, tmp_path):
             "questions": [{"question": "MOQ?", "threshold": "500 units", "weight": 2}, "Test lab on site?", {"question": " "}, 7],
             "lines": [{"sku": "BX-1", "description": "Box", "quantity": "1,200", "unit": "box", "moq": 500}, "Loose tape", {"description": "", "quantity": 3}, {"description": "Roll", "quantity": -1}],
             "optional_lines": {"description": "One alone", "quantity": True}}
-    for name, body in {"a.json": json.dumps(good), "b.json": "[1, 2]", "c.json": "not json", "d.json": "{}", "e.json": ""}.items():
+    for name, body in {"a.json": json.dumps(good), "b.json": "[1, 2]", "c.json": "not json", "d.json": "{}", "e.json": " "}.items():
         (tmp_path / name).write_text(body)
     read = catalogues.read_requests(spark, str(tmp_path))
     heads = {r.request_id: r for r in read.header.collect()}
