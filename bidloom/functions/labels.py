@@ -27,7 +27,7 @@ def review_flag(flags: Column) -> Column:
 
 
 def review_tag(flags: Column, missing_datum: Column, reason: Column) -> Column:
-    """The short why, for a cell that needs a human."""
+    """The short why, for a cell that needs a human. By rule a reason is shown by its first 34 characters; it stays whole in its own column."""
     first_sentence = F.lower(F.trim(F.substring_index(F.coalesce(reason, F.lit("")), ".", 1)))
     return F.coalesce(
         lookup(review_flag(flags), V.REVIEW_TAGS),

@@ -13,6 +13,7 @@ TOKEN_PATTERN = r"(?i)\bRFX-[A-Z0-9]{2,10}-[A-Z0-9]{2,8}-[0-9a-f]{4,16}\b"
 
 
 def reference_slug(text: Column, length: int) -> Column:
+    """The legible part of a token, short by rule; the checksum, over the whole name, tells equal ones apart."""
     cleaned = F.substring(F.regexp_replace(F.upper(F.coalesce(text, F.lit(""))), "[^A-Za-z0-9]+", ""), 1, length)
     return F.when(cleaned != "", cleaned).otherwise(F.lit("X"))
 

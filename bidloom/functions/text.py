@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from bidloom import vocabulary as V
 from bidloom.functions.common import as_col, finite, let
 
+# What a cell that is an item code looks like, what one inside a sentence does, and what a size does.
+WHOLE_CODE = r"^([A-Z]{2,5})[\s_-]{0,2}(\d{1,6})$"
+CODE_INSIDE = r"\b([A-Z]{2,5})[_-](\d{1,6})\b"
+SIZE = r"(?i)(\d{2,5})\s*[x×*]\s*(\d{2,5})(?:\s*[x×*]\s*(\d{2,5}))?"
+
 
 def _code(prefix: Column, digits: Column) -> Column:
     number = digits.cast("int")
@@ -20,25 +25,22 @@ def item_code(raw: Column | str) -> Column:
     A whole cell may be a code; inside a sentence only a hyphen or underscore form counts.
     """
     text = F.upper(F.trim(as_col(raw)))
-    whole = r"^([A-Z]{2,5})[\s_-]{0,2}(\d{1,6})$"
-    whole_prefix = F.regexp_extract(text, whole, 1)
-    is_whole = text.rlike(whole) & ~whole_prefix.isin(*V.CODE_STOP_PREFIXES)
+    whole_prefix = F.regexp_extract(text, WHOLE_CODE, 1)
+    is_whole = text.rlike(WHOLE_CODE) & ~whole_prefix.isin(*V.CODE_STOP_PREFIXES)
 
-    inside = r"\b([A-Z]{2,5})[_-](\d{1,6})\b"
-    found = F.regexp_extract_all(text, F.lit(inside), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(CODE_INSIDE), F.lit(0))
     usable = F.filter(found, lambda c: ~F.regexp_extract(c, "^[A-Z]+", 0).isin(*V.CODE_STOP_PREFIXES))
     embedded = let(
         F.get(usable, F.lit(0)), lambda c: _code(F.regexp_extract(c, "^[A-Z]+", 0), F.regexp_extract(c, "[0-9]+$", 0))
     )
-    return F.when(is_whole, _code(whole_prefix, F.regexp_extract(text, whole, 2))).otherwise(embedded)
+    return F.when(is_whole, _code(whole_prefix, F.regexp_extract(text, WHOLE_CODE, 2))).otherwise(embedded)
 
 
 def dimension_signature(raw: Column | str) -> Column:
     """Two or three figures joined by x, × or *, largest first; NULL when there are none."""
     text = as_col(raw)
-    pattern = r"(?i)(\d{2,5})\s*[x×*]\s*(\d{2,5})(?:\s*[x×*]\s*(\d{2,5}))?"
-    figures = F.array(*[F.regexp_extract(text, pattern, g).try_cast("int") for g in (1, 2, 3)])
-    return F.when(text.rlike(pattern), F.reverse(F.array_sort(F.array_compact(figures))))
+    figures = F.array(*[F.regexp_extract(text, SIZE, g).try_cast("int") for g in (1, 2, 3)])
+    return F.when(text.rlike(SIZE), F.reverse(F.array_sort(F.array_compact(figures))))
 
 
 def _is_digits(token: Column) -> Column:

@@ -13,6 +13,7 @@ from bidloom.operators.grid import offers, two_best
 from bidloom.operators.ordering import numbered
 from bidloom.session import checkpoint
 
+# The sentences are compared output.
 NO_OFFER = "No shortlisted supplier gave a price we can safely compare, so we cannot suggest anyone for this item."
 ONE_OFFER = "Only one shortlisted supplier priced this line comparably, so there is nothing to compare it with."
 

@@ -155,7 +155,10 @@ def normalise_quotes(
 
 
 def _reasons(base_currency: str) -> dict[str, Column]:
-    """The sentence behind each status, and the one datum that would resolve it."""
+    """The sentence behind each status, and the one datum that would resolve it.
+
+    Fixed values: the sentences are compared output.
+    """
     said = blank_to_null(F.array_join("conditions", "; "))
     raw = F.col("unit_raw")
     family = F.col("quoted_family")

@@ -53,13 +53,13 @@ def test_tolerant_numbers_and_names(spark):
 
 
 def test_questions(spark):
-    asked = ["Monthly production capacity above 50,000 units?", "Quality rejection rate below 1%?", "Able to commit to a 30-day delivery SLA?", "ISO 9001 certification held?"]
+    asked = ["Monthly bottling capacity above 40,000 units?", "Label misprint rate below 2%?", "Able to keep to a 45-day delivery promise?", "ISO 22000 certification held?"]
     got = [(r.kind, r.direction, r.threshold, r.unit) for r in values(spark, asked, questions.question_reading("x"))]
     assert got == [
-        ("threshold", "higher_better", 50000.0, " units/month"), ("threshold", "lower_better", 1.0, "%"),
-        ("threshold", "lower_better", 30.0, " days"), ("certification", "boolean", None, None)]
+        ("threshold", "higher_better", 40000.0, " units/month"), ("threshold", "lower_better", 2.0, "%"),
+        ("threshold", "lower_better", 45.0, " days"), ("certification", "boolean", None, None)]
     label = questions.criterion_label(F.lit(asked[0]), F.lit("higher_better"), F.lit(30000.0), F.lit("units/month"))
-    assert values(spark, [""], label) == ["Monthly production capacity greater than 30,000 units/month"]
+    assert values(spark, [""], label) == ["Monthly bottling capacity greater than 30,000 units/month"]
     assert values(spark, [204500 / 12.0, 10000.0], questions.suggested_threshold(F.lit(" units/month"), F.col("x")), "x double") == [25000.0, 15000.0]
 
 
