@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import broadcast
@@ -59,10 +60,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
 class Scratch:
     """Intermediate tables of one job, written to the shared folder and read back."""
 
+    #: Folders of all jobs of this process, in order, so that who runs several can clear those that are done.
+    roots: ClassVar[list[str]] = []
+
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/{job}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        self.roots.append(self.root)
 
     def path(self, name: str) -> str:
         self.count += 1

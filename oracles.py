@@ -529,5 +529,5 @@ def statements() -> dict[str, str]:
     made["ladder_cells"] = f"{ladder}, {cells().strip()} SELECT rfx_sku, vendor, original_value, canonical_value, rules, status, flags, comparable, match_basis, match_confidence FROM cell"
     made["ladder_unplaced"] = f"{ladder}, {UNPLACED} SELECT * FROM unplaced"
     made["ladder_award"] = f"{ladder}, {cells().strip()}, {AWARD} SELECT rfx_sku, winner, price, extended, runner_up, runner_up_price, contenders, status FROM award"
-    made["sql_shown"] = f"SELECT rfx_sku, winner, price, true AS truncated FROM ({made['award_lines']}) WHERE winner IS NOT NULL ORDER BY price DESC, rfx_sku LIMIT 200"
+    made["sql_shown"] = f"SELECT rfx_sku, winner, price, count(*) OVER () > 200 AS truncated FROM ({made['award_lines']}) WHERE winner IS NOT NULL ORDER BY price DESC, rfx_sku LIMIT 200"
     return made
