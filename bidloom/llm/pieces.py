@@ -27,7 +27,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -65,9 +65,27 @@ class Pieces:
     unknown: int
     splits: bool
 
+    @cached_property
+    def directory(self) -> np.ndarray:
+        """Where the sorted keys of each leading 16 bits begin."""
+        return np.searchsorted(self.keys, np.arange(1 << 16, dtype=U64) << U64(48)).astype(np.int32)
+
     def probe(self, keys: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.ids[at], NONE)
+        """The piece of every key: the sorted keys are entered at the key's leading bits and read on from there."""
+        shape, keys = keys.shape, keys.ravel()
+        found = np.full(len(keys), NONE, np.int64)
+        lead = (keys >> U64(48)).astype(np.int64)
+        at = self.directory[lead].astype(np.int64)
+        end = np.append(self.directory, len(self.keys))[lead + 1]
+        left = np.flatnonzero(at < end)
+        while len(left):
+            place = at[left]
+            hit = self.keys[place] == keys[left]
+            found[left[hit]] = self.ids[place[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return found.reshape(shape)
 
 
 def _points(texts: list[str]) -> np.ndarray:
@@ -156,29 +174,45 @@ def viterbi(pieces: Pieces, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def merges(pieces: Pieces, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte-pair segmentation of every word as marks between pieces and their number: best score first, leftmost on a tie."""
+    """Byte-pair segmentation of every word as marks between pieces and their number: best score first, leftmost on a tie.
+
+    A piece is known by its start. What joining it with the piece after it costs is kept by start,
+    and a round changes it only for the piece that grew and the one before.
+    """
     n, length, most = cells.shape
-    rank = np.where(cells == NONE, np.inf, -pieces.scores[cells])
-    alive = np.arange(n)
-    marks = np.tile(np.arange(length + 1), (n, 1))
-    count = np.full(n, length)
-    while len(alive):
-        m = marks[alive]
-        start, end = m[:, :-2], m[:, 2:]
+    every, ends = np.arange(n), np.tile(np.arange(1, length + 2), (n, 1))
+    before = np.tile(np.arange(-1, length), (n, 1))
+    live = np.ones((n, length), bool)
+    cost = np.full((n, length), np.inf)
+
+    def price(rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The cost of a piece from start to end; none where it would be too long or leave the word."""
         width = end - start
-        inside = (np.arange(start.shape[1]) < (count[alive] - 1)[:, None]) & (width <= most) & (width > 0)
-        cost = np.where(inside, rank[alive[:, None], np.minimum(start, length - 1), np.clip(width - 1, 0, most - 1)], np.inf)
-        if not cost.shape[1]:
-            break
-        at = cost.argmin(1)
-        go = np.isfinite(cost[np.arange(len(alive)), at])
+        piece = cells[rows, start, np.clip(width, 1, most) - 1]
+        return np.where((width <= most) & (end <= length) & (piece != NONE), -pieces.scores[piece], np.inf)
+
+    for k in range(length - 1):
+        cost[:, k] = price(every, np.full(n, k), np.full(n, k + 2))
+    alive = every
+    while len(alive):
+        now = cost[alive]
+        at = now.argmin(1)
+        go = np.isfinite(now[np.arange(len(alive)), at])
         alive, at = alive[go], at[go]
-        # The mark between the two joined pieces goes; what follows moves up.
-        keep = np.arange(length + 1)[None, :] != (at + 1)[:, None]
-        moved = marks[alive][keep].reshape(len(alive), length)
-        marks[alive, :length] = moved
-        marks[alive, length] = length
-        count[alive] -= 1
+        second = ends[alive, at]
+        stop = ends[alive, second]
+        ends[alive, at] = stop
+        live[alive, second], cost[alive, second] = False, np.inf
+        before[alive, stop] = at
+        # The last column of `ends` lies beyond the word, so a piece without a successor costs too much.
+        cost[alive, at] = price(alive, at, np.where(stop < length, ends[alive, np.minimum(stop, length)], length + 1))
+        left = before[alive, at]
+        some = left >= 0
+        cost[alive[some], left[some]] = price(alive[some], left[some], stop[some])
+    count = live.sum(1)
+    marks = np.full((n, length + 1), length)
+    row, start = np.nonzero(live)
+    marks[row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)] = start
     return marks, count
 
 
@@ -260,30 +294,66 @@ class Codec:
 
     def __init__(self, path: str = MODEL, pieces: Pieces | None = None):
         self.pieces = pieces or load(path)
+        #: Piece numbers of a segment, and the segments that they do not decode to.
         self.known: dict[str, list[int]] = {}
+        self.lost: set[str] = set()
         self.names: list[str | int] = []
         byte = {i: b for b, i in enumerate(self.pieces.bytes_.tolist()) if i != self.pieces.unknown}
         for i, name in enumerate(self.pieces.names):
             self.names.append(byte.get(i, name.replace(SPACE, " ")))
+        self.is_byte = np.array([isinstance(n, int) for n in self.names])
+        self.letters = np.array([1 if isinstance(n, int) else len(n) for n in self.names])
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def _segments(self, texts: list[str]) -> list[list[str]]:
+        """Segments of every text, each of them known afterwards."""
         spaced = [(SPACE + t.replace(" ", SPACE)) if t else "" for t in texts]
         cut = [_SEGMENT.findall(t) if self.pieces.splits else [t] * bool(t) for t in spaced]
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        new = [w for w in {w for c in cut for w in c} if w not in known]
-        known.update(zip(new, segment(self.pieces, new)))
-        return [list(chain.from_iterable(map(known.__getitem__, c))) for c in cut]
+            self.known, self.lost = {}, set()
+        new = [w for w in {w for c in cut for w in c} if w not in self.known]
+        ids = segment(self.pieces, new)
+        self.known.update(zip(new, ids))
+        self.lost.update(self._not_decoded(new, ids))
+        return cut
+
+    def _not_decoded(self, words: list[str], ids: list[list[int]]) -> list[str]:
+        """The words that their pieces do not decode to. Words of plain pieces are decoded in one go: all are right when each has its length and the whole is right."""
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum()))
+        owner = np.repeat(np.arange(len(ids)), size)
+        plain = np.bincount(owner, self.is_byte[flat], len(ids)) == 0
+        letters = np.bincount(owner, self.letters[flat], len(ids))
+        said = "".join(map(self.names.__getitem__, flat[plain[owner]].tolist()))
+        chosen = [w for w, p in zip(words, plain.tolist()) if p]
+        right = said == "".join(chosen).replace(SPACE, " ") and letters[plain].tolist() == list(map(len, chosen))
+        return [w for w, i, p in zip(words, ids, plain.tolist()) if not (p and right) and self._said(i) != w.replace(SPACE, " ")]
 
-    def decode(self, ids: list[int]) -> str:
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        cut = self._segments(texts)
+        return [list(chain.from_iterable(map(self.known.__getitem__, c))) for c in cut]
+
+    def encode_checked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+        """All piece numbers in a row, where each text's begin (n + 1 marks), and whether they decode to it.
+
+        A text decodes to what its segments decode to, one after the other: bytes of a
+        character never lie in two segments. So each distinct segment is decoded once.
+        """
+        cut = self._segments(texts)
+        found = list(map(self.known.__getitem__, chain.from_iterable(cut)))
+        size = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(size[-1]))
+        marks = size[np.concatenate([[0], np.cumsum([len(c) for c in cut], dtype=np.int64)])].astype(np.int32)
+        return flat, marks, [not self.lost or self.lost.isdisjoint(c) for c in cut]
+
+    def _said(self, ids: list[int]) -> str:
         parts = [self.names[i] for i in ids]
         if any(isinstance(p, int) for p in parts):
             raw = b"".join(bytes([p]) if isinstance(p, int) else p.encode() for p in parts)
-            text = raw.decode("utf-8", "replace")
-        else:
-            text = "".join(parts)
-        return text[1:] if text.startswith(" ") else text
+            return raw.decode("utf-8", "replace")
+        return "".join(parts)
+
+    def decode(self, ids: list[int]) -> str:
+        return self._said(ids).removeprefix(" ")
 
 
 def _encode(path: str):
@@ -292,10 +362,8 @@ def _encode(path: str):
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                ids = codec.encode(texts)
-                same = [codec.decode(i) == t.replace(SPACE, " ") for i, t in zip(ids, texts)]
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], ["doc", "ids", "round_trip"])
+                ids, marks, same = codec.encode_checked([t or "" for t in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.ListArray.from_arrays(pa.array(marks), pa.array(ids)), pa.array(same)], ["doc", "ids", "round_trip"])
 
     return encode
 
