@@ -309,7 +309,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", batches: int = BATCHES,
     hits = scratch.save(hits.distinct(), "all-hits")
     side = lambda kind: hits.where(F.col("kind") == kind).select(F.col("key").alias(kind))
     own = _judged(entries, side("shallow"), side("deep"), ("whole", "open"), scratch)
-    near = texts.join(own, "tid").groupBy("tid").agg(*[F.first(c).alias(c) for c in ("text", "whole", "open")])
+    # One copy of every text travels from each task, however many rows hold it.
+    near = texts.groupBy("tid").agg(F.first("text").alias("text")).join(own, "tid").select("tid", "text", "whole", "open")
     near = scratch.save(near, "near")
 
     parts = _zipped(scratch.save(near.where(F.size("open") > 0).mapInArrow(_parts, schema).where(F.size("deep") > 0), "parts"))
@@ -335,12 +336,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: str | None = Non
 
 
 def op4_suffix_dedup(spark, sf_dir):
+    """The contract's columns, then the bytes left and the text left (bytes that are no UTF-8 any more are replaced in it)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     raw = F.coalesce("text", F.lit("")).cast("binary")
-    base = docs.select("doc_id", text_id("text").alias("tid"), F.octet_length(raw).cast("bigint").alias("n_bytes"), F.sha2(raw, 256).alias("sha"))
-    cut = repeated_spans(docs).select("tid", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
-    return base.join(cut, "tid", "left").select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    base = docs.select("doc_id", text_id("text").alias("tid"), F.octet_length(raw).cast("bigint").alias("n_bytes"), F.sha2(raw, 256).alias("sha"), F.coalesce("text", F.lit("")).alias("own"))
+    cut = repeated_spans(docs, with_text=True).select("tid", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256", "kept_text")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    return base.join(cut, "tid", "left").select(
+        "doc_id", "n_bytes", zero("n_removed").alias("n_removed"), zero("n_spans").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
+        (F.col("n_bytes") - zero("n_removed")).alias("kept_bytes"), F.coalesce("kept_text", "own").alias("text"),
+    )
 
 
 QUERIES = {"op4_suffix_dedup": op4_suffix_dedup}
