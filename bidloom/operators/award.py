@@ -146,7 +146,8 @@ def recommend(
     eligible = listed.where("eligible")
     # Ranking, baskets and consolidation all read the offers, so they are written out once.
     priced = checkpoint(offers(cells, eligible))
-    eligible = checkpoint(eligible)
+    # Who they are is all that is read of them here: their coverage is not worked out for it.
+    eligible = checkpoint(eligible.select("vendor", "vendor_ord"))
     small = dropped_for_size(priced, eligible, min_lines)
     baseline = allocate(priced, items)
     if small.n:

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from bidloom import session
-from bidloom.operators import grid, matching, names, requests
+from bidloom.operators import award, grid, matching, names, requests
 
 
 def plan_of(df):
@@ -79,3 +79,39 @@ def test_acceptance_goes_by_groups(spark):
     kind = "request_id string, event_ord bigint, question string, gone bigint"
     lives = spark.createDataFrame([("a", n, "q", None) for n in range(40)], kind)
     assert requests._first_come(lives, lives).collect() == [("a", 0)]
+
+
+def test_lines_meet_a_long_item_list_part_by_part(spark, monkeypatch):
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 1)
+    items = spark.createDataFrame([("BX-001", "a"), ("BX-002", "b")], "sku string, description string")
+    lines = spark.createDataFrame([("l1", "BX-001", None), ("l2", "bx 002", None), ("l3", None, "no code")], "line_id string, vendor_sku string, description string")
+    matched = matching.match_by_code(lines, items).select("line_id", "rfx_sku", "match_confidence")
+    assert sorted(tuple(r) for r in matched.collect()) == [("l1", "BX-001", 1.0), ("l2", "BX-002", 0.97)]
+    assert "ShuffledHashJoin" in plan_of(matched) and "Broadcast" not in plan_of(matched)
+    # Beside its code a line takes along whether it was written so, not the cell that it was read from.
+    travels = matched._jdf.queryExecution().optimizedPlan().children().head().left().output().mkString(" ")
+    assert "verbatim#" in travels and "vendor_sku#" not in travels and "description#" not in travels
+
+
+def counting(spark, df):
+    """The same rows, and how many of them were ever read."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(counted, df.schema), read
+
+
+def test_a_plan_leaves_out_coverage_that_it_does_not_show(spark):
+    lines, read = counting(spark, spark.createDataFrame([("a",), ("b",)], "vendor string"))
+    vendors = spark.createDataFrame([("a", 1), ("b", 2)], "vendor string, vendor_ord bigint").withColumns({"quality_score": F.lit(1.0), "meets_requirements": F.lit(True)})
+    vendors = vendors.join(lines.groupBy("vendor").agg(F.count("*").alias("lines_read")), "vendor", "left")
+    cells = spark.createDataFrame([("S", "a", 2.0, 1), ("S", "b", 1.0, 1)], "rfx_sku string, vendor string, canonical_value double, comparable int")
+    items = spark.createDataFrame([("S", "s", 3, "per box")], "sku string, description string, quantity bigint, canonical_unit string")
+    plan = award.recommend(cells, items, vendors)
+    assert [r["winner"] for r in plan.lines.collect()] == ["b"] and plan.summary.first()["awarded_lines"] == 1
+    assert read.value == 0
+    assert {r["lines_read"] for r in plan.shortlist.collect()} == {1}
