@@ -346,7 +346,8 @@ SUPPLIER_BAR = 15
 def consolidated_suppliers(spark, d):
     """The suppliers dropped at a bar, in order, where each supplier quotes for itself."""
     c = _comparison(spark, d, "supplier")
-    done = award.dropped_for_size(grid.offers(c.cells), c.responses, SUPPLIER_BAR)
+    # The offers are read more than once: lines are matched and placed once for that.
+    done = award.dropped_for_size(Scratch(spark, "offers").save(grid.offers(c.cells), "offers"), c.responses, SUPPLIER_BAR)
     return done.dropped.select("vendor", "place", F.lit(done.n).cast("bigint").alias("dropped"), F.lit(done.stopped).alias("stopped"))
 
 

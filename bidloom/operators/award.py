@@ -88,8 +88,9 @@ def dropped_for_size(priced: DataFrame, vendors: DataFrame, min_lines: int) -> C
         return Consolidation(nobody)
     ordered = vendors.select("vendor", "vendor_ord")
     winner = F.min(F.struct("price", "vendor"))["vendor"].alias("winner")
-    first = priced.groupBy("rfx_sku").agg(winner)
-    safe = win_counts(first).where(F.col("wins") >= min_lines).select("vendor")
+    # Both are read several times below, and each reading would go through all offers again.
+    first = checkpoint(priced.groupBy("rfx_sku").agg(winner))
+    safe = checkpoint(win_counts(first).where(F.col("wins") >= min_lines).select("vendor"))
     contested_items = first.join(safe, first.winner == safe.vendor, "left_anti").select("rfx_sku")
     # Written out once: every round reads this remainder, not the whole comparison.
     active = checkpoint(priced.join(contested_items, "rfx_sku", "left_semi"))

@@ -115,3 +115,12 @@ def test_a_plan_leaves_out_coverage_that_it_does_not_show(spark):
     assert [r["winner"] for r in plan.lines.collect()] == ["b"] and plan.summary.first()["awarded_lines"] == 1
     assert read.value == 0
     assert {r["lines_read"] for r in plan.shortlist.collect()} == {1}
+
+
+def test_consolidation_reads_the_offers_twice(spark):
+    offers = [("S1", "a", 1.0), ("S1", "b", 2.0), ("S2", "b", 1.0), ("S3", "b", 1.0), ("S3", "a", 3.0)]
+    priced, read = counting(spark, spark.createDataFrame(offers, "rfx_sku string, vendor string, price double"))
+    vendors = spark.createDataFrame([("a", 1), ("b", 2)], "vendor string, vendor_ord bigint")
+    done = award.dropped_for_size(priced, vendors, 2)
+    assert [tuple(r) for r in done.dropped.collect()] == [("a", 1)] and not done.stopped
+    assert read.value == 2 * len(offers)
