@@ -35,12 +35,13 @@ def currency_code(raw: Column | str) -> Column:
 
 
 def _currency_inside(lowered: Column) -> Column:
-    chain = None
+    chain, literals = None, []
     for spelling, code in V.CURRENCY_SPELLINGS:
-        literal = spelling.replace(".", r"\.").replace("$", r"\$")
-        hit = lowered.rlike(f"(?<![a-z]){literal}(?![a-z])")
+        literals.append(spelling.replace(".", r"\.").replace("$", r"\$"))
+        hit = lowered.rlike(f"(?<![a-z]){literals[-1]}(?![a-z])")
         chain = F.when(hit, F.lit(code)) if chain is None else chain.when(hit, F.lit(code))
-    return chain
+    # Few unit texts name a currency, and one look at the others tells that.
+    return F.when(lowered.rlike(f"(?<![a-z])(?:{'|'.join(literals)})(?![a-z])"), chain)
 
 
 _PACK_FORM = r"(?:per|/|por)\s*(\d[\d,]*)\s*([a-z.]*)"
