@@ -52,17 +52,23 @@ class EliasFano:
 
     def _after_zero(self, k: np.ndarray) -> np.ndarray:
         """Place after the k-th zero of the unary part, 0 for k = 0; past the end if there are fewer."""
-        block = np.searchsorted(self.zeros, k, "left") - 1
-        block = np.maximum(block, 0)
-        bits = np.unpackbits(self.high.reshape(-1, BLOCK // 8)[block], axis=1, bitorder="little")
-        seen = np.cumsum(1 - bits, axis=1, dtype=np.uint8) >= (k - self.zeros[block])[:, None]
-        out = block * BLOCK + seen.argmax(1) + 1
-        out[~seen[:, -1]] = 8 * len(self.high)
+        block = np.maximum(np.searchsorted(self.zeros, k, "left") - 1, 0)
+        word, need = ~self.high.view("<u8")[block], k - self.zeros[block]
+        out = block * BLOCK + 1
+        fewer = np.bitwise_count(word) < need
+        # Halves of the word: a half with too few zeros is passed over with them.
+        for step in (32, 16, 8, 4, 2, 1):
+            some = np.bitwise_count(word & U64((1 << step) - 1)).astype(np.int64)
+            far = some < need
+            need = need - np.where(far, some, 0)
+            out += np.where(far, step, 0)
+            word = np.where(far, word >> U64(step), word)
+        out[fewer] = 8 * len(self.high)
         out[k == 0] = 0
         return out
 
     def find(self, values: np.ndarray) -> np.ndarray:
-        """Index of every value, -1 where it is not in the sequence: the successor within the bucket of its high bits."""
+        """Index of every value, -1 where it is not in the sequence: halving the bucket of its high bits, however many values it holds."""
         out = np.full(len(values), -1, np.int64)
         if not self.n:
             return out
@@ -71,14 +77,16 @@ class EliasFano:
             bucket = (part >> U64(self.width)).astype(np.int64)
             want = part & U64((1 << self.width) - 1)
             bit = self._after_zero(bucket)
-            at, alive = bit - bucket, np.flatnonzero((bit < 8 * len(self.high)) & (bit - bucket < self.n))
+            left, right = bit - bucket, self._after_zero(bucket + 1) - 1 - bucket
+            right = np.where(bit < 8 * len(self.high), np.minimum(right, self.n), left)
+            end, alive = right.copy(), np.flatnonzero(left < right)
             while len(alive):
-                inside = (self.high[bit[alive] >> 3] >> (bit[alive] & 7).astype(np.uint8)) & 1
-                alive = alive[inside.astype(bool)]
-                have = self._low(at[alive])
-                out[k + alive[have == want[alive]]] = at[alive[have == want[alive]]]
-                alive = alive[have < want[alive]]
-                at[alive] += 1
-                bit[alive] += 1
-                alive = alive[bit[alive] < 8 * len(self.high)]
+                middle = (left[alive] + right[alive]) >> 1
+                before = self._low(middle) < want[alive]
+                left[alive] = np.where(before, middle + 1, left[alive])
+                right[alive] = np.where(before, right[alive], middle)
+                alive = alive[left[alive] < right[alive]]
+            held = np.flatnonzero(left < end)
+            held = held[self._low(left[held]) == want[held]]
+            out[k + held] = left[held]
         return out

@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 from bidloom.llm.elias_fano import EliasFano
 from bidloom.llm.spans import U64, mix, slices, word_hashes, words
 from bidloom.llm.tables import table
-from bidloom.session import Scratch
+from bidloom.session import Scratch, bounded_batches
 
 WORD_COUNT = 5
 GRAM_COUNT = 2
@@ -55,10 +55,10 @@ DISCOUNT = 0.75
 STEPS = 8000
 NOTHING = 65535
 END = np.array([0x0E0D0C0B0A090807], U64)
-#: Bytes of text looked up together: the more, the fewer n-grams are asked for twice.
-TOGETHER = 4 << 20
-#: Distinct n-grams that a task counts before it hands them on.
-HELD = 1 << 20
+#: Bytes of text looked up together: the more, the fewer n-grams are asked for twice, and the more memory a worker takes.
+TOGETHER = 1 << 20
+#: Tokens or n-grams that a task counts before it hands them on.
+HELD = 1 << 19
 
 
 def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +104,7 @@ def _write(folder: str, arrays: list[np.ndarray]) -> tuple[str, list[int]]:
 def _mapped(folder: str, name: str) -> np.ndarray:
     fs, root = pafs.FileSystem.from_uri(folder)
     if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(f"{root}/{name}", np.uint8, "r")
+        return np.memmap(f"{root}/{name}", np.uint8, "r").view(np.ndarray)
     with fs.open_input_file(f"{root}/{name}") as f:
         return np.frombuffer(f.readall(), np.uint8)
 
@@ -178,7 +178,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, data, bounds in slices(batch.column("text")):
             held.append(tokens(data, bounds)[0])
-            if sum(map(len, held)) > 4 * HELD:
+            if sum(map(len, held)) > HELD:
                 yield hand()
     if held:
         yield hand()
@@ -205,7 +205,7 @@ def _count_grams(model: Model):
                 three = two[np.isin(two + 1, two, assume_unique=True)]
                 held.append(np.stack([ids[two], ids[two + 1], np.full(len(two), -1)], 1))
                 held.append(np.stack([ids[three], ids[three + 1], ids[three + 2]], 1))
-                if sum(map(len, held)) > 2 * HELD:
+                if sum(map(len, held)) > HELD:
                     yield hand()
         if held:
             yield hand()
@@ -262,7 +262,7 @@ def _write_grams(folder: str, frequent: int):
         found = _columns(batches, "a", "b", "c", "n", "context")
         if not found:
             return
-        a, b, c, n, context = (x.astype(np.int64) for x in found)
+        a, b, c, n, context = (x.astype(np.int64, copy=False) for x in found)
         two = np.flatnonzero(c < 0)
         parent = np.cumsum(c < 0) - 1  # every trigram follows its bigram
         three = np.flatnonzero(c >= 0)
@@ -285,6 +285,7 @@ def _files(df: DataFrame) -> list[tuple]:
 
 def train(texts: DataFrame) -> Model:
     """A model of all rows of `text`."""
+    bounded_batches(texts.sparkSession)
     scratch = Scratch(texts.sparkSession, "language-model")
     folder = f"{scratch.root}/files"
     counted = texts.mapInArrow(_count_words, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
@@ -391,6 +392,7 @@ def _score(model: Model):
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """`doc` (the kept columns) with `n_tokens`, `n_known`, `base_score` and `score`."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.struct(*keep).alias("doc"), F.col(text).alias("text"))
     schema = rows.select("doc").schema
     for name, kind in (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())):

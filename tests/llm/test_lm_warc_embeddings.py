@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from bidloom.llm import embedding_dedup as E
 from bidloom.llm import lm_score as M
@@ -25,6 +26,25 @@ def test_elias_fano_finds_what_it_holds():
     assert (EliasFano.encode(np.zeros(0, np.int64)).find(np.array([0, 5])) == -1).all()
 
 
+def test_a_full_bucket_is_halved(monkeypatch):
+    v = np.concatenate([np.arange(0, 300_000, 3), np.arange(1, 50) << 40])
+    code, steps, low = EliasFano.encode(v), [], EliasFano._low
+    monkeypatch.setattr(EliasFano, "_low", lambda self, at: steps.append(len(at)) or low(self, at))
+    q = np.sort(np.concatenate([v[::7], v[::7] + 1, [1 << 60]]))
+    at = np.minimum(np.searchsorted(v, q), len(v) - 1)
+    assert (code.find(q) == np.where(v[at] == q, at, -1)).all()
+    assert len(steps) < 50  # the first bucket holds 100,000 values
+
+
+def test_counted_grams_leave_in_small_batches(spark):
+    texts = [" ".join(f"w{(i * j) % 997}" for j in range(3000)) for i in range(1, 900)]
+    model = M.train(spark.createDataFrame([(t,) for t in texts[:20]], "text string"))
+    out = list(M._count_grams(model)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])))
+    # What a task holds: the bound, and the pairs and triples of one slice over it.
+    assert max(b.num_rows for b in out) <= M.HELD + 2 * M.TOGETHER // 4 and M.HELD <= 1 << 19 and M.TOGETHER <= 1 << 20
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+
+
 def reference(train, texts):
     tok = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None]
     c = Counter(w for t in train for w in tok(t))
