@@ -32,12 +32,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidloom.llm.spans import U64, mix
 from bidloom.llm.tables import table
+from bidloom.session import bounded_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -294,9 +296,7 @@ class Codec:
 
     def __init__(self, path: str = MODEL, pieces: Pieces | None = None):
         self.pieces = pieces or load(path)
-        #: Piece numbers of a segment, and the segments that they do not decode to.
-        self.known: dict[str, list[int]] = {}
-        self.lost: set[str] = set()
+        self._forget()
         self.names: list[str | int] = []
         byte = {i: b for b, i in enumerate(self.pieces.bytes_.tolist()) if i != self.pieces.unknown}
         for i, name in enumerate(self.pieces.names):
@@ -304,15 +304,24 @@ class Codec:
         self.is_byte = np.array([isinstance(n, int) for n in self.names])
         self.letters = np.array([1 if isinstance(n, int) else len(n) for n in self.names])
 
+    def _forget(self) -> None:
+        """Nothing is known: the number of a segment, where each one's piece numbers begin in `flat`, and the segments that they do not decode to."""
+        self.known: dict[str, int] = {}
+        self.flat, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.lost: set[str] = set()
+
     def _segments(self, texts: list[str]) -> list[list[str]]:
         """Segments of every text, each of them known afterwards."""
         spaced = [(SPACE + t.replace(" ", SPACE)) if t else "" for t in texts]
         cut = [_SEGMENT.findall(t) if self.pieces.splits else [t] * bool(t) for t in spaced]
         if len(self.known) > REMEMBERED:
-            self.known, self.lost = {}, set()
+            self._forget()
         new = [w for w in {w for c in cut for w in c} if w not in self.known]
         ids = segment(self.pieces, new)
-        self.known.update(zip(new, ids))
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(size)])
         self.lost.update(self._not_decoded(new, ids))
         return cut
 
@@ -329,8 +338,18 @@ class Codec:
         return [w for w, i, p in zip(words, ids, plain.tolist()) if not (p and right) and self._said(i) != w.replace(SPACE, " ")]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        cut = self._segments(texts)
-        return [list(chain.from_iterable(map(self.known.__getitem__, c))) for c in cut]
+        flat, marks = self._joined(self._segments(texts))
+        return [flat[a:b].tolist() for a, b in zip(marks[:-1], marks[1:])]
+
+    def _joined(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Piece numbers of all segments in a row, and where each text's begin (n + 1 marks)."""
+        count = [len(c) for c in cut]
+        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, sum(count))
+        begin = self.begin[number]
+        size = self.begin[number + 1] - begin
+        mark = np.concatenate([[0], np.cumsum(size)])
+        flat = self.flat[np.repeat(begin - mark[:-1], size) + np.arange(mark[-1])]
+        return flat, mark[np.concatenate([[0], np.cumsum(count, dtype=np.int64)])]
 
     def encode_checked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
         """All piece numbers in a row, where each text's begin (n + 1 marks), and whether they decode to it.
@@ -339,11 +358,8 @@ class Codec:
         character never lie in two segments. So each distinct segment is decoded once.
         """
         cut = self._segments(texts)
-        found = list(map(self.known.__getitem__, chain.from_iterable(cut)))
-        size = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
-        flat = np.fromiter(chain.from_iterable(found), np.int32, int(size[-1]))
-        marks = size[np.concatenate([[0], np.cumsum([len(c) for c in cut], dtype=np.int64)])].astype(np.int32)
-        return flat, marks, [not self.lost or self.lost.isdisjoint(c) for c in cut]
+        flat, marks = self._joined(cut)
+        return flat, marks.astype(np.int32), [not self.lost or self.lost.isdisjoint(c) for c in cut]
 
     def _said(self, ids: list[int]) -> str:
         parts = [self.names[i] for i in ids]
@@ -356,13 +372,16 @@ class Codec:
         return self._said(ids).removeprefix(" ")
 
 
-def _encode(path: str):
+def _encode(path: str, field: int | None = None):
+    """The encoder of the column `text`, or of the field of `doc` that is the text."""
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                ids, marks, same = codec.encode_checked([t or "" for t in part.column("text").to_pylist()])
+                texts = part.column("text") if field is None else pc.struct_field(part.column("doc"), field)
+                ids, marks, same = codec.encode_checked([t or "" for t in texts.to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc"), pa.ListArray.from_arrays(pa.array(marks), pa.array(ids)), pa.array(same)], ["doc", "ids", "round_trip"])
 
     return encode
@@ -380,8 +399,12 @@ def _decode(path: str):
 
 def encoded(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", model: str = MODEL) -> DataFrame:
     """`doc` (the kept columns), `ids` and whether decoding them gives the text back."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.struct(*keep).alias("doc"), F.col(text).alias("text"))
-    return rows.mapInArrow(_encode(model), rows.select("doc").schema.add("ids", T.ArrayType(T.IntegerType())).add("round_trip", T.BooleanType()))
+    schema = rows.select("doc").schema.add("ids", T.ArrayType(T.IntegerType())).add("round_trip", T.BooleanType())
+    if text in keep:  # it travels to the worker once
+        return rows.select("doc").mapInArrow(_encode(model, keep.index(text)), schema)
+    return rows.mapInArrow(_encode(model), schema)
 
 
 def decoded(tokens: DataFrame, model: str = MODEL) -> DataFrame:

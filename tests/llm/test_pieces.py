@@ -1,6 +1,7 @@
 """Piece numbers beside the library's, and the unigram path beside plain recursion."""
 
 import random
+import tracemalloc
 from functools import cache
 
 import numpy as np
@@ -55,3 +56,29 @@ def test_frames(spark):
     assert sorted((r.doc.doc_id, r.text) for r in back.collect() if r.doc.doc_id) == [(1, "Hello world"), (1, "Hello world"), (2, "")]
     assert all(r.round_trip for r in tokens.collect()) and tokens.count() == 4
     assert P.encoded(df.limit(0)).count() == 0
+
+
+def test_a_remembered_segment_takes_little_memory(monkeypatch):
+    texts, model = [f"{i:05d}xyzq ab{i:05d}" for i in range(10_000)], P.load(P.MODEL)
+    tracemalloc.start()
+    codec = P.Codec(pieces=model)
+    first = codec.encode(texts[:10])
+    begun = tracemalloc.get_traced_memory()[0]
+    for k in range(0, len(texts), 500):
+        codec.encode(texts[k:k + 500])
+    each = (tracemalloc.get_traced_memory()[0] - begun) / len(codec.known)
+    tracemalloc.stop()
+    assert len(codec.known) == 20_000 and each < 300
+    assert codec.encode(texts[:10]) == first and codec.decode(first[3]) == texts[3]
+    monkeypatch.setattr(P, "REMEMBERED", 100)
+    assert codec.encode(texts[:10]) == first and len(codec.known) == 20
+    flat, marks, same = codec.encode_checked(["", texts[0], "", texts[1]])
+    assert flat.tolist() == first[0] + first[1] and marks.tolist() == [0, 0, len(first[0]), len(first[0]), len(flat)] and all(same)
+
+
+def test_a_kept_text_travels_once(spark):
+    df = spark.createDataFrame([(1, "Hello world"), (2, None), (3, "")], "doc_id bigint, text string").coalesce(1)
+    once = P.encoded(df, keep=("doc_id", "text"))
+    assert once._jdf.queryExecution().optimizedPlan().children().head().output().size() == 1
+    want = {r.doc.doc_id: r.ids for r in P.encoded(df).collect()}
+    assert {r.doc.doc_id: r.ids for r in once.collect()} == want and want[2] == want[3] == []
