@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidloom.functions.common import money_sum, one_row, round_half_up
-from bidloom.operators.grid import offers, two_best
+from bidloom.operators.grid import lowest, offers, two_best
 from bidloom.operators.ordering import numbered
-from bidloom.session import checkpoint
+from bidloom.session import bounded_batches, broadcast_if_small, checkpoint
 
 # The sentences are compared output.
 NO_OFFER = "No shortlisted supplier gave a price we can safely compare, so we cannot suggest anyone for this item."
@@ -67,20 +70,25 @@ class Consolidation:
     rounds: int = 0
 
 
+#: Numbers of vendors that the one task holds in which drops are played, over all items: some 4 bytes each.
+HELD_OFFERS = 16_000_000
+#: Offers of an item it is given at most.
+MOST_OFFERS = 16
+_PLAYED = "no int, place bigint"
+
+
 def dropped_for_size(priced: DataFrame, vendors: DataFrame, min_lines: int) -> Consolidation:
     """Vendors to drop because they would win too few items, in the order dropped.
 
     The rule drops the smallest winner below the bar (ties: earliest vendor), lets its
     items go to the next offer, and repeats, until none is below the bar or the smallest
     is the last to offer some item. A vendor that already wins enough can only ever win
-    more, so the rounds work on just the items first won by a vendor below the bar.
-
-    A round drops as many as the rule would in a row: the candidates are numbered in
-    their order, and each item of one of them passes to its best offer from a vendor that
-    is not an earlier candidate. As winners only grow, the order holds up to the first
-    candidate that is heir to an earlier one, up to the first heir that had won nothing so
-    far (it may become the smallest), and up to the first candidate with an item without
-    an heir. Only that number reaches the driver; who was dropped stays a table.
+    more, so all this concerns just the items first won by a vendor below the bar.
+
+    Each drop rests on the one before, so they are played one by one in a single task, over
+    numbers: the best few offers of each such item are all it holds. Where an item's few are
+    used up and it has more, the round ends before that drop, and the next one begins with
+    the best few of those still there. Only how a round ended reaches the driver.
     """
     spark = priced.sparkSession
     nobody = vendors.select("vendor", F.lit(0).cast("bigint").alias("place")).limit(0)
@@ -94,36 +102,113 @@ def dropped_for_size(priced: DataFrame, vendors: DataFrame, min_lines: int) -> C
     contested_items = first.join(safe, first.winner == safe.vendor, "left_anti").select("rfx_sku")
     # Written out once: every round reads this remainder, not the whole comparison.
     active = checkpoint(priced.join(contested_items, "rfx_sku", "left_semi"))
-    small = checkpoint(ordered.join(safe, "vendor", "left_anti"))
-
-    remaining, n, rounds = ordered.count(), 0, 0
+    # Numbers are in the order of names; an offer without a name has number 0 and, as in any sorting, comes before all.
+    names = checkpoint(numbered(active.select("vendor").where("vendor IS NOT NULL").distinct(), "no", "vendor").select("vendor", F.col("no").cast("int").alias("no")))
+    small = numbered(ordered.join(safe, "vendor", "left_anti"), "turn", "vendor_ord", "vendor")
+    small = checkpoint(small.join(names, "vendor").select("no", F.col("turn").cast("bigint").alias("turn")))
+    offered = active.join(broadcast_if_small(names, names), "vendor", "left").select("rfx_sku", "price", F.coalesce("no", F.lit(0)).alias("no"))
+    most = max(4, min(MOST_OFFERS, HELD_OFFERS // max(1, first.join(safe, first.winner == safe.vendor, "left_anti").count())))
+
+    remaining, n, rounds, ended = ordered.count(), 0, 0, _PAUSED
     gone: list[DataFrame] = []
-    stopped = False
-    while remaining > 1:
-        held = checkpoint(active.groupBy("rfx_sku").agg(winner))
-        tally = held.groupBy(F.col("winner").alias("vendor")).agg(F.count("*").alias("wins"))
-        standing = small.join(tally, "vendor", "left")
-        line = checkpoint(numbered(standing.where(F.col("wins") < min_lines), "turn", "wins", "vendor_ord", "vendor").select("vendor", F.col("turn").cast("bigint").alias("turn")))
-        candidates = line.count()
-        if not candidates:
-            break
-        rounds += 1
-        losing = held.join(line.withColumnsRenamed({"vendor": "winner", "turn": "loser"}), "winner")
-        rivals = active.join(losing, "rfx_sku").where(F.col("vendor") != F.col("winner")).join(line, "vendor", "left").where("turn IS NULL OR turn > loser")
-        heirs = rivals.groupBy("rfx_sku").agg(F.min(F.struct("price", "vendor", "turn")).alias("heir")).select("rfx_sku", "heir.vendor", "heir.turn")
-        idle = standing.where("wins IS NULL").select("vendor", F.lit(True).alias("idle"))
-        passed = losing.join(heirs, "rfx_sku", "left").join(idle, "vendor", "left")
-        holds = F.when(F.col("vendor").isNull(), F.col("loser") - 1).when(F.col("turn").isNotNull(), F.col("turn") - 1).when(F.col("idle"), F.col("loser"))
-        reach = passed.agg(F.min(holds)).first()[0]
-        last = min(candidates, remaining - 1, candidates if reach is None else reach)
-        if last < 1:
-            stopped = True
+    bounded_batches(spark)
+    while ended == _PAUSED and remaining > 1:
+        left = reduce(lambda df, g: df.join(broadcast_if_small(g, g), "no", "left_anti"), gone, offered)
+        best = left.groupBy("rfx_sku").agg(lowest(most, "price", "no")["no"].alias("offers"), (F.count("*") <= most).alias("whole"))
+        held = best.select("offers", "whole", F.lit(None).cast("int").alias("no"), F.lit(None).cast("bigint").alias("turn"))
+        listed = small.select(F.lit(None).cast("array<int>").alias("offers"), F.lit(None).cast("boolean").alias("whole"), "no", "turn")
+        played = checkpoint(held.unionAll(listed).repartition(1).mapInArrow(partial(_play, min_lines=min_lines, remaining=remaining, before=n), _PLAYED))
+        ended = played.where("no IS NULL").first()["place"]
+        fresh = played.where("no IS NOT NULL")
+        dropped_now = fresh.count()
+        if dropped_now:
+            rounds += 1
+            gone.append(fresh)
+            remaining, n = remaining - dropped_now, n + dropped_now
+        else:
+            most *= 2
+    if not gone:
+        return Consolidation(nobody, 0, ended == _STOPPED, rounds)
+    dropped = checkpoint(reduce(DataFrame.unionAll, gone).join(names, "no").select("vendor", "place"))
+    return Consolidation(dropped, n, ended == _STOPPED, rounds)
+
+
+_DONE, _STOPPED, _PAUSED = 0, 1, 2
+
+
+def _play(batches, min_lines: int, remaining: int, before: int):
+    """Rows of items (their best offers in order, and whether these are all) and of vendors (number, turn)
+    that may be dropped; yields the drops in order and one row that says how they ended.
+
+    A vendor listed on several rows takes as many places, but one if it leaves items to a vendor without any.
+    """
+    parts, sizes, whole, turns, times = [], [], [], {}, {}
+    for batch in batches:
+        offers_, whole_, no, turn = batch.columns
+        items = batch.filter(no.is_null())
+        parts.append(items.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int32))
+        sizes.append(items.column(0).value_lengths().to_numpy(zero_copy_only=False))
+        whole.append(items.column(1).to_numpy(zero_copy_only=False).astype(bool))
+        for v, t in zip(no.drop_null().to_pylist(), turn.drop_null().to_pylist(), strict=True):
+            turns[v], times[v] = min(t, turns.get(v, t)), times.get(v, 0) + 1
+    none = [np.zeros(0, np.int64)]
+    offered, whole = np.concatenate(parts or none).astype(np.int32), np.concatenate(whole or none)
+    ends = np.cumsum(np.concatenate(sizes or none).astype(np.int64))
+    at = np.concatenate([none[0], [0], ends])[: len(ends)].astype(np.int64)
+    wins = np.bincount(offered[at], minlength=max([1, *turns, *(int(x.max(initial=0)) for x in parts)]) + 1)
+    small = np.zeros(len(wins), bool)
+    small[[v for v in turns if wins[v] < min_lines]] = True
+    lost = np.zeros(len(wins), bool)
+    holds = {v: [] for v in np.flatnonzero(small).tolist()}
+    for i in np.flatnonzero(small[offered[at]]):
+        holds[int(offered[at[i]])].append(int(i))
+    heap = [(int(wins[v]), turns[v], v) for v in holds if wins[v]]
+    heapq.heapify(heap)
+    drops, ended = [], _DONE
+    while heap and remaining > 1:
+        k, _, v = heapq.heappop(heap)
+        if lost[v] or wins[v] != k or not small[v]:
+            continue
+        lost[v] = True
+        moves, idle, last, short = [], False, False, False
+        for i in holds[v]:
+            p, end = int(at[i]) + 1, int(ends[i])
+            while p < end and lost[offered[p]]:
+                p += 1
+            heir = p
+            # An offer without a name holds an item, but no vendor is dropped for one.
+            while heir < end and (offered[heir] == 0 or lost[offered[heir]]):
+                heir += 1
+            if heir == end:
+                last, short = last or bool(whole[i]), True
+                continue
+            idle = idle or (small[offered[heir]] and wins[offered[heir]] == 0)
+            moves.append((i, p))
+        if last or short:
+            ended = _STOPPED if last else _PAUSED
             break
-        gone.append(checkpoint(line.where(F.col("turn") <= last).select("vendor", (F.col("turn") + n).alias("place"))))
-        active = checkpoint(active.join(gone[-1], "vendor", "left_anti"))
-        remaining, n = remaining - last, n + last
-    dropped = checkpoint(reduce(DataFrame.unionAll, gone)) if gone else nobody
-    return Consolidation(dropped, n, stopped, rounds)
+        took = min(1 if idle else times[v], remaining - 1)
+        drops += [v] * took
+        remaining -= took
+        gained = set()
+        for i, p in moves:
+            at[i], heir = p, int(offered[p])
+            wins[heir] += 1
+            if small[heir]:
+                holds[heir].append(i)
+                gained.add(heir)
+        del holds[v]
+        for heir in gained:
+            if wins[heir] < min_lines:
+                heapq.heappush(heap, (int(wins[heir]), turns[heir], heir))
+            else:
+                # It wins enough for good.
+                small[heir] = False
+                del holds[heir]
+    for start in range(0, len(drops), 1 << 16):
+        some = drops[start:start + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(range(before + start + 1, before + start + 1 + len(some)), pa.int64())], ["no", "place"])
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int32()), pa.array([ended], pa.int64())], ["no", "place"])
 
 
 @dataclass

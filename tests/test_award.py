@@ -97,6 +97,29 @@ def test_consolidation_drops_many_in_a_round(spark):
     assert dropped(done) == expected and len(expected) > 60 and done.rounds < len(expected) / 3
 
 
+def test_consolidation_of_close_rivals_takes_few_rounds(spark, monkeypatch):
+    """Everybody is next in line to everybody, so each drop changes who comes next: a round used to hold a few."""
+    rng = random.Random(17)
+    names = [f"v{i:02d}" for i in range(90)]
+    prices = {(f"S{i:03d}", v): float(rng.randint(1, 9)) for i in range(120) for v in rng.sample(names, 12)}
+    cells, _, vendors = grid_of(spark, prices, {"S000": 1})
+    expected = plain_consolidation(prices, names, 9)
+    done = award.dropped_for_size(grid.offers(cells), vendors, 9)
+    assert dropped(done) == expected and len(expected) > 40 and done.rounds == 1
+    # With four offers of an item at once it takes more rounds and comes to the same.
+    monkeypatch.setattr(award, "MOST_OFFERS", 4)
+    done = award.dropped_for_size(grid.offers(cells), vendors, 9)
+    assert dropped(done) == expected and 1 < done.rounds < 20
+
+
+def test_consolidation_passes_over_offers_without_a_name(spark):
+    priced = spark.createDataFrame([("A", "x", 1.0), ("A", None, 2.0), ("A", "y", 3.0), *[(f"B{i}", "y", 1.0) for i in range(3)]], "rfx_sku string, vendor string, price double")
+    vendors = spark.createDataFrame([("x", 1), ("y", 2), (None, 3)], "vendor string, vendor_ord int")
+    assert dropped(award.dropped_for_size(priced, vendors, 2)) == ["x"]
+    # With nobody named behind it, x is the last to offer its item.
+    assert award.dropped_for_size(priced.where("rfx_sku <> 'A' OR vendor = 'x' OR vendor IS NULL"), vendors, 2).stopped
+
+
 def quote(spark, rows):
     schema = ("rfx_sku string, vendor string, quoted_value double, currency string, unit_text string, conditions array<string>, notes string, document_currency string, "
               "freight_included boolean, canonical_unit string, unit_family string, confidence double, match_basis string, match_confidence double, "
