@@ -687,7 +687,9 @@ def asked_questions(spark, d):
 
 def merged_questions(spark, d):
     """Each order's questions and files after an edit, and whether the edit changed the order at all."""
-    was, now = inputs.snapshots(spark, d)
+    # Lines are gathered once for all that reads them, and edits merged once for what they are and for what they changed.
+    scratch = Scratch(spark, "merged-questions")
+    was, now = (scratch.save(df, "snapshot") for df in inputs.snapshots(spark, d))
     ask = lambda df: F.concat(F.lit("Is part "), (F.col("item") % 50).cast("string"), F.lit(" in stock?"))
     rows = lambda df: df.withColumns({
         "serial": F.col("line_no"), "question": ask(df), "direction": F.lit("boolean"), "threshold": F.col("quantity").cast("double"), "unit": F.lit(" "),
@@ -698,10 +700,10 @@ def merged_questions(spark, d):
         "requirement": F.when(F.col("item") % 3 == 0, F.lit("Must have")).otherwise(F.lit("Scored")), "weight": F.when(F.col("item") % 4 == 0, F.lit(0.0)).otherwise(F.lit(1.0)),
     })
     typed = rows(now).withColumn("question", F.when(F.col("item") % 5 == 0, F.concat(F.lit(" Corrected: "), "question")).otherwise(F.col("question")))
-    merged = requests.merge_criteria_edits(stored, typed)
+    merged = scratch.save(requests.merge_criteria_edits(stored, typed), "questions")
     asks = requests.changed_requests(stored, merged, "serial", requests.CRITERION)
     files = lambda df: df.select("request_id", "line_no", F.concat(F.lit("file-"), F.col("line_no").cast("string")).alias("name"), (F.col("quantity") % 2).cast("string").alias("note"))
-    listed = requests.merge_attachment_edits(files(was), files(now))
+    listed = scratch.save(requests.merge_attachment_edits(files(was), files(now)), "files")
     held = requests.changed_requests(files(was), listed, "line_no", ["name", "note"])
     questions_ = merged.select("request_id", F.lit("question").alias("part"), "serial", "key", F.col("question").alias("text"), F.array_join("variants", "|").alias("variants"), "requirement", "weight")
     notes = listed.select("request_id", F.lit("file").alias("part"), F.col("line_no").alias("serial"), F.col("name").alias("key"), F.col("note").alias("text"), *[F.lit(None).cast(t).alias(c) for c, t in (("variants", "string"), ("requirement", "string"), ("weight", "double"))])
