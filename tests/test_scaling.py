@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bidloom import session
 from bidloom.operators import award, grid, matching, names, requests
+from bidloom.sources import replies
 
 
 def plan_of(df):
@@ -117,6 +118,30 @@ def test_a_plan_leaves_out_coverage_that_it_does_not_show(spark):
     assert {r["lines_read"] for r in plan.shortlist.collect()} == {1}
 
 
+def test_a_line_does_not_take_its_reply_along(spark):
+    raw = spark.createDataFrame([
+        ("f1", '{"vendor": "Acme", "lines": [{"vendor_sku": "a", "quoted_value": NaN}, {}, 7, null, "x", [1]], "terms": ["net 30", {"kind": "Tax"}]}'),
+        ("f2", '[{"description": "NaN is no number", "quantity": 2}]'), ("f3", "not json"), ("f4", '{"lines": {"vendor_sku": "b"}}'), ("f5", None),
+    ], "file string, value string")
+    read = replies.parse_replies(raw)
+    assert sorted((r.file, r.vendor, r.line_ord, r.vendor_sku, r.quantity) for r in read.lines.collect()) == [("f1", "Acme", 1, "a", None), ("f1", "Acme", 2, None, None), ("f2", "f2", 1, None, 2.0)]
+    assert {(r.vendor, r.kind, r.text) for r in read.terms.collect()} == {("Acme", "other", "net 30"), ("Acme", "tax", "")}
+    assert {(r.file, r.lines_found) for r in read.responses.collect()} == {("f1", 2), ("f2", 1), ("f3", 0), ("f4", 0), ("f5", 0)}
+    above = read.lines._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "doc#" not in above
+
+
+def test_merged_questions_gather_the_lines_once(spark, tmp_path):
+    from __spark_entry__ import merged_questions
+
+    spark.range(60).selectExpr(
+        "id % 7 AS l_orderkey", "cast(id % 5 AS int) AS l_linenumber", "id AS l_partkey", "1.0D * (id % 9) AS l_quantity", "timestamp '2000-01-01 00:00:00' AS l_shipdate",
+        "if(id % 2 = 0, 'R', 'N') AS l_returnflag", "if(id % 3 = 0, 'F', 'O') AS l_linestatus").write.parquet(str(tmp_path / "lineitem.parquet"))
+    merged = merged_questions(spark, str(tmp_path))
+    assert {r.part for r in merged.select("part").distinct().collect()} == {"question", "file"}
+    assert not any("lineitem.parquet" in f for f in merged.inputFiles())
+
+
 def test_consolidation_reads_the_offers_twice(spark):
     offers = [("S1", "a", 1.0), ("S1", "b", 2.0), ("S2", "b", 1.0), ("S3", "b", 1.0), ("S3", "a", 3.0)]
     priced, read = counting(spark, spark.createDataFrame(offers, "rfx_sku string, vendor string, price double"))
